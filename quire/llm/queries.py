@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import flat_tokens, sentencepiece_np, separator_scan, word_tokens
 from .minhash import near_duplicates
+from .store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +17,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as flat files without an index, each text ended by <|endoftext|>; counts come from the scan of those files."""
+    path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
+
+    def encoder():
+        tok = word_tokens.tokenizer(path, plain_specials=True)
+        return lambda texts: tok.encode(texts, end_id)
+
+    dtype = word_tokens.tokenizer(path, True).dtype
+    manifest = flat_tokens.write(_table(spark, sf_dir, "documents"), encoder, dtype, folder)
+    return separator_scan.token_counts(spark, manifest, folder, dtype, end_id)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 1
+
+    def encoder():
+        tok = word_tokens.tokenizer(path)
+        return lambda texts: tok.encode(texts, end_id)
+
+    dtype = word_tokens.tokenizer(path).dtype
+    manifest = flat_tokens.write(_table(spark, sf_dir, "documents"), encoder, dtype, folder)
+    return flat_tokens.read_documents(spark, manifest, folder, dtype)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash,)}
+    return {f.__name__: f for f in (op1_minhash, op3_sentencepiece, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
