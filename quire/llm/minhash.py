@@ -165,7 +165,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, componen
     member = member.join(shared, "key")
     popular = member.groupBy("rep").agg(F.sum("size").alias("pop"))
     member = written(member.drop("size").join(popular, "rep").withColumn("settled", F.lit(False)))
-    near = written(_shingle_sets(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
+    # the candidates grow with the input, so their ids are merged with the texts and never broadcast
+    wanted = member.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
+    near = written(_shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
 
     links, groups, tested = None, None, None
     for _ in range(leader_rounds):
