@@ -66,11 +66,11 @@ def _powers(n: int, base: int) -> np.ndarray:
 class Words:
     """Word spans of a flat buffer: ``start``/``end`` byte positions, ``doc`` row of each, ``first`` word of each row."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SPACE) -> None:
         self.raw, self.offsets = raw, offsets
         n = len(raw)
         inside = np.zeros(n + 1, dtype=bool)
-        inside[:n] = ~_IS_SPACE[raw]
+        inside[:n] = ~separators[raw]
         begins = inside[:-1].copy()
         begins[1:] &= ~inside[: n - 1] if n else inside[:0]
         edges = offsets[:-1][np.diff(offsets) > 0]
@@ -86,15 +86,19 @@ class Words:
 
     def hashes(self, lower: bool = True) -> np.ndarray:
         """64-bit hash of each word from prefix sums of a byte polynomial."""
-        raw, out = self.raw, np.empty(len(self.start), dtype=np.uint64)
-        if not len(out):
+        return self.prefix_hashes((None,), lower)[0]
+
+    def prefix_hashes(self, sizes: tuple[int | None, ...], lower: bool = True) -> np.ndarray:
+        """``(len(sizes), n_words)`` hashes of the first so many bytes of each word; None: of the whole word."""
+        raw, out = self.raw, np.empty((len(sizes), len(self.start)), dtype=np.uint64)
+        if not out.size:
             return out
         step = 1 << 20  # the polynomial runs over pieces of the buffer, so its tables stay small
         table, lo = _TABLES[lower], 0
         longest = int((self.end - self.start).max())
         span = step + longest
         up, down = _powers(span + 1, _BASE), _powers(span + 1, _BASE_INV)
-        while lo < len(out):
+        while lo < len(self.start):
             base = self.start[lo]
             hi = int(np.searchsorted(self.start, base + step))
             hi = max(hi, lo + 1)
@@ -103,7 +107,9 @@ class Words:
             acc = np.zeros(stop - base + 1, dtype=np.uint64)
             np.add.accumulate(part, out=acc[1:])
             s, e = self.start[lo:hi] - base, self.end[lo:hi] - base
-            out[lo:hi] = (acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64) * _GOLD
+            for k, size in enumerate(sizes):
+                to = e if size is None else np.minimum(e, s + size)
+                out[k, lo:hi] = (acc[to] - acc[s]) * down[s] + (to - s).astype(np.uint64) * _GOLD
             lo = hi
         return mix64(out)
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import flat_tokens, sentencepiece_np, separator_scan, word_tokens
+from . import flat_tokens, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -27,6 +28,17 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
+#: Score from which a document is predicted toxic.
+TOXIC_FROM = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.tag(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.size("spans").alias("n_spans"))
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
@@ -57,7 +69,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op3_sentencepiece, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import slices
+from .store import slices, with_fields
 from .unit_cache import UnitCache
 
 SPACE = "▁"
@@ -272,7 +272,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with the column ``ids`` (array of int, end id last) of ``text``; a column ``ids`` it had is replaced."""
     docs = docs.drop("ids")
     names = docs.columns
-    schema = docs.schema.add("ids", "array<int>")
+    schema = with_fields(docs.schema, "ids array<int>")
 
     def run(batches):
         for part, texts in _texts(batches):
@@ -286,7 +286,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with the column ``decoded`` of ``ids``; null ids give an empty text."""
     encoded = encoded.drop("decoded")
-    names, schema = encoded.columns, encoded.schema.add("decoded", "string")
+    names, schema = encoded.columns, with_fields(encoded.schema, "decoded string")
 
     def run(batches):
         for batch in batches:

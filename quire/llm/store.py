@@ -11,6 +11,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_DEFAULT = "file:///tmp/checkpoints"
 _made: list[tuple[SparkSession, str]] = []
@@ -51,6 +52,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """``schema`` followed by the columns of a DDL string."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def slices(column: pa.Array, max_bytes: int = 4 << 20):
     """Row ranges of a string column of at most ``max_bytes`` of text each; a longer text stands alone."""
     import numpy as np
