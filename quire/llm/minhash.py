@@ -30,12 +30,10 @@ from pyspark.sql import functions as F
 
 from .bytes_np import Words, flat_text, mix64, shingle_hashes
 from .components import connected
+from .pair_join import with_values
 from .store import slices, written
 from .superminhash import band_keys, signatures
 
-#: Rows of a salt of one leader in a comparison join.
-SALT_ROWS = 256
-
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, sorted distinct shingle hashes of many rows, starts)."""
@@ -91,17 +89,13 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets have ``100 * |intersection| >= percent * |union|``.
 
-    The side ``a`` may be one document with a large part of all pairs, so it is salted by its number of pairs.
+    The side ``a`` may be one document with a large part of all pairs.
     """
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int").alias("salts"))
-    left = sets.withColumnRenamed("doc_id", "a").join(salts, "a").select("a", "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("sa"))
-    right = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).drop("salts")
-    right = right.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = right.join(left.drop("salts"), ["a", "salt"]).select("a", "b", "sa", "sb")
+    both = with_values(pairs, sets.select(F.col("doc_id").alias("id"), F.col("shingles").alias("value")))
 
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = (_column(batch, c) for c in ("a", "b", "sa", "sb"))
+            a, b, sa, sb = (_column(batch, c) for c in ("a", "b", "va", "vb"))
             keep, last, x = np.zeros(batch.num_rows, dtype=bool), None, None
             for i in range(batch.num_rows):
                 if a[i] != last:

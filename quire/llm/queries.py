@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flat_tokens, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import flat_tokens, line_dedup, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -56,6 +56,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.token_counts(spark, manifest, folder, dtype, end_id)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 1
 
@@ -69,7 +75,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op8_token_counts, op9_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
