@@ -1,15 +1,15 @@
 """Flat token files: unsigned little-endian ids, 64-bit document offsets, prefix-sum bases.
 
 A corpus is cut into buckets of neighbouring doc_ids.  Bucket b has ``b.bin`` (the ids of its documents one after
-another), ``b.idx`` (uint64 position of every document's first id in the file, and the end) and ``b.doc`` (int64
-doc_ids).  ``b.bin`` alone is a valid unindexed file.  The position of a document in the whole corpus is its bucket's
+another), ``b.idx`` (uint64 position of every document's first id in the file, and the end) ``b.doc`` (int64
+doc_ids) and ``b.nul`` (uint64 places of the documents whose doc_id is null).  ``b.bin`` alone is a valid unindexed file.  The position of a document in the whole corpus is its bucket's
 base, the sum of the sizes of the buckets before, plus its offset.
 
 Files are written beside their place and renamed, with the same bytes at every attempt, so a task that is run
 again after a lost executor does no harm.  They are memory-mapped where the store is a local one.
 
 Cases: null text is empty; a row without ids still has an offset; equal doc_ids follow each other in the
-order of their ids' bytes; null doc_ids come last; an empty table gives a manifest without rows.
+order of their texts' hashes; null doc_ids come last in doc_id order; an empty table gives a manifest without rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from .store import slices
 
 #: ``encode(texts) -> (flat ids, ids of each text)``, made anew in each worker.
 Encoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
-MANIFEST = "bucket int, n_docs long, n_nulls long, n_tokens long"
+MANIFEST = "bucket int, n_docs long, n_tokens long"
 BATCH_IDS = 1 << 20
 
 
@@ -70,44 +70,45 @@ def _bounds(docs: DataFrame, buckets: int) -> list[float]:
     return sorted(set(got))
 
 
-def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, folder: str, buckets: int | None = None) -> DataFrame:
-    """Encode ``docs(doc_id, text, ...)`` into flat files; returns the manifest, one row per bucket that has rows."""
+def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, folder: str, buckets: int | None = None, ordered: bool = True) -> DataFrame:
+    """Encode ``docs(doc_id, text, ...)`` into flat files; returns the manifest, one row per bucket that has rows.
+
+    ``ordered``: documents follow each other by doc_id through all buckets.  Otherwise every input partition is
+    a bucket and keeps its order, and no text is shuffled.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = _bounds(docs, buckets)
     store, top = _open(folder)
     store.create_dir(top, recursive=True)
 
-    def bucket_of(column):
-        out = F.lit(0)
-        lo, hi = 0, len(bounds)
-        # a search tree of comparisons: bounds[i] <= doc_id < bounds[i + 1] is bucket i + 1
+    if ordered:
+        bounds = _bounds(docs, buckets)
 
-        def tree(lo, hi):
+        def tree(lo: int, hi: int):  # a search tree: bounds[i] <= doc_id < bounds[i + 1] is bucket i + 1
             if lo == hi:
                 return F.lit(lo)
             mid = (lo + hi) // 2
-            return F.when(column < F.lit(int(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        return tree(lo, hi) if bounds else out
+            return F.when(F.col("doc_id") < F.lit(int(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    spread = docs.withColumn("bucket", F.coalesce(F.when(F.col("doc_id").isNotNull(), bucket_of(F.col("doc_id"))), F.lit(len(bounds))))
-    spread = spread.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+        spread = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(tree(0, len(bounds))))
+        spread = spread.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    else:
+        spread = docs.withColumn("bucket", F.spark_partition_id())
 
     def run(batches):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode, out, bucket = make_encoder(), None, None
-        n_docs = n_nulls = n_tokens = 0
+        n_docs = n_tokens = 0
         store, top = _open(folder)
 
         def finish():
             out["idx"].write(np.array([n_tokens], "<u8"))
             for f in out.values():
                 f.close()
-            return pa.RecordBatch.from_pylist([{"bucket": bucket, "n_docs": n_docs, "n_nulls": n_nulls, "n_tokens": n_tokens}], pa.schema([("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_nulls", pa.int64()), ("n_tokens", pa.int64())]))
+            return pa.RecordBatch.from_pylist([{"bucket": bucket, "n_docs": n_docs, "n_tokens": n_tokens}], pa.schema([("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
         for batch in batches:
             of = batch.column(2).to_numpy()
@@ -118,8 +119,8 @@ def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, fold
                 if bucket != int(of[a]):
                     if out:
                         yield finish()
-                    bucket, n_docs, n_nulls, n_tokens = int(of[a]), 0, 0, 0
-                    out = {k: _Out(store, f"{top}/{bucket}.{k}") for k in ("bin", "idx", "doc")}
+                    bucket, n_docs, n_tokens = int(of[a]), 0, 0
+                    out = {k: _Out(store, f"{top}/{bucket}.{k}") for k in ("bin", "idx", "doc", "nul")}
                 part = batch.slice(a, b - a)
                 for lo, hi in slices(part.column(1)):
                     flat, counts = encode(part.column(1).slice(lo, hi - lo).to_pylist())
@@ -127,7 +128,8 @@ def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, fold
                     out["bin"].write(flat.astype(dtype))
                     out["idx"].write((n_tokens + np.cumsum(counts) - counts).astype("<u8"))
                     out["doc"].write(ids.fill_null(0).to_numpy().astype("<i8"))
-                    n_docs, n_nulls, n_tokens = n_docs + hi - lo, n_nulls + ids.null_count, n_tokens + int(counts.sum())
+                    out["nul"].write((n_docs + np.flatnonzero(ids.is_null())).astype("<u8"))
+                    n_docs, n_tokens = n_docs + hi - lo, n_tokens + int(counts.sum())
         if out:
             yield finish()
 
@@ -167,11 +169,12 @@ def read_documents(spark: SparkSession, manifest: DataFrame, folder: str, dtype:
             for r in batch.to_pylist():
                 flat, offsets, ids = (map_file(store, f"{top}/{r['bucket']}.{k}", t) for k, t in (("bin", dtype), ("idx", "<u8"), ("doc", "<i8")))
                 offsets = np.asarray(offsets).astype(np.int64)
-                n, valid = r["n_docs"], r["n_docs"] - r["n_nulls"]
+                n, null = r["n_docs"], np.zeros(r["n_docs"], dtype=bool)
+                null[map_file(store, f"{top}/{r['bucket']}.nul", "<u8").astype(np.int64)] = True
                 for lo in range(0, n, 4096):
                     hi = min(n, lo + 4096)
                     crc = [zlib.crc32(flat[offsets[i] : offsets[i + 1]].astype("<u4")) for i in range(lo, hi)]
-                    doc = pa.array(np.asarray(ids[lo:hi]), mask=np.arange(lo, hi) >= valid)
+                    doc = pa.array(np.asarray(ids[lo:hi]), mask=null[lo:hi])
                     yield pa.RecordBatch.from_arrays([doc, pa.array(r["base"] + offsets[lo:hi]), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(np.array(crc, dtype=np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spread_rows(spark, rows, MANIFEST + ", base long, first_doc long")

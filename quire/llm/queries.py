@@ -52,7 +52,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return lambda texts: tok.encode(texts, end_id)
 
     dtype = word_tokens.tokenizer(path, True).dtype
-    manifest = flat_tokens.write(_table(spark, sf_dir, "documents"), encoder, dtype, folder)
+    manifest = flat_tokens.write(_table(spark, sf_dir, "documents"), encoder, dtype, folder, ordered=False)
     return separator_scan.token_counts(spark, manifest, folder, dtype, end_id)
 
 

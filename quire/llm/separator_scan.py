@@ -85,10 +85,10 @@ def token_counts(spark: SparkSession, manifest: DataFrame, folder: str, dtype: s
         for batch in batches:
             for r in batch.to_pylist():
                 ids = map_file(store, f"{top}/{r['bucket']}.doc", "<i8")
-                n = len(ids)
-                doc = pa.array(np.asarray(ids), mask=np.arange(n) >= n - r["n_nulls"])
+                n, null = len(ids), np.zeros(len(ids), dtype=bool)
+                null[map_file(store, f"{top}/{r['bucket']}.nul", "<u8").astype(np.int64)] = True
+                doc = pa.array(np.asarray(ids), mask=null)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["bucket"], np.int32)), pa.array(np.arange(n, dtype=np.int64)), doc], ["bucket", "doc_no", "doc_id"])
 
-    keep = ("bucket", "n_docs", "n_nulls", "n_tokens")
-    names = spread_rows(spark, [{k: f[k] for k in keep} for f in files], "bucket int, n_docs long, n_nulls long, n_tokens long").mapInArrow(run, "bucket int, doc_no long, doc_id long")
+    names = spread_rows(spark, [{"bucket": f["bucket"]} for f in files], "bucket int").mapInArrow(run, "bucket int, doc_no long, doc_id long")
     return names.join(counts, ["bucket", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
