@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import flat_tokens, line_dedup, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import chat, flat_tokens, line_dedup, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -43,6 +43,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.segments(rows))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as flat files without an index, each text ended by <|endoftext|>; counts come from the scan of those files."""
     path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
@@ -75,7 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op8_token_counts, op9_line_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op6_quality_rules, op8_token_counts, op9_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
