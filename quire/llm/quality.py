@@ -1,7 +1,7 @@
 """Quality rules, line first: lines that fail a rule go, then documents that lost too much text.
 
 Line rules (on the raw UTF-8 bytes of each line that has a word):
-* punctuation: the last word does not end in a sentence mark, or symbols ``#*$%&|<>`` are more than a tenth of the words,
+* punctuation: no word ends in a sentence mark, or symbols ``#*$%&|<>`` are more than a tenth of the words,
   or three letters in five are capitals in a line of five words or more;
 * navigation: separator words (``| > » • · -``) are a tenth of the words or more and at least two;
 * boilerplate: the line holds one of ``BOILERPLATE`` (lower-cased A-Z).
@@ -34,8 +34,8 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 _LETTER = _UPPER | ((np.arange(256) >= 97) & (np.arange(256) <= 122))
 _LAST = np.isin(np.arange(256), np.frombuffer(b".!?:;\"')]", np.uint8))
-#: Last bytes of sentence marks outside ASCII, checked with the two bytes before.
-_WIDE_LAST = tuple(c.encode() for c in "…”’»。！？")
+#: Sentence marks outside ASCII by their last two or three bytes.
+_WIDE = [int.from_bytes(c.encode(), "big") for c in "…”’»。！？"]
 _DASHES = tuple(c.encode() for c in ("|", ">", "»", "•", "·", "-"))
 
 
@@ -95,10 +95,13 @@ def measure(column: pa.Array, max_lost: float = MAX_LOST) -> dict[str, np.ndarra
 def _failed_lines(raw: np.ndarray, words: Words, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The line rules; ``a``, ``b``: first word of each line and the word after its last."""
     n = b - a
-    stop = words.end[b - 1] - 1
-    ended = _LAST[raw[stop]]
-    for i in np.flatnonzero(~ended & (raw[stop] >= 128)):
-        ended[i] = raw[max(0, stop[i] - 2) : stop[i] + 1].tobytes().endswith(_WIDE_LAST)
+    stop = words.end - 1
+    marked = _LAST[raw[stop]]
+    wide = np.flatnonzero(raw[stop] >= 128)
+    byte = [raw[np.maximum(stop[wide] - k, 0)].astype(np.int64) for k in range(3)]
+    pair = byte[1] << 8 | byte[0]
+    marked[wide] = np.isin(pair, _WIDE) | np.isin(byte[2] << 16 | pair, _WIDE)
+    ended = _sum(marked, a, b) > 0
     symbols = _sum(_SYMBOL[raw], begin, end)
     letters = _sum(_LETTER[raw], begin, end)
     shouted = (n >= 5) & (5 * _sum(_UPPER[raw], begin, end) > 3 * letters)

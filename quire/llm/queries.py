@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, flat_tokens, line_dedup, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import bitsliced, chat, flat_tokens, line_dedup, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -54,6 +54,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitsliced.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as flat files without an index, each text ended by <|endoftext|>; counts come from the scan of those files."""
     path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
@@ -86,7 +91,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op6_quality_rules, op8_token_counts, op9_line_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op6_quality_rules, op7_topk, op8_token_counts, op9_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
