@@ -104,7 +104,7 @@ def fit(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, size: int,
     n = features.shape[1]
     w, trans = np.zeros(size), np.array([[0.0, -2.0], [0.0, -2.0]])
     used = np.unique(features)
-    local = np.searchsorted(used, features)
+    local = np.searchsorted(used, features).astype(np.int32)
     moment = [np.zeros(len(used)), np.zeros(len(used)), np.zeros((2, 2)), np.zeros((2, 2))]
     theta = np.zeros(len(used))
     prev = np.concatenate([[0], labels[:-1]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, chat, flat_tokens, line_dedup, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import bitsliced, chat, flat_tokens, line_dedup, mixing, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -50,6 +50,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(rows))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
+    return mixing.mix(docs).drop("source", "size")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -91,8 +96,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op6_quality_rules, op7_topk, op8_token_counts, op9_line_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op5_mixing, op6_quality_rules, op7_topk, op8_token_counts, op9_line_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.oracle_sql()}

@@ -296,8 +296,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded again in one pass."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted) of each text, encoded and decoded again in one pass."""
     import hashlib
 
     def run(batches):
@@ -313,6 +313,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 back.append(hashlib.sha256(m.decode(listed[lo:hi]).encode()).hexdigest())
                 lo, b0 = int(hi), b1
             doc_id = part.column(part.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(counts), pa.array(shas), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = {"doc_id": doc_id, "n_tokens": pa.array(counts), "ids_sha256": pa.array(shas), "decoded_sha256": pa.array(back)}
+            if with_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

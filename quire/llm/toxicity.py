@@ -31,8 +31,8 @@ from . import crf
 from .bytes_np import IS_START, Words, flat_text, mix64
 from .store import slices, with_fields
 
-SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 8000
+SAMPLE_DOCS = 1200
+SAMPLE_CHARS = 6000
 TABLE = 1 << 18
 PREFIXES = (None, 3, 4, 5, 7)
 #: A document is explained by so many toxic tokens.
@@ -54,7 +54,7 @@ def features(words: Words) -> np.ndarray:
     """``(n_features, n_tokens)`` cells of the weight table."""
     h = words.prefix_hashes(PREFIXES)
     whole, n = h[0], h.shape[1]
-    out = np.empty((len(PREFIXES) + 2, n), dtype=np.int64)
+    out = np.empty((len(PREFIXES) + 2, n), dtype=np.int32)
     for k in range(len(PREFIXES)):
         out[k] = mix64(h[k] + np.uint64(k)) & np.uint64(TABLE - 1)
     first = words.first
@@ -105,7 +105,7 @@ def _lexicon(coded: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarra
     """
     n = len(toxic)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    pairs, tokens_of = np.unique(np.concatenate([row * n + doc for row in coded]), return_counts=True)
+    pairs, tokens_of = np.unique(np.concatenate([row.astype(np.int64) * n + doc for row in coded]), return_counts=True)
     feature, where = pairs // n, pairs % n
     names, at = np.unique(feature, return_inverse=True)
     in_toxic = np.bincount(at, weights=toxic[where])
@@ -150,7 +150,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
         return Model(np.zeros(1), np.zeros((2, 2)), np.zeros(5), float(share))
     words = tokens(pa.array(texts, pa.large_string()))
     cells = features(words)
-    coded = cells[: len(PREFIXES)] + np.arange(len(PREFIXES))[:, None] * TABLE
+    coded = cells[: len(PREFIXES)] + np.arange(len(PREFIXES), dtype=np.int32)[:, None] * TABLE
     labels = np.isin(coded, _lexicon(coded, words.doc, toxic)).any(axis=0).astype(np.int64)
     weights, trans = crf.fit(cells, words.first, labels, TABLE)
     model = Model(weights.astype(np.float32), trans, np.zeros(5))
