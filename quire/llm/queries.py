@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -40,7 +40,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as flat files without an index, each text ended by <|endoftext|>; counts come from the scan of those files."""
-    path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
+    path, folder, end_id = vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
 
     def encoder():
         tok = word_tokens.tokenizer(path, plain_specials=True)
@@ -84,7 +84,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, folder, end_id = _vocabulary("word_bpe_49k.json"), shared_dir(spark), 1
+    path, folder, end_id = vocabulary("word_bpe_49k.json"), shared_dir(spark), 1
 
     def encoder():
         tok = word_tokens.tokenizer(path)
