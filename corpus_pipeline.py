@@ -32,7 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Five-word shingles and a similarity of 0.8, the thresholds that hold where no contract names others.
     """
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, width=5, percent=80, components=80, bands=20).where("kept and doc_id is not null").select("doc_id").distinct()
     known = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
