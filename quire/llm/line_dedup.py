@@ -173,10 +173,13 @@ def duplicate_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) ->
     wanted = ends.join(shared, "end", "left_semi").select("at").distinct()
     per_doc = wanted.groupBy(F.col("at.x").alias("x"), F.col("at.d").alias("d")).agg(F.collect_set("at.l").alias("nos"))
     candidates = written(_line_words(docs, per_doc))
+    # most variants belong to one line; a count of the keys alone sends those no further
     variants = written(_variants(candidates))
+    twice = variants.groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v")
+    variants = written(variants.join(twice.hint("merge"), "v", "left_semi"))
     # earliest per (key, position), then per key; both combine before their shuffles
     by_pos = variants.groupBy("v", "pos").agg(F.min("at").alias("m"))
-    by_key = by_pos.groupBy("v").agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("cut"), F.count("*").alias("c")).where("whole is not null")
+    by_key = by_pos.groupBy("v").agg(F.min(F.when(F.col("pos") < 0, F.col("m"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("m"))).alias("cut")).where("whole is not null")
     same = variants.where("pos >= 0").join(by_pos, ["v", "pos"]).where("m < at").select("at", "m")
     longer = variants.where("pos >= 0").join(by_key.select("v", "whole"), "v").where("whole < at").select("at", F.col("whole").alias("m"))
     shorter = variants.where("pos < 0").join(by_key.select("v", "cut"), "v").where("cut < at").select("at", F.col("cut").alias("m"))
