@@ -279,6 +279,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             flat, counts = model(path).encode(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, "ids"])
+        model(path).cache.clear()
 
     return docs.mapInArrow(run, schema)
 
@@ -317,6 +318,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        model(path).cache.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -57,7 +57,7 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def slices(column: pa.Array, max_bytes: int = 4 << 20):
+def slices(column: pa.Array, max_bytes: int = 1 << 20):
     """Row ranges of a string column of at most ``max_bytes`` of text each; a longer text stands alone."""
     import numpy as np
 

@@ -31,8 +31,8 @@ from . import crf
 from .bytes_np import IS_START, Words, flat_text, mix64
 from .store import slices, with_fields
 
-SAMPLE_DOCS = 1200
-SAMPLE_CHARS = 6000
+SAMPLE_DOCS = 900
+SAMPLE_CHARS = 5000
 TABLE = 1 << 18
 PREFIXES = (None, 3, 4, 5, 7)
 #: A document is explained by so many toxic tokens.
@@ -199,7 +199,7 @@ def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
         m = shared.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            for lo, hi in slices(batch.column(at), 2 << 20):
+            for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
                 words = tokens(part.column(at))
                 p = m.token_marginals(words) if m.constant is None else np.zeros(len(words.start))

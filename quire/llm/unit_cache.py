@@ -38,11 +38,12 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 class UnitCache:
     """``encode(units) -> (flat ids, lengths)`` is called once per distinct unit while it stays in the table."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
-        self._reset()
+        self.clear()
 
-    def _reset(self) -> None:
+    def clear(self) -> None:
+        """Forget all units; a task does so at its end, since idle workers keep what they hold."""
         self.codes = _Codes()
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.starts, self.lens = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
@@ -57,7 +58,7 @@ class UnitCache:
     def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, given as lists of units, and the number of ids of each text."""
         if len(self.codes) > self.limit:
-            self._reset()
+            self.clear()
         get = self.codes.__getitem__
         counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         codes = np.fromiter((c for t in texts for c in map(get, t)), dtype=np.int64, count=int(counts.sum()))
