@@ -197,7 +197,7 @@ class PieceModel:
     def encode(self, texts: list[str | None], end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each, with the end id after each text."""
         units = [_UNITS.findall(b" " + t.replace(SPACE, " ").encode()) if t else [] for t in texts]
-        flat, counts = self.cache.ids(units)
+        flat, counts = self.cache.ids([u for t in units for u in t], np.fromiter(map(len, units), dtype=np.int64, count=len(units)))
         if end:
             flat = np.insert(flat, np.cumsum(counts), self.end_id)
             counts = counts + 1

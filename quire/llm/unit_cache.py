@@ -55,13 +55,11 @@ class UnitCache:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def ids(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, given as lists of units, and the number of ids of each text."""
+    def ids(self, units: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts, given as the units of all texts and the units of each, and the number of ids of each text."""
         if len(self.codes) > self.limit:
             self.clear()
-        get = self.codes.__getitem__
-        counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        codes = np.fromiter((c for t in texts for c in map(get, t)), dtype=np.int64, count=int(counts.sum()))
+        codes = np.fromiter(map(self.codes.__getitem__, units), dtype=np.int64, count=len(units))
         if new := self.codes.new:
             flat, lens = self.encode(new)
             n, first = len(self.codes), len(self.codes) - len(new)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,31 @@ import numpy as np
 from .unit_cache import UnitCache
 
 _JOIN = 4096
+_RUNS = re.compile("[A-Za-z]+|[^A-Za-z]+")
+_OTHER = re.compile("[0-9']|<[|]")
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PLAIN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts and their number in each.
+
+    So that fewer words differ, A-Z is lower-cased and a stop or comma between an ASCII letter or digit and white
+    space stands apart, as it is a part of its own for the tokenizer.
+    """
+    coded = [t.encode() if t else b"" for t in texts]
+    raw = b"\n".join(coded) + b"\n"
+    if b"<|" not in raw:  # the strings of special tokens are told by case
+        raw = raw.lower()
+    flat = np.frombuffer(raw, dtype=np.uint8)
+    stop = np.flatnonzero((flat[1:-1] == 44) | (flat[1:-1] == 46)) + 1
+    stop = stop[_PLAIN[flat[stop - 1]] & _SPACE[flat[stop + 1]]]
+    ends = np.cumsum([len(c) + 1 for c in coded])
+    ends = ends + np.searchsorted(stop, ends)
+    flat = np.insert(flat, stop, 32)
+    blank = _SPACE[flat]
+    first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    return flat.tobytes().split(), np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 class WordTokenizer:
@@ -34,7 +60,7 @@ class WordTokenizer:
         self.ends = np.zeros(self.n_ids, dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.cache = UnitCache(self._encode_units)
+        self.cache = UnitCache(self._encode_units, limit=500_000)
 
     @property
     def dtype(self) -> str:
@@ -57,11 +83,11 @@ class WordTokenizer:
         units = [u.decode() for u in new]
         parts = np.zeros(len(units), dtype=np.int64)
         for i, u in enumerate(units):
-            # letters below U+0100 stay single letters when lower-cased; a stop or comma after them is a part of its own
+            # letters below U+0100 stay single letters when lower-cased; runs of ASCII letters and of marks are parts
             if u.isalpha():
                 parts[i] = max(u) < "Ā"
-            elif u[-1] in ".," and u[:-1].isalpha() and max(u) < "Ā":
-                parts[i] = 2
+            elif u.isascii() and not _OTHER.search(u):
+                parts[i] = len(_RUNS.findall(u))
         lens = np.zeros(len(units), dtype=np.int64)
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
         plain, rest = np.flatnonzero(parts), np.flatnonzero(parts == 0)
@@ -82,7 +108,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each; with ``end_id`` after each text. Null: empty."""
-        flat, counts = self.cache.ids([t.encode().split() if t else [] for t in texts])
+        flat, counts = self.cache.ids(*_words(texts))
         if end_id is not None:
             flat = np.insert(flat, np.cumsum(counts), end_id)
             counts = counts + 1
