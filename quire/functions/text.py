@@ -284,7 +284,8 @@ def image_stem(name: Column) -> Column:
 def decode_text(content: Column) -> Column:
     """Bytes as text by their byte-order mark: UTF-16BE, UTF-16LE, else UTF-8; the mark goes."""
     head = F.hex(F.substring(content, 1, 2))
-    out = F.when(head == "FEFF", F.decode(F.substring(content, 3, 2147483647), "UTF-16BE")).when(head == "FFFE", F.decode(F.substring(content, 3, 2147483647), "UTF-16LE")).otherwise(F.decode(content, "UTF-8"))
+    wide = lambda charset: F.decode(F.substring(content, 3, 2147483647), charset)
+    out = F.when(head == "FEFF", wide("UTF-16BE")).when(head == "FFFE", wide("UTF-16LE")).otherwise(F.make_valid_utf8(content.cast("string")))
     return _sub(out, "^\\x{feff}", "")
 
 

@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import compare, links, models, translate
 from ..operators import render as R
 from ..operators import units as U
+from ..operators.stage import shared_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -515,11 +516,7 @@ def render_unit_page(spark, sf_dir):
 @_query()
 def translate_echo(spark, sf_dir):
     """One project's units through the whole run with the offline runner: results by status."""
-    import uuid
-
     units = _units(spark, sf_dir).where("source = 'src0'").withColumn("path", X.unit_path(F.col("pos"), F.col("title")))
     empty = spark.createDataFrame([], translate.schemas.CACHE)
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    ledger = f"{top.rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    run = translate.translate(units.select("unit_id", "pos", "title", "path", "markdown"), empty, ledger, max_cost=1.0)
+    run = translate.translate(staged(units.select("unit_id", "pos", "title", "path", "markdown")), empty, shared_path(spark, "ledger"), max_cost=1.0)
     return translate.run_summary(run.results, "model")
