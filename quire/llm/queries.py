@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, chat, flat_tokens, line_dedup, mixing, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import bitsliced, chat, flat_tokens, line_dedup, mixing, oracles, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -100,4 +100,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle_sql()}
+    return {"op1_minhash": oracles.MINHASH, "op4_chat": oracles.CHAT, "op5_mixing": mixing.oracle_sql(), "op6_quality_rules": oracles.QUALITY, "op7_topk": oracles.TOPK, "op9_line_dedup": oracles.LINES}
