@@ -58,6 +58,40 @@ def extract(spark: SparkSession, root: str, strict: bool = False) -> ExtractResu
     return ExtractResult(meta, units, assets, warnings, M.create(meta, units, assets), failures, skipped)
 
 
+def extract_command(spark: SparkSession, root: str, source: str | None = None, document: str | None = None, force: bool = False) -> dict:
+    """One file, or all below ``root/sources``, into projects below ``root/documents``; failures of a batch are listed."""
+    library = os.path.join(root, "documents")
+    if source is None:
+        out = extract(spark, os.path.join(root, "sources"))
+        done = save(out, library, force)
+        return {"documents": done, "failures": [r.asDict() for r in out.failures.collect()], "skipped": [r.relative_path for r in out.skipped.collect()]}
+    name = document or X.slug_exact(source)
+    if not re.fullmatch("[a-z0-9]+(?:-[a-z0-9]+)*", name):
+        raise ValidationError(f"Invalid document name: {name}")
+    out = extract(spark, source)
+    failed = out.failures.collect()
+    if failed:
+        raise EngineError(failed[0].code, failed[0].message)
+    old = out.manifests.select("document_id").first()
+    if old is None:
+        raise EngineError("unsupported-structure", f"Unsupported source: {source}")
+    renamed = lambda df: df.withColumn("document_id", F.lit(name))
+    meta = renamed(out.documents).withColumn("path", F.lit(os.path.basename(source)))
+    units, assets, warnings = renamed(out.units), renamed(out.assets), renamed(out.warnings)
+    one = ExtractResult(meta, units, assets, warnings, M.create(meta, units, assets), out.failures, out.skipped)
+    return {"documents": save(one, library, force), "failures": [], "skipped": []}
+
+
+def extraction_json(result: ExtractResult) -> DataFrame:
+    """(document_id, report): the machine-readable extraction report."""
+    warned = result.warnings.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "code", "message", "severity", "location"))), lambda w: F.struct(w["code"].alias("code"), w["message"].alias("message"), w["severity"].alias("severity"), w["location"].alias("location"))).alias("warnings"))
+    n_units = result.units.groupBy("document_id").agg(F.count("*").alias("unitCount"))
+    n_images = result.assets.groupBy("document_id").agg(F.count("*").alias("imageCount"))
+    rows = result.documents.join(n_units, "document_id").join(n_images, "document_id", "left").join(warned, "document_id", "left")
+    body = F.struct(F.struct("format", "path", "size").alias("source"), "unitCount", F.coalesce("imageCount", F.lit(0)).alias("imageCount"), F.coalesce("warnings", F.array().cast(warned.schema["warnings"].dataType)).alias("warnings"))
+    return rows.select("document_id", F.to_json(body, {"pretty": "true"}).alias("report"))
+
+
 def extraction_reports(result: ExtractResult) -> DataFrame:
     n_units = result.units.groupBy("document_id").agg(F.count("*").alias("n_units"))
     n_images = result.assets.groupBy("document_id").agg(F.count("*").alias("n_images"))
@@ -68,7 +102,8 @@ def extraction_reports(result: ExtractResult) -> DataFrame:
 def save(result: ExtractResult, library: str, force: bool = False) -> dict[str, dict]:
     """Write every extracted project below ``library``; counts by document."""
     reports = {r.document_id: r.report for r in extraction_reports(result).toLocalIterator()}
-    return {d: project.write_project(os.path.join(library, d), d, result.manifests, result.units, result.assets, {"extraction.md": reports[d]}, force) for d in [r.document_id for r in result.manifests.select("document_id").toLocalIterator()]}
+    data = {r.document_id: r.report for r in extraction_json(result).toLocalIterator()}
+    return {d: project.write_project(os.path.join(library, d), d, result.manifests, result.units, result.assets, {"extraction.md": reports[d], "extraction.json": data[d] + "\n"}, force) for d in [r.document_id for r in result.manifests.select("document_id").toLocalIterator()]}
 
 
 @dataclass
@@ -176,8 +211,12 @@ def _names(root: str, folder: str) -> list[str]:
     return sorted(n for n in os.listdir(path) if os.path.isfile(os.path.join(path, n))) if os.path.isdir(path) else []
 
 
-def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path: str, output: str | None = None, model: str = models.DEFAULT_MODEL, runner: translate.Runner = translate.echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = translate.DEFAULT_CONCURRENCY, best_effort: bool = False, force: bool = False, dry: bool = False, generated: str = "") -> dict:
-    """A transformed sibling project; returns the run's summary.  The cache is a table of its own and outlives outputs."""
+def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path: str | None, output: str | None = None, model: str = models.DEFAULT_MODEL, runner: translate.Runner = translate.echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = translate.DEFAULT_CONCURRENCY, best_effort: bool = False, force: bool = False, dry: bool = False, generated: str = "", report_path: str | None = None) -> dict:
+    """A transformed sibling project; returns the run's summary.
+
+    The cache is a table of its own and outlives outputs; without ``cache_path`` none is read or written.  ``report_path`` is
+    absolute or seen from the output folder.
+    """
     (row,) = project.load_manifests(spark, project_dir).collect()
     m, language = row.manifest, translate.language_tag(to)
     models.find(model)
@@ -192,15 +231,19 @@ def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path
         return translate.dry_run(U.select_units(units, only), model, language, m.language).first().asDict()
     if os.path.isdir(output) and os.listdir(output) and not force:
         raise ValidationError(f"Output project {output} already has content. Use force to replace it.")
-    run = translate.translate(units, project.read_cache(spark, cache_path), shared_path(spark, "ledger"), model, language, m.language, runner, only, max_cost, concurrency, best_effort)
+    cache = project.read_cache(spark, cache_path) if cache_path else spark.createDataFrame([], schemas.CACHE)
+    run = translate.translate(units, cache, shared_path(spark, "ledger"), model, language, m.language, runner, only, max_cost, concurrency, best_effort)
     results = staged(run.results)
-    project.write_cache(run.cache, cache_path)
+    if cache_path:
+        project.write_cache(run.cache, cache_path)
     summary = translate.run_summary(results).first().asDict()
     report = R.translation_report(results, summary, (m.id, m.language), (name, language), model, models.PROMPT_VERSION, generated)
     data = json.dumps({"promptVersion": models.PROMPT_VERSION, "generatedAt": generated, "model": model, "totals": summary, "units": [r.asDict(True) for r in results.drop("markdown").orderBy("pos").collect()]}, indent=2) + "\n"
     if summary["failed"] and not best_effort:
         project._put(os.path.join(output, "reports", "translation.md"), report)
         project._put(os.path.join(output, "reports", "translation.json"), data)
+        if report_path:
+            project._put(os.path.join(output, report_path), report)
         return summary | {"output": None}
     first = results.where("pos = 1").select(translate.document_title(results, F.lit(m.title)).alias("t")).first()
     new_units = translate.translated_manifest(units, results, ["unit_id"]).drop("markdown").join(results.select("unit_id", "markdown"), "unit_id")
@@ -208,6 +251,8 @@ def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path
     docs = spark.createDataFrame([(name, first.t, language, m.source.format, m.source.path, m.source.size)], "document_id string, title string, language string, format string, path string, size double")
     assets = spark.createDataFrame([(name, a.id, a.path, a.mimeType, a.altText, a.width, a.height, _read(project_dir, a.path)) for a in m.assets], "document_id string, asset_id string, path string, mime_type string, alt_text string, width double, height double, bytes binary")
     project.write_project(output, name, M.create(docs, new_units, assets), new_units, assets, {"translation.md": report, "translation.json": data}, force)
+    if report_path:
+        project._put(os.path.join(output, report_path), report)
     return summary | {"output": output}
 
 
@@ -225,6 +270,20 @@ def benchmark(spark: SparkSession, units: DataFrame, chosen: list[str], to: str,
     return translate.benchmark_order(out, known), translate.benchmark_summary(out, known)
 
 
+def save_benchmark(rows: DataFrame, summary: DataFrame, folder: str, generated: str = "") -> None:
+    """Rows as Parquet by model, and the report for a reader's judgement."""
+    rows.write.mode("overwrite").partitionBy("model").parquet(os.path.join(folder, "rows"))
+    project._put(os.path.join(folder, "benchmark.md"), R.benchmark_report(summary, rows, generated))
+
+
+def load_benchmark(spark: SparkSession, folder: str) -> DataFrame | None:
+    """Rows of an earlier benchmark, or None when there are none that can be read."""
+    try:
+        return spark.read.parquet(os.path.join(folder, "rows")).drop("model_order")
+    except Exception:
+        return None
+
+
 def unit_by_id(units: DataFrame, unit_id: str) -> DataFrame:
     """The unit that a read route names; no rows when there is none."""
     return units.where(F.col("unit_id") == unit_id)
