@@ -155,7 +155,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, componen
     # every row of a class has the same keys, so the row of the representative is enough
     reps = full.join(classes.select("rep"), full.doc_id == classes.rep, "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys").dropDuplicates(["rep"])
     member = written(reps.select("rep", "n", F.explode("keys").alias("key")))
-    shared = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written, so that the join's sides are plain exchanges and a hot key's partition can be split
+    shared = written(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     member = member.join(shared, "key")
     popular = member.groupBy("rep").agg(F.sum("size").alias("pop"))
     member = written(member.drop("size").join(popular, "rep").withColumn("settled", F.lit(False)))
