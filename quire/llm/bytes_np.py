@@ -55,12 +55,21 @@ def flat_text(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_KEPT_POWERS = 1 << 22
+_kept: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """``base ** 0 .. base ** (n - 1)``, modulo 2**64; not to be written to."""
+    have = _kept.get(base)
+    if have is not None and len(have) >= n:
+        return have[:n]
+    out = np.full(n if n > _KEPT_POWERS else min(_KEPT_POWERS, max(n, 1 << 16) * 2), np.uint64(base), dtype=np.uint64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if len(out) <= _KEPT_POWERS:
+        _kept[base] = out
+    return out[:n]
 
 
 class Words:

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,15 +124,26 @@ def _variants(candidates: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             at, blobs = _column(batch, "at"), _column(batch, "words")
-            for i in range(batch.num_rows):
-                w = np.frombuffer(blobs[i].as_buffer(), dtype=np.uint64)
-                n = len(w)
-                up = _powers(n, _B1)
-                acc = np.zeros(n + 1, dtype=np.uint64)
-                np.add.accumulate(w * up, out=acc[1:])
-                cut = acc[:-1] + (acc[-1] - acc[1:]) * np.uint64(_INVERSE[_B1])
-                keys = mix64(np.concatenate([acc[-1:] + np.uint64(n), cut + np.uint64(n - 1)]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.arange(-1, n, dtype=np.int32)), at.take(pa.array(np.full(n + 1, i)))], ["v", "pos", "at"])
+            sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            ends = np.cumsum(sizes)
+            lo = 0
+            while lo < len(sizes):  # about a million variants at once
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+                n = sizes[lo:hi]
+                w = np.frombuffer(b"".join(blobs.slice(lo, hi - lo).to_pylist()), dtype=np.uint64)
+                end = np.cumsum(n)
+                start = end - n
+                acc = np.zeros(len(w) + 1, dtype=np.uint64)
+                np.add.accumulate(w * _powers(len(w), _B1), out=acc[1:])
+                down = _powers(len(w) + 1, _INVERSE[_B1])
+                own = np.repeat(np.arange(len(n)), n)
+                j = np.arange(len(w))
+                cut = (acc[j] - acc[start][own] + (acc[end][own] - acc[j + 1]) * np.uint64(_INVERSE[_B1])) * down[start][own]
+                keys = mix64(np.concatenate([(acc[end] - acc[start]) * down[start] + n.astype(np.uint64), cut + (n[own] - 1).astype(np.uint64)]))
+                pos = np.concatenate([np.full(len(n), -1), j - start[own]]).astype(np.int32)
+                line = np.concatenate([np.arange(len(n)), own]) + lo
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), at.take(pa.array(line))], ["v", "pos", "at"])
+                lo = hi
 
     return candidates.select("at", "words").mapInArrow(run, f"v long, pos int, at {at_type}")
 
@@ -200,15 +212,18 @@ def _line_words(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
             text, nos = _column(batch, "text"), _column(batch, "nos").to_pylist()
             xs, ds = _column(batch, "x").to_pylist(), _column(batch, "d").to_pylist()
             for lo, hi in slices(text):
-                lines = Lines(text.slice(lo, hi - lo))
-                at, blobs = [], []
-                for i in range(hi - lo):
+                at, picked = [], []
+                for i, t in enumerate(text.slice(lo, hi - lo).to_pylist()):
+                    split = t.split("\n") if t is not None else []
                     for no in nos[lo + i]:
-                        k = lines.starts[i] + no
-                        if k < lines.starts[i + 1]:
+                        if no < len(split):
                             at.append({"x": xs[lo + i], "d": ds[lo + i], "l": no})
-                            blobs.append(lines.words[lines.first[k] : lines.first[k + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.struct([("x", pa.bool_()), ("d", pa.int64()), ("l", pa.int32())])), pa.array(blobs, pa.binary())], ["at", "words"])
+                            picked.append(split[no])
+                words = Words(*flat_text(pa.array(picked, pa.large_string())))
+                blobs = words.hashes().tobytes()
+                ends = pa.py_buffer((words.first * 8).astype(np.int32))
+                binary = pa.Array.from_buffers(pa.binary(), len(picked), [None, ends, pa.py_buffer(blobs)])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.struct([("x", pa.bool_()), ("d", pa.int64()), ("l", pa.int32())])), binary], ["at", "words"])
 
     return joined.mapInArrow(run, "at struct<x:boolean,d:bigint,l:int>, words binary").dropDuplicates(["at"])
 
@@ -228,25 +243,29 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             text, gone = _column(batch, "text"), _column(batch, "__gone")
-            for lo, hi in slices(text):
-                part = text.slice(lo, hi - lo)
-                lines, values = Lines(part), part.to_pylist()
+            n_lines = pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 0).cast(pa.int32())
+            n_dropped, emptied = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, dtype=bool)
+            hit = np.flatnonzero(np.asarray(pc.fill_null(pc.greater(pc.list_value_length(gone), 0), False)))
+            some, new = text.take(pa.array(hit)), []
+            for lo, hi in slices(some):
+                part = some.slice(lo, hi - lo)
+                lines = Lines(part)
                 acc, down = lines.sums(_B1), _powers(len(lines.words) + 1, _INVERSE[_B1])
                 h1 = lines.spans(lines.first[:-1], lines.first[1:], _B1, acc, down).view(np.int64)
-                n_dropped, emptied = np.zeros(hi - lo, np.int32), np.zeros(hi - lo, dtype=bool)
-                for i, listed in enumerate(gone.slice(lo, hi - lo).to_pylist()):
-                    if not listed or values[i] is None:
-                        continue
+                for i, (value, row) in enumerate(zip(part.to_pylist(), hit[lo:hi].tolist())):
                     s, e = lines.starts[i], lines.starts[i + 1]
-                    out = {g["no"] for g in listed if s + g["no"] < e and h1[s + g["no"]] == g["h1"]}
-                    kept = [t for k, t in enumerate(values[i].split("\n")) if k not in out]
-                    values[i] = "\n".join(kept)
-                    n_dropped[i] = len(out)
-                    emptied[i] = bool(out) and not values[i].strip(" \t\n\r\x0b\x0c")
-                out = {n: batch.column(k).slice(lo, hi - lo) for k, n in enumerate(names)}
-                out["text"] = pa.array(values, pa.string())
-                out |= {"n_lines": pa.array(np.diff(lines.starts).astype(np.int32)), "n_dropped": pa.array(n_dropped), "emptied": pa.array(emptied)}
-                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+                    out = {g["no"] for g in gone[row].as_py() if s + g["no"] < e and h1[s + g["no"]] == g["h1"]}
+                    if value is not None and out:
+                        value = "\n".join([t for k, t in enumerate(value.split("\n")) if k not in out])
+                    new.append(value)
+                    n_dropped[row] = len(out)
+                    emptied[row] = bool(out) and not value.strip(" \t\n\r\x0b\x0c")
+            mask = np.zeros(batch.num_rows, dtype=bool)
+            mask[hit] = True
+            out = dict(zip(names, batch.columns))
+            out["text"] = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+            out |= {"n_lines": n_lines, "n_dropped": pa.array(n_dropped), "emptied": pa.array(emptied)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     out = joined.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
