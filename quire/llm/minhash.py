@@ -133,7 +133,7 @@ def _prefix_pairs(sets: DataFrame, open_reps: DataFrame, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sh), rep[i])), pa.array(np.full(len(sh), comp[i])), pa.array(np.full(len(sh), len(sh), dtype=np.int64)), pa.array(sh)], ["rep", "comp", "n", "sh"])
 
     rows = written(own.select("rep", "comp", "shingles").mapInArrow(explode, "rep long, comp long, n long, sh long"))
-    often = rows.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1")
+    often = written(rows.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1"))
     listed = rows.join(often, "sh").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("c", "sh"))).alias("common"))
     least = F.ceil(F.col("n") * percent / 100)  # smallest overlap with any partner
     take = F.col("n") - least + 1 - (F.col("n") - F.size("common"))
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, componen
         member = written(member.join(done, ["key", "rep"], "left").withColumn("settled", F.col("settled") | F.coalesce("led", F.lit(False))).drop("led"))
 
     now = _with_component(member.where("not settled"), groups)
-    unsettled = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    unsettled = written(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"))
     open_reps = written(now.join(unsettled, "key", "left_semi").select("rep", "comp").distinct())
     rest = written(_verified(written(_prefix_pairs(near, open_reps, percent)), near, percent))
     if not rest.isEmpty():
