@@ -105,15 +105,15 @@ def plain_title(c: Column) -> Column:
 
 
 def first_words(c: Column, n: int = 10) -> Column:
-    return F.array_join(F.slice(F.filter(F.split(c, f"[{WS}]+"), lambda w: w != ""), 1, n), " ")
+    # the split stops after the words that are wanted; white space in front makes one empty part
+    return F.array_join(F.slice(F.filter(F.split(c, f"[{WS}]+", n + 2), lambda w: w != ""), 1, n), " ")
 
 
 def derive_title(markdown: Column) -> Column:
     """The first heading of level 1 or 2, else the first ten readable words, else ``Untitled``."""
     heading = plain_title(F.regexp_extract(markdown, r"(?m)^#{1,2}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1))
-    empty = F.lit(None).cast("string")
-    none_if_blank = lambda x: F.when(x == "", empty).otherwise(x)
-    return F.coalesce(none_if_blank(heading), none_if_blank(first_words(readable_text(markdown))), F.lit("Untitled"))
+    # each candidate appears once in the expression, so each is worked out once
+    return F.get(F.filter(F.array(heading, first_words(readable_text(markdown)), F.lit("Untitled")), lambda x: x != ""), F.lit(0))
 
 
 def heading_lines(markdown: Column) -> Column:

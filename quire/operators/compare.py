@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .stage import staged
 
 #: Differences of blocks that are listed before the rest is left out.
 LISTED = 5
@@ -60,8 +61,10 @@ def length_warning(source: Column, translated: Column, band: tuple[float, float]
 def validate(pairs: DataFrame, unit_ids: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs(keys, source, translated, source_skeleton, translated_skeleton)`` -> (keys, ok, issues, warning).
 
-    Issues keep the order blocks, links, images, internal links.
+    Issues keep the order blocks, links, images, internal links.  The pairs are written once: their skeletons come from a
+    parser and are read by every comparison.
     """
+    pairs = staged(pairs)
     left = pairs.select(*keys, *[F.col(f"source_skeleton.{c}").alias(c) for c in ("blocks", "links", "images")])
     right = pairs.select(*keys, *[F.col(f"translated_skeleton.{c}").alias(c) for c in ("blocks", "links", "images")])
     issues = block_issues(positional_diff(left, right, keys, "blocks"), keys)
