@@ -55,7 +55,7 @@ def flat_text(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_KEPT_POWERS = 1 << 22
+_KEPT_POWERS = 1 << 20
 _kept: dict[int, np.ndarray] = {}
 
 
@@ -64,7 +64,7 @@ def _powers(n: int, base: int) -> np.ndarray:
     have = _kept.get(base)
     if have is not None and len(have) >= n:
         return have[:n]
-    out = np.full(n if n > _KEPT_POWERS else min(_KEPT_POWERS, max(n, 1 << 16) * 2), np.uint64(base), dtype=np.uint64)
+    out = np.full(n if n > _KEPT_POWERS else 1 << max(16, (n - 1).bit_length()), np.uint64(base), dtype=np.uint64)
     out[0] = 1
     np.multiply.accumulate(out, out=out)
     if len(out) <= _KEPT_POWERS:
@@ -102,7 +102,7 @@ class Words:
         raw, out = self.raw, np.empty((len(sizes), len(self.start)), dtype=np.uint64)
         if not out.size:
             return out
-        step = 1 << 20  # the polynomial runs over pieces of the buffer, so its tables stay small
+        step = 1 << 18  # the polynomial runs over pieces of the buffer, so its tables stay small
         table, lo = _TABLES[lower], 0
         longest = int((self.end - self.start).max())
         span = step + longest

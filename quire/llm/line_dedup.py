@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytes_np import Words, _powers, flat_text, mix64
 from .pair_join import with_values
-from .store import slices, with_fields, written
+from .store import slices, trim, with_fields, written
 
 _B1, _B2 = 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47
 _INVERSE = {b: pow(b, -1, 1 << 64) for b in (_B1, _B2)}
@@ -113,6 +113,7 @@ def _scan(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 ends = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[used]))
                 doc = ids.slice(lo, hi - lo).take(pa.array(x.doc[keep]))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(x.no[keep].astype(np.int32)), pa.array(h[0]), pa.array(h[1]), ends], ["doc_id", "no", "h1", "h2", "ends"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, no int, h1 long, h2 long, ends array<long>")
 
@@ -144,6 +145,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
                 line = np.concatenate([np.arange(len(n)), own]) + lo
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), at.take(pa.array(line))], ["v", "pos", "at"])
                 lo = hi
+        trim()
 
     return candidates.select("at", "words").mapInArrow(run, f"v long, pos int, at {at_type}")
 
@@ -266,6 +268,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
             out["text"] = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
             out |= {"n_lines": n_lines, "n_dropped": pa.array(n_dropped), "emptied": pa.array(emptied)}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        trim()
 
     out = joined.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

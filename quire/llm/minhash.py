@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bytes_np import Words, flat_text, mix64, shingle_hashes
 from .components import connected
 from .pair_join import with_values
-from .store import slices, written
+from .store import slices, trim, written
 from .superminhash import band_keys, signatures
 
 
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 5, components: int = 64, bands: i
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 keys = pa.compute.if_else(pa.array(n > 0), flat, pa.scalar(None, flat.type))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(n)), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), keys], ["doc_id", "n_shingles", "f1", "f2", "keys"])
+        trim()
 
     import pyarrow.compute  # noqa: F401
 
@@ -82,6 +83,7 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for lo, sh, st in _sets(text, width):
                 blob = pa.Array.from_buffers(pa.large_binary(), len(st) - 1, [None, pa.py_buffer((st * 8).astype(np.int64)), pa.py_buffer(sh.tobytes())])
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(st) - 1), blob.cast(pa.binary())], ["doc_id", "shingles"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import slices, with_fields
+from .store import slices, trim, with_fields
 from .unit_cache import UnitCache
 
 SPACE = "▁"
@@ -280,6 +280,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*names, "ids"])
         model(path).cache.clear()
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -319,6 +320,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
         model(path).cache.clear()
+        trim()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)

@@ -57,6 +57,17 @@ def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a task does so at its end, since idle Python workers stay."""
+    import ctypes
+    import ctypes.util
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
+        found.malloc_trim(0)
+
+
 def slices(column: pa.Array, max_bytes: int = 1 << 20):
     """Row ranges of a string column of at most ``max_bytes`` of text each; a longer text stands alone."""
     import numpy as np

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .bytes_np import IS_START, Words, flat_text, mix64
-from .store import slices, with_fields
+from .store import slices, trim, with_fields
 
 SAMPLE_DOCS = 900
 SAMPLE_CHARS = 5000
@@ -207,6 +207,7 @@ def tag(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 if spans:
                     out.append(_spans(words, p))
                 yield pa.RecordBatch.from_arrays(out, [*names, "score", *["spans"] * spans])
+        trim()
 
     return docs.mapInArrow(run, schema)
 
