@@ -190,52 +190,63 @@ class Run:
     ledger: DataFrame
 
 
-def call(misses: DataFrame, model: str, to: str, source: str, runner: Runner, concurrency: int) -> DataFrame:
-    """One call per row of ``misses(key, title, markdown)``: (key, text, no_cache, cache_read, output, finish_reason, duration_ms, call_error)."""
+def call(misses: DataFrame, model: str, to: str, source: str, runner: Runner, concurrency: int, document: str | None = None) -> DataFrame:
+    """One call per row of ``misses(key, title, markdown)``: (key, text, no_cache, cache_read, output, finish_reason, duration_ms, call_error).
+
+    With ``document``, that column of ``misses`` comes first.
+    """
     entry, system = models.find(model), models.system_prompt(to, source)
+    keys = [document, "key"] if document else ["key"]
 
     def run(frames):
         import pandas as pd
 
         for frame in frames:
             rows = []
-            for key, title, markdown in zip(frame["key"], frame["title"], frame["markdown"]):
+            for *key, title, markdown in zip(*[frame[c] for c in (*keys, "title", "markdown")]):
                 begun = time.time()
                 try:
                     got = with_retry(lambda: runner(entry, system, models.user_prompt(title, markdown, to, source), markdown))  # noqa: B023
-                    rows.append((key, got["text"], got["no_cache"], got["cache_read"], got["output"], got["finish_reason"], int((time.time() - begun) * 1000), None))
+                    rows.append((*key, got["text"], got["no_cache"], got["cache_read"], got["output"], got["finish_reason"], int((time.time() - begun) * 1000), None))
                 except Exception as error:
-                    rows.append((key, None, 0, 0, 0, None, 0, f"Model call failed: {error}"))
-            yield pd.DataFrame(rows, columns=["key", "text", "no_cache", "cache_read", "output", "finish_reason", "duration_ms", "call_error"])
+                    rows.append((*key, None, 0, 0, 0, None, 0, f"Model call failed: {error}"))
+            yield pd.DataFrame(rows, columns=[*keys, "text", "no_cache", "cache_read", "output", "finish_reason", "duration_ms", "call_error"])
 
-    once = misses.select("key", "title", "markdown").repartition(check_concurrency(concurrency))
-    return once.mapInPandas(run, "key string, text string, no_cache long, cache_read long, output long, finish_reason string, duration_ms long, call_error string")
+    once = misses.select(*keys, "title", "markdown").repartition(check_concurrency(concurrency))
+    kinds = ", ".join(f"`{c}` {once.schema[c].dataType.simpleString()}" for c in keys)
+    return once.mapInPandas(run, f"{kinds}, text string, no_cache long, cache_read long, output long, finish_reason string, duration_ms long, call_error string")
 
 
-def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str = models.DEFAULT_MODEL, to: str = "fr", source: str = "en", runner: Runner = echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = DEFAULT_CONCURRENCY, best_effort: bool = False) -> Run:
+def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str = models.DEFAULT_MODEL, to: str = "fr", source: str = "en", runner: Runner = echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = DEFAULT_CONCURRENCY, best_effort: bool = False, document: str | None = None) -> Run:
     """Run one document's units(unit_id, pos, title, path, markdown) through cache, budget, calls and validation.
 
-    The budget is kept on estimated costs in unit order, so it does not depend on timing.
+    The budget is kept on estimated costs in unit order, so it does not depend on timing.  With ``document``, that column of
+    ``units`` tells several documents apart: each has its own run and budget from the same cache, as if it ran alone.
     """
     from . import compare
     from .markdown import skeleton
 
     m, to = models.find(model), language_tag(to)
+    of = [document] if document else []
     jobs = keyed(units if only is None else units.where(F.col("pos").isin(only)), model, to)
     cache = cache.select(*[f.name for f in schemas.schema(schemas.CACHE).fields])
     hits = jobs.join(cache.drop("unit_id", "model", "cost_usd", "duration_ms").withColumnsRenamed({"markdown": "c_md", "translated_title": "c_title", "usage": "c_usage"}), "key", "left")
     est = X.estimate_cost(tokens_in(F.col("markdown"), F.col("title")), F.lit(0), tokens_out(F.col("markdown")), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
-    first = F.row_number().over(W.partitionBy("key").orderBy("pos")) == 1
+    first = F.row_number().over(W.partitionBy(*of, "key").orderBy("pos")) == 1
     planned = hits.withColumns({"hit": F.col("c_md").isNotNull(), "__one": F.lit(1)}).withColumn("est", F.when(F.col("hit") | ~first, 0.0).otherwise(est))
-    planned = budget(planned, max_cost, "__one", "pos", "est").drop("__one")
-    asked = planned.where(~F.col("hit") & ~F.col("over")).dropDuplicates(["key"])
-    call(asked, model, to, source, runner, concurrency).write.mode("errorifexists").parquet(ledger_path)
+    planned = budget(planned, max_cost, document or "__one", "pos", "est").drop("__one")
+    asked = planned.where(~F.col("hit") & ~F.col("over")).dropDuplicates([*of, "key"])
+    call(asked, model, to, source, runner, concurrency, document).write.mode("errorifexists").parquet(ledger_path)
     ledger = units.sparkSession.read.parquet(ledger_path)
-    rows = planned.join(ledger, "key", "left")
-    answer = rows.where("text is not null").select("unit_id", "pos", F.col("markdown").alias("source"), X.strip_outer_fence(F.col("text")).alias("translated"))
-    both = answer.withColumns({"source_skeleton": skeleton(F.col("source")), "translated_skeleton": skeleton(F.col("translated"))})
-    checked = compare.validate(both, units.select(F.col("unit_id").alias("unit")).distinct(), ["unit_id"])
-    rows = rows.join(checked, "unit_id", "left").withColumn("answer", X.strip_outer_fence(F.col("text")))
+    rows = planned.join(ledger, [*of, "key"], "left")
+    answer = rows.where("text is not null").select(*[F.col(c).alias("__document") for c in of], "unit_id", F.col("markdown").alias("source"), X.strip_outer_fence(F.col("text")).alias("translated"))
+    same = F.col("source") == F.col("translated")  # the same text is parsed once
+    both = answer.withColumns({"source_skeleton": skeleton(F.col("source")), "__other": skeleton(F.when(~same, F.col("translated")))})
+    both = both.withColumn("translated_skeleton", F.when(same, F.col("source_skeleton")).otherwise(F.col("__other"))).drop("__other")
+    # under a name of its own, for the document's column may be called source too
+    known = units.select(*[F.col(c).alias("__document") for c in of], F.col("unit_id").alias("unit")).distinct()
+    checked = compare.validate(both, known, [*["__document" for _ in of], "unit_id"])
+    rows = rows.join(checked.withColumnsRenamed({"__document": document} if document else {}), [*of, "unit_id"], "left").withColumn("answer", X.strip_outer_fence(F.col("text")))
     cost = X.estimate_cost(F.col("no_cache"), F.col("cache_read"), F.col("output"), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
     cut = F.col("finish_reason") == "length"
     problem = (
@@ -249,23 +260,23 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
     from .markdown import first_heading
 
     billed = F.coalesce(F.col("call_error").isNull() & F.col("text").isNotNull() & ~F.col("hit"), F.lit(False))
-    first_bill = F.row_number().over(W.partitionBy("key").orderBy("pos")) == 1
+    first_bill = F.row_number().over(W.partitionBy(*of, "key").orderBy("pos")) == 1
     usage = F.struct(*[F.coalesce(F.when(billed, F.col(c)), F.lit(0)).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])
     results = rows.select(
-        "unit_id", "pos", F.col("title").alias("unit_title"), F.col("path").alias("unit_path"), status.alias("status"), F.lit(model).alias("model"),
+        *of, "unit_id", "pos", F.col("title").alias("unit_title"), F.col("path").alias("unit_path"), status.alias("status"), F.lit(model).alias("model"),
         F.when(billed, F.col("duration_ms")).otherwise(0).cast("long").alias("duration_ms"), F.when(F.col("hit"), F.col("c_usage")).otherwise(usage).alias("usage"),
         F.when(billed & first_bill, cost).otherwise(0.0).alias("cost_usd"), F.when(F.col("hit"), F.col("c_md")).when(status == "translated", F.col("answer")).alias("markdown"),
         F.when(F.col("hit"), F.coalesce("c_title", "title")).when(status == "translated", F.coalesce(first_heading(F.col("answer")), F.col("title"))).alias("translated_title"),
         problem.alias("error"), F.when(billed & ~cut & F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>")).alias("warnings"), "key",
     )
     new = results.where("status = 'translated'").dropDuplicates(["key"]).select("key", "unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
-    filled = units.select("unit_id", "pos", F.col("title").alias("t0"), F.col("path").alias("p0"), F.col("markdown").alias("m0")).join(results.drop("pos"), "unit_id", "left")
+    filled = units.select(*of, "unit_id", "pos", F.col("title").alias("t0"), F.col("path").alias("p0"), F.col("markdown").alias("m0")).join(results.drop("pos"), [*of, "unit_id"], "left")
     missing = F.col("status").isNull()
     text = F.when(missing, F.col("m0")).when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("markdown", "m0")).otherwise(F.col("markdown"))
     final = filled.select(
-        "unit_id", "pos", F.col("t0").alias("unit_title"), F.col("p0").alias("unit_path"), F.coalesce("status", F.lit("skipped")).alias("status"), F.lit(model).alias("model"), F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),
+        *of, "unit_id", "pos", F.col("t0").alias("unit_title"), F.col("p0").alias("unit_path"), F.coalesce("status", F.lit("skipped")).alias("status"), F.lit(model).alias("model"), F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),
         F.coalesce("usage", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])).alias("usage"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), text.alias("markdown"),
         F.when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("translated_title", "t0")).otherwise(F.col("translated_title")).alias("translated_title"), F.when(missing, UNSELECTED_REASON).otherwise(F.col("error")).alias("error"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
     )
-    return Run(final.orderBy("pos"), merged_cache(cache, new), ledger)
+    return Run(final.orderBy(*of, "pos"), merged_cache(cache, new), ledger)

@@ -515,8 +515,8 @@ def render_unit_page(spark, sf_dir):
 
 @_query()
 def translate_echo(spark, sf_dir):
-    """One project's units through the whole run with the offline runner: results by status."""
-    units = _units(spark, sf_dir).where("source = 'src0'").withColumn("path", X.unit_path(F.col("pos"), F.col("title")))
+    """Every project's units through a run of its own, with a budget of its own, by the offline runner: results by status."""
+    units = _units(spark, sf_dir).withColumn("path", X.unit_path(F.col("pos"), F.col("title")))
     empty = spark.createDataFrame([], translate.schemas.CACHE)
-    run = translate.translate(staged(units.select("unit_id", "pos", "title", "path", "markdown")), empty, shared_path(spark, "ledger"), max_cost=1.0)
-    return translate.run_summary(run.results, "model")
+    run = translate.translate(staged(units.select("source", "unit_id", "pos", "title", "path", "markdown")), empty, shared_path(spark, "ledger"), max_cost=1.0, document="source")
+    return translate.run_summary(run.results, "source", "model")

@@ -66,3 +66,9 @@ def test_everything_else_works_without_the_training_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
     found = subprocess.run(["grep", "-rlE", r"(quire|\.+)\.?llm|corpus_pipeline", str(copy / "quire"), "--include=*.py"], capture_output=True, text=True).stdout
     assert not found
+
+
+def test_translate_echo_runs_every_project(spark, sf_dir, con):
+    got = catalogue.queries()["translate_echo"](spark, sf_dir).collect()
+    counts = {r.source: r.translated + r.cached + r.failed + r.skipped for r in got}
+    assert len(got) == len(counts) > 1 and counts == dict(con.sql("select source, count(*) from documents group by 1").fetchall())
