@@ -44,8 +44,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every text that is left."""
-    return sentencepiece_np.round_trip(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, position) of every text that is left.
+
+    Readers plan files by size, so rows do not come in the order in which they were written.  ``position`` (part, file and row of
+    the table that ``docs`` reads) has it: the result ordered by it is the mixed order.
+    """
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("int")
+    position = F.struct(number(r"^part-(\d+)").alias("part"), number(r"-c(\d+)\.").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return sentencepiece_np.round_trip(docs.withColumn("position", position), vocabulary("piece_bpe_32k.model"), with_ids=True, keep=("position",))
 
 
 STAGES = [

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import slices, trim, with_fields
 from .unit_cache import UnitCache
@@ -298,10 +299,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted) of each text, encoded and decoded again in one pass."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids if wanted, columns to keep) of each text, encoded and decoded again in one pass."""
     import hashlib
 
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    fields = [docs.schema[c] for c in keep]
+
     def run(batches):
         for part, texts in _texts(batches):
             m = model(path)
@@ -318,9 +322,10 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             out = {"doc_id": doc_id, "n_tokens": pa.array(counts), "ids_sha256": pa.array(shas), "decoded_sha256": pa.array(back)}
             if with_ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+            out |= {c: part.column(part.schema.get_field_index(c)) for c in keep}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
         model(path).cache.clear()
         trim()
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = T.StructType.fromDDL("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.mapInArrow(run, T.StructType([*schema.fields, *fields]))

@@ -79,3 +79,18 @@ def test_mixing_stage_orders_the_table(spark, tmp_path):
     read = [i for f in files for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
     place = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs).collect()}
     assert sorted(read) == list(range(400)) and [place[i] for i in read] == sorted(place.values())
+
+
+def test_pipeline_returns_the_mixed_order(spark, tmp_path, monkeypatch):
+    from quire.llm import mixing
+
+    # files of very different sizes, which a reader takes up largest first
+    rows = [(i, f"word {i} " * (900 if i % 5 == 0 else 20), "en", f"s{i % 4 if i % 3 else 0}", 1500) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    place = {r.doc_id: (r.slot, r.place) for r in mixing.mix(docs).collect()}
+    found = [r.doc_id for r in got.orderBy("position").collect()]
+    assert sorted(found) == list(range(300)) and [place[i] for i in found] == sorted(place.values())
+    assert got.select("position").distinct().count() == len(rows)
