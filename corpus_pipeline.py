@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines; documents of which nothing is left go, documents that had no words stay."""
-    cleaned = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs))
+    """Texts without repeated lines, short ones of copied runs included; documents of which nothing is left go, documents that had no words stay."""
+    cleaned = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, short_runs=True), short_runs=True)
     return cleaned.where(~F.col("emptied")).select(*docs.columns)
 
 

@@ -3,7 +3,10 @@
 A line's words (A-Z lower-cased) are its symbols.  Lines of ``min_words`` words or more are duplicates of an earlier
 line with the same words; lines of ``near_words`` or more also of an earlier one within one edit (a word
 inserted, deleted or replaced).  Earlier means smaller (doc_id, line number), null doc_ids last.  A line goes
-if any earlier line is that close, so the earliest of each stays.  Shorter lines always stay.
+if any earlier line is that close, so the earliest of each stays.  Shorter lines stay, unless ``short_runs`` is set:
+then a line of 1 to ``min_words`` - 1 words goes as part of a copied run.  That is: the nearest lines of
+``min_words`` or more before and after it in its text (those there are) all go, and an earlier line has the same words at
+the same distance from an equal line of ``min_words`` or more on the same side.
 
 Plan
 1. One Arrow pass hashes every line (128 bits) with its beginning and end; equal lines become one class.
@@ -75,6 +78,26 @@ class Lines:
         return mix64((acc[b] - acc[a]) * down[a] + (b - a).astype(np.uint64))
 
 
+def _short_lines(x: Lines, h1: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of 1 to ``min_words`` - 1 words, and in two rows their neighbours (the nearest longer lines of the text before and after, or -1) and keys.
+
+    A key stands for the words of the line, those of the neighbour, their distance and the side.
+    """
+    short, long = np.flatnonzero((x.n > 0) & (x.n < min_words)), np.flatnonzero(x.n >= min_words)
+    at = np.searchsorted(long, short)
+    beside, keys = np.full((2, len(short)), -1), np.zeros((2, len(short)), dtype=np.int64)
+    h = h1.view(np.uint64)
+    for side, where in enumerate((at - 1, at)):
+        some = np.flatnonzero((where >= 0) & (where < len(long)))
+        other = long[where[some]]
+        same = x.doc[other] == x.doc[short[some]]
+        some, other = some[same], other[same]
+        beside[side, some] = other
+        gap = (np.abs(other - short[some]) * 2 + side).astype(np.uint64)
+        keys[side, some] = mix64(mix64(h[short[some]] + gap * np.uint64(_B2)) + h[other] * np.uint64(_B1)).view(np.int64)
+    return short, beside, keys
+
+
 def _half(n: np.ndarray) -> np.ndarray:
     """Length of the ends that a line of n words compares: a power of two, at most (n - 1) / 2."""
     return 1 << np.maximum(np.log2(np.maximum((n - 1) // 2, 1)).astype(np.int64), 0)
@@ -84,8 +107,13 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _scan(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """(doc_id, no, h1, h2, ends): lines of ``min_words`` words or more; ``ends``: keys of beginnings and ends, null for short lines."""
+def _scan(docs: DataFrame, min_words: int, near_words: int, short_runs: bool = False) -> DataFrame:
+    """(doc_id, no, h1, h2, ends): lines of ``min_words`` words or more; ``ends``: keys of beginnings and ends, null for short lines.
+
+    With ``short_runs`` also shorter lines, by a column ``keys`` that is null for the others: see ``_short_lines``.
+    """
+
+    names = ["doc_id", "no", "h1", "h2", "ends", *["keys"] * short_runs]
 
     def run(batches):
         for batch in batches:
@@ -112,10 +140,24 @@ def _scan(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 offs = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
                 ends = pa.ListArray.from_arrays(pa.array(offs), pa.array(flat[used]))
                 doc = ids.slice(lo, hi - lo).take(pa.array(x.doc[keep]))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(x.no[keep].astype(np.int32)), pa.array(h[0]), pa.array(h[1]), ends], ["doc_id", "no", "h1", "h2", "ends"])
+                columns = [doc, pa.array(x.no[keep].astype(np.int32)), pa.array(h[0]), pa.array(h[1]), ends]
+                yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(keep), pa.list_(pa.int64()))] * short_runs, names)
+                if short_runs:
+                    whole = []
+                    for base in (_B1, _B2):
+                        acc, down = x.sums(base), _powers(len(x.words) + 1, _INVERSE[base])
+                        whole.append(x.spans(x.first[:-1], x.first[1:], base, acc, down).view(np.int64))
+                    short, beside, keys = _short_lines(x, whole[0], min_words)
+                    used = (beside >= 0).T
+                    pick = used.any(axis=1)
+                    offs = np.concatenate([[0], np.cumsum(used[pick].sum(axis=1))]).astype(np.int32)
+                    short, listed = short[pick], pa.ListArray.from_arrays(pa.array(offs), pa.array(keys.T[used]))
+                    doc = ids.slice(lo, hi - lo).take(pa.array(x.doc[short]))
+                    columns = [doc, pa.array(x.no[short].astype(np.int32)), pa.array(whole[0][short]), pa.array(whole[1][short]), pa.nulls(len(short), pa.list_(pa.int64())), listed]
+                    yield pa.RecordBatch.from_arrays(columns, names)
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, no int, h1 long, h2 long, ends array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, no int, h1 long, h2 long, ends array<long>" + ", keys array<long>" * short_runs)
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
@@ -176,10 +218,19 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"at {kind}, of {kind}")
 
 
-def duplicate_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) -> DataFrame:
-    """(doc_id, no, h1): every line that goes, with the hash of its words."""
+def duplicate_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8, short_runs: bool = False) -> DataFrame:
+    """(doc_id, no, h1): every line that goes, with the hash of its words.
+
+    With ``short_runs`` also the repeated shorter lines, with the key that repeats; whether their neighbours go is for
+    ``drop_lines``, which sees both.
+    """
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("no").alias("l"))
-    lines = written(_scan(docs, min_words, near_words).withColumn("at", place))
+    lines = written(_scan(docs, min_words, near_words, short_runs).withColumn("at", place))
+    if short_runs:
+        keyed = lines.where("keys is not null").select("doc_id", "no", "at", "h2", F.explode("keys").alias("key"))
+        firsts = written(keyed.groupBy("key", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").drop("last"))
+        repeated = keyed.join(firsts, ["key", "h2"]).where("first < at").select("doc_id", "no", F.col("key").alias("h1"))
+        lines = lines.where("keys is null").drop("keys")
     classes = written(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("ends").alias("ends"), F.count("*").alias("copies")))
     # ends shared with another class
     ends = classes.select("at", F.explode("ends").alias("end"))
@@ -201,7 +252,8 @@ def duplicate_lines(docs: DataFrame, min_words: int = 3, near_words: int = 8) ->
     near = _verified(with_values(pairs, candidates.select(F.col("at").alias("id"), F.col("words").alias("value")))).select("at", F.lit(True).alias("near"))
     # every later copy of a class goes; its first line goes if an earlier line is near
     judged = classes.join(near, "at", "left").where("copies > 1 or near").select("h1", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.join(judged, ["h1", "h2"]).where("near or first < at").select("doc_id", "no", "h1")
+    gone = lines.join(judged, ["h1", "h2"]).where("near or first < at").select("doc_id", "no", "h1")
+    return gone.unionByName(repeated) if short_runs else gone
 
 
 def _line_words(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
@@ -230,10 +282,10 @@ def _line_words(docs: DataFrame, per_doc: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "at struct<x:boolean,d:bigint,l:int>, words binary").dropDuplicates(["at"])
 
 
-def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+def drop_lines(docs: DataFrame, gone: DataFrame, min_words: int = 3, short_runs: bool = False) -> DataFrame:
     """``docs`` without the lines of ``gone``, and the columns ``n_lines``, ``n_dropped`` and ``emptied``.
 
-    ``emptied``: the text had words and has none left.
+    ``min_words`` and ``short_runs`` are those of ``duplicate_lines``.  ``emptied``: the text had words and has none left.
     """
     docs = docs.drop("n_lines", "n_dropped", "emptied")
     names = docs.columns
@@ -254,9 +306,18 @@ def drop_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 lines = Lines(part)
                 acc, down = lines.sums(_B1), _powers(len(lines.words) + 1, _INVERSE[_B1])
                 h1 = lines.spans(lines.first[:-1], lines.first[1:], _B1, acc, down).view(np.int64)
+                short, beside, keys = _short_lines(lines, h1, min_words) if short_runs else (np.zeros(0, np.int64), None, None)
                 for i, (value, row) in enumerate(zip(part.to_pylist(), hit[lo:hi].tolist())):
                     s, e = lines.starts[i], lines.starts[i + 1]
-                    out = {g["no"] for g in gone[row].as_py() if s + g["no"] < e and h1[s + g["no"]] == g["h1"]}
+                    listed = gone[row].as_py()
+                    out = {g["no"] for g in listed if s + g["no"] < e and h1[s + g["no"]] == g["h1"]}
+                    lo_s, hi_s = np.searchsorted(short, (s, e))
+                    if lo_s < hi_s:
+                        repeats, long_out = {(g["no"], g["h1"]) for g in listed}, {-1, *(s + k for k in out)}
+                        for j in range(lo_s, hi_s):
+                            k, (before, after) = int(short[j] - s), beside[:, j].tolist()
+                            if before in long_out and after in long_out and any(b >= 0 and (k, h) in repeats for b, h in zip((before, after), keys[:, j].tolist())):
+                                out.add(k)
                     if value is not None and out:
                         value = "\n".join([t for k, t in enumerate(value.split("\n")) if k not in out])
                     new.append(value)

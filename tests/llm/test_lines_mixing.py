@@ -124,3 +124,48 @@ def test_mixing_equals_its_sql(spark):
     want = con.sql(mixing.oracle_sql(block_chars=300, resolution=20)).fetchall()
     assert sorted(tuple(r) for r in got.select("doc_id", "source_key", "block", "release", "deadline", "slot", "place").collect()) == sorted(want)
     assert lower("ÀB") == "Àb"
+
+
+def without_copied_runs(rows):
+    """What ``short_runs`` drops, plainly, for rows with different doc_ids: cleaned text per row."""
+    texts = {i: t.split("\n") for i, t in rows}
+    size = {(i, k): len(words(x)) for i, t in texts.items() for k, x in enumerate(t)}
+    same = lambda a, b: words(texts[a[0]][a[1]]) == words(texts[b[0]][b[1]])
+    edited = lambda a, b: min(size[a], size[b]) >= 8 and near(words(texts[a[0]][a[1]]), words(texts[b[0]][b[1]]))
+    first = {a: min(b for b in size if same(a, b)) for a in size}
+    gone = {a for a in size if size[a] >= 3 and (first[a] < a or any(b < first[a] and edited(a, b) for b in size))}
+
+    def beside(a, step):
+        k = a[1] + step
+        while (a[0], k) in size and size[a[0], k] < 3:
+            k += step
+        return (a[0], k) if (a[0], k) in size else None
+
+    def repeats(a, step):
+        n = beside(a, step)
+        return n and any(b < a and same(a, b) and (m := beside(b, step)) and m[1] - b[1] == n[1] - a[1] and same(n, m) for b in size if 0 < size[b] < 3)
+
+    short = {a for a in size if 0 < size[a] < 3 and all(n is None or n in gone for n in (beside(a, -1), beside(a, 1))) and (repeats(a, -1) or repeats(a, 1))}
+    return ["\n".join(x for k, x in enumerate(texts[i]) if (i, k) not in gone | short) for i, _ in rows]
+
+
+def test_short_lines_of_copied_runs_go(spark):
+    rng = random.Random(5)
+    pool = ["Title", "The end", "*", "", "one two three", "four five six seven", "a b c d e f g h i", "a b c d e f g h j", "k l m n o p q r s t", "k l m n o p q r s"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    rows += [(100, "Head\nunique line of words\nMiddle\nanother unique line here\nTail"), (101, "Head\nunique line of words\nMiddle\nanother unique line here\nTail")]
+    rows += [(102, "Head\nunique line of words\nNew one\nanother unique line here\nTail\nsomething not seen before")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, short_runs=True), short_runs=True).collect()}
+    want = dict(zip([i for i, _ in rows], without_copied_runs(rows)))
+    assert {i: r.text for i, r in got.items()} == want
+    assert got[100].text == rows[60][1] and got[101].emptied and got[102].text == "New one\nTail\nsomething not seen before"
+    assert sum(w != t for w, t in zip(want.values(), brute(rows))) > 5
+
+
+def test_exact_copies_leave_no_stub_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = "Title\n\na line of some words\nTwo words\na second line of words\nEnd"
+    docs = spark.createDataFrame([(i, text if i < 4 else "Title\nquite other words here", "en", "s", 1) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()) == [(0, text), (4, "Title\nquite other words here")]
