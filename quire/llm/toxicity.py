@@ -8,8 +8,8 @@ word beginnings are taken greedily while they explain toxic documents that the l
 yet and hardly ever occur in clean ones.  The CRF is fitted to these token labels; a logistic model then
 turns expected toxic tokens, the highest marginal and the length into a document score.
 
-The sample is bounded: at most ``SAMPLE_DOCS`` labelled documents of each class, chosen by a hash of doc_id, of at most
-``SAMPLE_CHARS`` characters each.  Scoring reads every whole text and nothing else of a document.
+The sample is bounded: at most ``SAMPLE_DOCS`` labelled documents of each class, chosen by a hash of doc_id, of together at
+most ``SAMPLE_DOCS * SAMPLE_CHARS`` characters.  Texts are whole, so long ones train too.  Scoring reads every whole text and nothing else of a document.
 
 Cases: null or empty text: no tokens, the score of the base rate of texts without toxic tokens, no spans.
 No labels, or labels of one class only: every score is that share of ones (0 without labels).  Null label rows are
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .bytes_np import IS_START, Words, flat_text, mix64
-from .store import slices, trim, with_fields
+from .store import slices, trim, with_fields, written
 
-SAMPLE_DOCS = 900
-SAMPLE_CHARS = 5000
+SAMPLE_DOCS = 1200
+SAMPLE_CHARS = 6000
 TABLE = 1 << 18
 PREFIXES = (None, 3, 4, 5, 7)
 #: A document is explained by so many toxic tokens.
@@ -173,15 +173,24 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     total = sum(counts.values())
     if not total:
         return Model(np.zeros(1), np.zeros((2, 2)), np.zeros(5), 0.0)
-    # candidates are drawn from the ids first; twice the bound leaves room for texts that are too long or missing
+    # candidates are drawn from the ids first; twice the bound leaves room for texts that are missing
     drawn = None
     for c in (0, 1):
         part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_docs)
         drawn = part if drawn is None else drawn.unionByName(part)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").where((F.length("text") > 0) & (F.length("text") <= sample_chars))
-    rows = joined.dropDuplicates(["doc_id"]).collect()  # at most 4 * sample_docs rows of at most sample_chars characters
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    sample = [r for c in (0, 1) for r in [r for r in rows if r.toxic == c][:sample_docs]]
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id").where(F.length("text") > 0)
+    found = written(joined.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))  # at most 4 * sample_docs rows
+    sizes = found.select("doc_id", "toxic", F.length("text").alias("n")).collect()
+    sizes.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
+    # a text longer than all the room a class has left is passed over
+    ids, rows, room = [], {0: sample_docs, 1: sample_docs}, {0: sample_docs * sample_chars, 1: sample_docs * sample_chars}
+    for r in sizes:
+        if rows[r.toxic] and r.n <= room[r.toxic]:
+            ids.append(r.doc_id)
+            rows[r.toxic] -= 1
+            room[r.toxic] -= r.n
+    place = {i: k for k, i in enumerate(ids)}
+    sample = sorted(found.where(F.col("doc_id").isin(ids)).collect(), key=lambda r: (r.toxic, place[r.doc_id])) if ids else []
     return fit([r.text for r in sample], np.array([r.toxic for r in sample]), counts.get(1, 0) / total)
 
 

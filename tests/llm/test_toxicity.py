@@ -88,3 +88,18 @@ def test_offsets_count_code_points():
     words = toxicity.tokens(pa.array([text, None, ""], pa.large_string()))
     spans = toxicity._spans(words, model.token_marginals(words)).to_pylist()
     assert [text[s["begin"] : s["end"]] for s in spans[0]] and all(text[s["begin"] : s["end"]].lower().startswith("gromf") for s in spans[0]) and spans[1:] == [[], []]
+
+
+def test_long_texts_train_whole_within_the_bound(spark, monkeypatch):
+    rows = [(i, t if y else t + " stone" * (2000 if i % 3 == 0 else 1), y) for i, t, y in corpus(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.append(list(zip(texts, toxic))))
+    toxicity.train(docs, labels)
+    whole = {t for _, t, _ in rows}
+    assert {t for t, _ in seen[0]} <= whole and max(len(t) for t, _ in seen[0]) > 10_000
+    toxicity.train(docs, labels, 10, 1300)
+    for c in (0, 1):
+        own = [len(t) for t, y in seen[1] if y == c]
+        assert 0 < len(own) <= 10 and sum(own) <= 13_000
