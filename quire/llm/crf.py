@@ -99,12 +99,18 @@ def marginals(unary: np.ndarray, starts: np.ndarray, trans: np.ndarray) -> np.nd
     return x[:, 1] / x.sum(axis=1)
 
 
+#: Tokens whose pairs of states are worked out at once in a step of the fit.
+PART = 1 << 16
+
+
 def fit(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, size: int, steps: int = 40, rate: float = 0.25, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights ``(size,)`` of hashed features ``(n_features, n_tokens)`` and transitions, by Adam on the conditional likelihood."""
     n = features.shape[1]
     w, trans = np.zeros(size), np.array([[0.0, -2.0], [0.0, -2.0]])
     used = np.unique(features)
-    local = np.searchsorted(used, features).astype(np.int32)
+    local = np.empty(features.shape, dtype=np.int32)  # row by row: wide copies of all features would be most of the memory
+    for to, row in zip(local, features):
+        to[:] = np.searchsorted(used, row)
     moment = [np.zeros(len(used)), np.zeros(len(used)), np.zeros((2, 2)), np.zeros((2, 2))]
     theta = np.zeros(len(used))
     prev = np.concatenate([[0], labels[:-1]])
@@ -113,22 +119,28 @@ def fit(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, size: int,
     np.add.at(seen, (prev, labels), 1)
     heads = starts[:-1][np.diff(starts) > 0]
     for step in range(1, steps + 1):
-        unary = theta[local].sum(axis=0)
+        unary = np.zeros(n)
+        for row in local:
+            unary += theta[row]
         alpha, beta, _ = messages(unary, starts, trans)
         x = alpha * beta
         p = x[:, 1] / x.sum(axis=1)
-        before = np.concatenate([[[1.0, 0.0]], alpha[:-1]])
-        before[heads] = [1.0, 0.0]
-        after = beta.copy()
-        after[:, 1] *= np.exp(np.clip(unary, -30, 30))
-        pair = before[:, :, None] * np.exp(trans - trans.max())[None] * after[:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        pairs = np.zeros((2, 2))
+        for lo in range(0, n, PART):
+            hi = min(lo + PART, n)
+            before = np.concatenate([[[1.0, 0.0]] if lo == 0 else alpha[lo - 1 : lo], alpha[lo : hi - 1]])
+            before[heads[(heads >= lo) & (heads < hi)] - lo] = [1.0, 0.0]
+            after = beta[lo:hi].copy()
+            after[:, 1] *= np.exp(np.clip(unary[lo:hi], -30, 30))
+            pair = before[:, :, None] * np.exp(trans - trans.max())[None] * after[:, None, :]
+            pair /= pair.sum(axis=(1, 2), keepdims=True)
+            pairs += pair.sum(axis=0)
         off = p - labels
         grad = np.zeros(len(used))
         for row in local:
             grad += np.bincount(row, weights=off, minlength=len(used))
         grad = grad / n * 100 + l2 * theta
-        grad_t = (pair.sum(axis=0) - seen) / n * 100
+        grad_t = (pairs - seen) / n * 100
         grad_t[:, 0] = 0  # O after either state is the reference
         for value, g, i in ((theta, grad, 0), (trans, grad_t, 2)):
             moment[i] = 0.9 * moment[i] + 0.1 * g
