@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pair_join import hot_join
 from .store import written
 
 
@@ -37,5 +38,5 @@ def connected(edges: DataFrame) -> DataFrame:
         step = parent.select(F.col("node").alias("root"), "p")
         roots = roots.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
     roots = written(roots)
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(least, "root").select("node", "component")
+    least = roots.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("rows"))
+    return hot_join(roots, least, ["root"], "rows").select("node", "component")

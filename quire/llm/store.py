@@ -1,12 +1,14 @@
 """Tables and files in the folder that all executors share.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: a lost executor then costs only the tasks it
-ran, and no step is computed twice.  When the setting is absent (tests, one machine) a local default is set.
+ran, and no step is computed twice.  When the setting is absent, a local default is set if the master is local (tests, one
+machine); on a cluster that is an error, since executors do not see each other's disks.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 import pyarrow as pa
@@ -21,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the shared checkpoint folder; it goes when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = _LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"

@@ -76,3 +76,61 @@ def test_connected_components(spark):
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 100, 300: 300, 301: 300, 302: 300}
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def by_id(rows, percent):
+    """Components when the rows of one doc_id are one document."""
+    keyed = [(k, t) for k, (i, t) in enumerate(rows) if i is not None]
+    parent = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (_, root) in brute(keyed, percent).items():
+        x, y = sorted((find(rows[k][0]), find(rows[root][0])))
+        parent[y] = x
+    return {i: find(i) for i in parent}
+
+
+def test_texts_that_share_a_doc_id(spark):
+    def say(mark, n=80):
+        return " ".join(f"{mark}{k}" for k in range(n))
+
+    w, v = say("w"), say("v")
+    rows = [(5, w), (5, v), (6, w + " tail"), (7, v + " tail"), (8, say("x")), (8, ""), (9, None), (9, say("x")), (2, "lone text"), (2, "other text here"), (None, w), (None, v)]
+    rows += messy(4, 30) + [(i, t) for i, t in messy(5, 30) if i is not None]
+    got = minhash.near_duplicates(frame(spark, rows)).collect()
+    want = by_id(rows, 85)
+    assert want[6] == want[7] == 5 or want[5] < 5
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted((i, len(shingles(t)), want[i]) for i, t in rows if i is not None)
+    assert sum(r.doc_id is None for r in got) == sum(i is None for i, _ in rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = messy(6, 40) + [(3, "different words " * 9), (3, None), (3, None), (None, "a row without an id " * 6), (None, "z " * 30), (1, "z " * 30)]
+    got = minhash.representatives(frame(spark, rows))
+    assert got.columns == frame(spark, rows).columns
+    groups = {}
+    for k, (_, root) in brute(list(enumerate(t for _, t in rows)), 80).items():
+        if shingles(rows[k][1]):
+            groups.setdefault(root, set()).add(k)
+    stay = [(r.doc_id, r.text) for r in got.collect()]
+    worded = [x for x in stay if shingles(x[1])]
+    assert sorted(map(repr, (x for x in stay if not shingles(x[1])))) == sorted(repr((i, t)) for i, t in rows if not shingles(t))
+    assert len(worded) == len(groups)
+    for members in groups.values():  # exactly one of each group, the smallest doc_id, null ids last
+        low = min((rows[k][0] is None, rows[k][0] or 0) for k in members)
+        assert sum((i is None, i or 0) == low and (i, t) in {rows[k] for k in members} for i, t in worded) == 1
+    assert minhash.representatives(frame(spark, rows).where("false")).count() == 0
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from quire.llm import pair_join
+
+    left = spark.createDataFrame([(0, i) for i in range(3000)] + [(k, k) for k in range(1, 2000)] + [(-1, 0), (None, 1)], "k long, v long")
+    right = spark.createDataFrame([(0, "hot", 3000)] + [(k, f"x{k}", 1) for k in range(1, 2000)], "k long, w string, n long")
+    plain = {how: sorted(map(repr, left.join(right.drop("n"), "k", how).collect())) for how in ("inner", "left")}
+    for how, want in plain.items():
+        assert sorted(map(repr, pair_join.hot_join(left, right, ["k"], "n", how).collect())) == want
