@@ -85,13 +85,13 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, no
 """
 
 TOPK = """
-with v as (
-  select vec_id, [floor(256 * x::double)::bigint for x in embedding] as q from embeddings
+with v as materialized (
+  select row_number() over () as row_no, vec_id, [floor(256 * x::double)::bigint for x in embedding] as q from embeddings
   where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), p as (
-  select a.vec_id as query_id, b.vec_id, list_inner_product(a.q::double[], b.q::double[])::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)
+  select a.row_no, a.vec_id as query_id, b.vec_id, list_inner_product(a.q::double[], b.q::double[])::bigint as score from v a join v b on a.vec_id % 50 = 0 and a.row_no <> b.row_no and len(a.q) = len(b.q)
 ), r as (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p
+  select *, row_number() over (partition by row_no order by score desc, vec_id) as rank from p
 )
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """

@@ -1,5 +1,7 @@
 import hashlib
 import re
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
@@ -125,13 +127,32 @@ def test_searches(spark, monkeypatch):
         rows[i] = (i, rows[7][1])  # ties
     rows[9], rows[11], rows[50], rows[13] = (9, None), (11, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (50, [float("nan")] * 6), (13, [float("inf")] * 6)
     rows += [(400, [0.1, 0.2]), (401, [0.3, 0.4]), (450, [1.0] * 7), (None, [1.0] * 6), (20, rows[20][1]), (0, rows[0][1]), (402, [])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string").repartition(3)
+    rows += [(30, [9.0] * 6), (30, [9.0] * 6), (100, [-0.0, 0.0, 0.5, 0.25, 0.0, 1.0]), (150, [5e-324, -5e-324, 1.0, 1.0, 1.0, 1.0]), (150, [0.5] * 6)]
+    check_searches(spark, rows)
+
+
+def check_searches(spark, rows):
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rank string").repartition(3)
     got = bitsliced.top_k(df, df.where("vec_id % 50 = 0"), k=5).collect()
-    good = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    want = set()
-    for q, w in good.items():
+    good = [(i, [floor(Fraction(x) * 256) for x in v]) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    near = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for own, (q, w) in enumerate(good):
         if q % 50 == 0:
-            found = sorted((-int(v @ w), i) for i, v in good.items() if i != q and len(v) == len(w))[:5]
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for k, (i, v) in enumerate(good) if k != own and len(v) == len(w))[:5]
+            want += [(q, n + 1, i, near(-s)) for n, (s, i) in enumerate(found)]
+    assert sorted(map(tuple, got)) == sorted(want)
     assert bitsliced.top_k(df.where("false"), df.where("false")).count() == 0
+
+
+def test_rows_that_share_an_id_are_candidates(spark):
+    check_searches(spark, [(0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [0.0, 1.0])])
+
+
+def test_any_finite_component(spark, monkeypatch):
+    monkeypatch.setattr(bitsliced, "BLOCK_CELLS", 600)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=3) * 10.0 ** rng.integers(-3, 3)]) for i in range(60)]
+    rows += [(70, [1e10, 1.0, -1.0]), (71, [-1e30, 2.0, 1e30]), (72, [1e300, -1e300, 1e-310]), (73, [1.7976931348623157e308, 1.0, 1.0]), (100, [1e30, -1e30, 3.0]), (150, [1.5e308, 0.1, -1e308]), (200, [0.1, -5e-324, 2.0**40])]
+    rows += [(80 + k, [1e25 * k, 0.0, 1.0]) for k in range(6)]  # scores beyond a long, ranked by their true value
+    check_searches(spark, rows)
