@@ -51,12 +51,13 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"))
-    return mixing.mix(docs).drop("source", "size")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"), F.md5("text").alias("text_md5"))
+    return mixing.mix(docs).drop("source", "size", "text_md5")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = quality.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("clean_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_no_rows_and_line_splitting(spark):
 
 
 def mixed(spark, rows, **options):
-    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    docs = spark.createDataFrame([(*r, f"h{k}") for k, r in enumerate(rows)], "doc_id long, source string, size long, text_md5 string")
     return docs, mixing.mix(docs, **options).collect()
 
 
@@ -95,8 +95,14 @@ def test_deviation_is_less_than_one_block(spark):
 
 def test_weights_order_and_odd_rows(spark):
     rows = [(i, "big" if i % 3 else "small", 100) for i in range(900)] + [(None, None, None), (5, "big", 100), (5, "big", 100), (7, "long", 10**6), (8, "long", 1)]
-    docs, got = mixed(spark, rows, weights={"big": 0.5, "small": 0.5, "unknown": 1.0}, block_chars=1000, resolution=10)
-    assert len(got) == docs.count()
+    weights = {"big": 0.5, "small": 0.5, "unknown": 1.0, "long": 0.25, "\\N": 0.001, "gone": 0}
+    rows += [(1000, "gone", 100), (1001, "unlisted", 100)]
+    docs, got = mixed(spark, rows, weights=weights, block_chars=1000, resolution=10)
+    assert len(got) == docs.count() - 2 and not {"gone", "unlisted"} & {r.source_key for r in got}
+    assert mixing.mix(docs, weights={"big": 0.0}).count() == mixing.mix(docs, weights={}).count() == 0
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="weights"):
+            mixing.mix(docs, weights={"big": bad})
     end = min(max(r.slot for r in got if r.source_key == k) for k in ("big", "small"))
     early = {k: len({r.block for r in got if r.source_key == k and r.slot <= end}) for k in ("big", "small")}
     assert abs(early["big"] - early["small"]) <= 2
@@ -107,6 +113,45 @@ def test_weights_order_and_odd_rows(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {f"t{i}": 0.0001 for i in range(300)} | {"big": 0.97, "none": 0.0},
+        {"a": 1 / 3, "b": 2 / 3},
+        {"a": 7, "b": 2, "c": 1},
+        {"a": 0.5, "b": 0.3333, "c": 0.1667},
+    ],
+)
+def test_shares_are_the_targets(spark, weights):
+    stats = spark.createDataFrame([(k, 10 * n) for n, k in enumerate(weights)], "source_key string, size long")
+    got = mixing.plan(stats, weights).collect()
+    assert {p.source_key for p in got} == {k for k, w in weights.items() if w > 0}
+    period, total = got[0].period, sum(weights.values())
+    assert sorted(x for p in got for x in p.slots) == list(range(period))
+    for p in got:
+        share = weights[p.source_key] / total
+        # over three periods, so an error that adds up would show
+        slots = [s + turn * period for turn in range(3) for s in p.slots]
+        assert max(max(abs(k - s * share), abs(k + 1 - (s + 1) * share)) for k, s in enumerate(slots)) < 1
+
+
+def test_columns_keep_their_names(spark):
+    rows = [(i, "word " * i, f"s{i % 2}", i, "mine") for i in range(1, 60)]
+    docs = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, source string, size long, before string, chunk string, row string")
+    got = mixing.mix(docs, block_chars=200)
+    assert got.columns == [*docs.columns, *mixing._ADDED]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == sorted(map(tuple, docs.collect()))
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i}", "s") for i in range(3000)] + [(7, f"other {i}", "s") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_chars=500).collect()
+    places, sizes = sorted((r.place, len(r.text)) for r in got), 0
+    for place, n in places:  # one after another, whatever the chunks
+        assert place == sizes
+        sizes += n
+
+
 def test_many_sources_use_salts(spark, monkeypatch):
     rows = [(i, f"s{i % 4}", 10) for i in range(200)]
     _, want = mixed(spark, rows, block_chars=100, resolution=8)
