@@ -11,6 +11,10 @@ def _low(x: str) -> str:
     return f"translate({x}, '{_UPPER}', '{_LOWER}')"
 
 
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
 def _words(x: str) -> str:
     return rf"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
 
@@ -61,15 +65,17 @@ _QUALITY_LINE = r"""
 """
 QUALITY = rf"""
 with d as (
-  select doc_id, coalesce(text, '') as text, {_words("coalesce(text, '')")} as w from documents
+  select doc_id, text as raw, coalesce(text, '') as text, {_words("coalesce(text, '')")} as w from documents
 ), l as (
   select doc_id, line, no, {_words("line")} as lw from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from d)
 ), m as (
   select *, len(lw) as n, len(list_filter(lw, lambda x: x in ('|', '>', '»', '•', '·', '-'))) as dividers, row_number() over (partition by doc_id, line order by no) as nth from l where len(lw) > 0
 ), f as (
-  select *, ({_QUALITY_LINE} or {" or ".join(f"contains({_low('line')}, '{b.decode()}')" for b in BOILERPLATE)}) as failed from m
+  select *, ({_QUALITY_LINE} or {" or ".join(f"contains({_low('line')}, '{_quoted(b.decode())}')" for b in BOILERPLATE)}) as failed from m
 ), per as (
   select doc_id, count_if(nth > 1)::bigint as n_dup_lines, coalesce(sum(n) filter (where failed), 0)::bigint as n_lost_words, count_if(failed)::bigint as n_failed_lines from f group by 1
+), rest as (
+  select l.doc_id, string_agg(l.line, chr(10) order by l.no) as cleaned from l left join f on f.doc_id = l.doc_id and f.no = l.no where not coalesce(f.failed, false) group by 1
 ), t as (
   select doc_id, i, md5(array_to_string(w[i:i + 2], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) as i from d where len(w) >= 3)
 ), twice as (
@@ -78,8 +84,9 @@ with d as (
   select doc_id, count(distinct i + k)::bigint as n_repeat_words from twice cross join (values (0), (1), (2)) as o(k) group by 1
 ), j as (
   select d.doc_id, len(w)::bigint as n_words, coalesce(list_sum([length(x) for x in w]), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
-    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lost_words, 0) as n_lost_words, coalesce(n_failed_lines, 0) as n_failed_lines
-  from d left join per using (doc_id) left join rep using (doc_id)
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lost_words, 0) as n_lost_words, coalesce(n_failed_lines, 0) as n_failed_lines,
+    case when raw is not null then sha256(coalesce(cleaned, '')) end as clean_sha256
+  from d left join per using (doc_id) left join rep using (doc_id) left join rest using (doc_id)
 )
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_lost_words <= 0.3 * n_words as kept from j
 """

@@ -1,4 +1,4 @@
-"""Quality rules, line first: lines that fail a rule go, then documents that lost too much text.
+"""Quality rules, line first: lines that fail a rule are removed, then documents that lost too much text are rejected.
 
 Line rules (on the raw UTF-8 bytes of each line that has a word):
 * punctuation: no word ends in a sentence mark, or symbols ``#*$%&|<>`` are more than a tenth of the words,
@@ -6,12 +6,14 @@ Line rules (on the raw UTF-8 bytes of each line that has a word):
 * navigation: separator words (``| > » • · -``) are a tenth of the words or more and at least two;
 * boilerplate: the line holds one of ``BOILERPLATE`` (lower-cased A-Z).
 
-A document is kept if it passes the base rules (``n_words >= 50``, at most half of its words in 3-word windows that
-repeat) and its failed lines hold at most ``max_lost`` of its words.
+``clean`` returns the text that is left: all other lines, also those without words, joined by U+000A.  A document is kept if it
+passes the base rules (``n_words >= 50``, at most half of its words in 3-word windows that repeat, both on the whole text) and
+the lines removed hold at most ``max_lost`` of its words.
 
 Counts: words are runs of characters other than space and U+0009-000D; lines are split at U+000A.
-Cases: null, empty or blank texts have no words, fail the base rules and are not kept.  Repeated rows get equal results;
-a null doc_id is kept as it is.
+Cases: null, empty or blank texts have no words, fail the base rules and are not kept; a null text stays null.  Repeated rows get
+equal results; a null doc_id is kept as it is.  A text may lose all its lines and is then empty (and not kept).  Columns of
+the input named like a result are replaced.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,14 @@ from pyspark.sql import functions as F
 from .bytes_np import IS_START, Words, flat_text, shingle_hashes
 from .store import slices, with_fields
 
-#: Phrases of notices and page furniture.
-BOILERPLATE = (b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service", b"enable javascript", b"lorem ipsum", b"click here", b"licensed under", b"copyright (c)", b"subscribe to")
+# Phrases of notices and page furniture in the languages of the corpus; only A-Z are lower-cased, so accents are as in lower case.
+_PHRASES = {
+    "en": ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here", "licensed under", "copyright (c)", "subscribe to"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "impressum", "hier klicken", "newsletter abonnieren", "javascript aktivieren"),
+    "es": ("todos los derechos reservados", "política de privacidad", "política de cookies", "aviso legal", "haga clic aquí", "condiciones de uso", "habilite javascript"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "conditions d'utilisation", "activez javascript", "abonnez-vous à"),
+}
+BOILERPLATE = tuple(phrase.encode() for phrases in _PHRASES.values() for phrase in phrases)
 MAX_LOST = 0.3
 MIN_WORDS = 50
 
@@ -44,8 +52,8 @@ def _sum(flags: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return acc[end] - acc[begin]
 
 
-def measure(column: pa.Array, max_lost: float = MAX_LOST) -> dict[str, np.ndarray]:
-    """All counts and verdicts of the texts of a column."""
+def measure(column: pa.Array, max_lost: float = MAX_LOST) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """All counts and verdicts of the texts of a column, and the texts without the lines that failed."""
     raw, offsets = flat_text(column)
     n_docs = len(offsets) - 1
     words, lines = Words(raw, offsets), Words(raw, offsets, _NEWLINE)
@@ -85,11 +93,38 @@ def measure(column: pa.Array, max_lost: float = MAX_LOST) -> dict[str, np.ndarra
     failed = _failed_lines(raw, words, lines.start[real], lines.end[real], a[real], b[real])
     lost = np.bincount(doc, weights=line_words[real] * failed, minlength=n_docs).astype(np.int64)
     base_failed = (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
-    return {
+    text = _without(raw, offsets, lines.start[real][failed], lines.end[real][failed], column)
+    counts = {
         "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup, "n_repeat_words": n_repeat,
-        "base_failed": base_failed, "kept": ~base_failed & (lost <= max_lost * n_words),
+        "base_failed": base_failed, "kept": ~base_failed & (lost <= max_lost * n_words + 1e-9),
         "n_lost_words": lost, "n_failed_lines": np.bincount(doc[failed], minlength=n_docs),
     }
+    return counts, text
+
+
+def _without(raw: np.ndarray, offsets: np.ndarray, begin: np.ndarray, end: np.ndarray, column: pa.Array) -> pa.Array:
+    """The texts without the lines [begin, end): a line break stays if the line after it stays and an earlier line of its text does."""
+    if not len(begin):
+        return column.cast(pa.large_string())
+    n = len(raw)
+    goes, edge = np.zeros(n + 1, dtype=bool), np.zeros(n + 1, dtype=np.int8)
+    goes[begin] = True
+    edge[begin], edge[end] = 1, -1  # no two lines touch: there is a break between them, or the end of a text
+    edge[np.intersect1d(begin, end)] = 0
+    keep = np.cumsum(edge[:n]) == 0
+    breaks = np.flatnonzero(raw == 10)
+    doc = np.searchsorted(offsets, breaks, side="right") - 1
+    after = ~goes[breaks + 1] | (breaks + 1 == offsets[doc + 1])  # behind a last break there is an empty line
+    # where the first line that stays begins
+    heads = np.flatnonzero(goes[offsets[:-1]] & (np.diff(offsets) > 0))
+    first = offsets[:-1].copy()
+    first[heads] = n + 1
+    np.minimum.at(first, doc[after], breaks[after] + 1)
+    keep[breaks] = after & (breaks >= first[doc])
+    ends = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    mask = column.is_null().to_numpy(zero_copy_only=False)
+    valid = pa.py_buffer(np.packbits(~mask, bitorder="little")) if mask.any() else None
+    return pa.Array.from_buffers(pa.large_string(), len(column), [valid, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw[keep])])
 
 
 def _failed_lines(raw: np.ndarray, words: Words, begin: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,19 +161,22 @@ def _failed_lines(raw: np.ndarray, words: Words, begin: np.ndarray, end: np.ndar
 _RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, n_failed_lines long"
 
 
-def rules(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with the counts and verdicts; columns of these names that it had are replaced."""
+def clean(docs: DataFrame, max_lost: float = MAX_LOST) -> DataFrame:
+    """``docs`` with ``text`` without the lines that failed, and the counts and verdicts (of the whole text); see the module's text."""
     names = [f.split()[0] for f in _RESULT.split(", ")]
-    docs = docs.drop(*names)
+    docs = docs.drop(*names).withColumn("text", F.col("text").cast("string"))
     kept = docs.columns
     schema = with_fields(docs.schema, _RESULT)
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
+            kind = batch.schema.field(at).type
             for lo, hi in slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                found = measure(part.column(at), max_lost)
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(found[n] if found[n].dtype == bool else found[n].astype(np.int64)) for n in names)], [*kept, *names])
+                found, text = measure(part.column(at), max_lost)
+                columns = list(part.columns)
+                columns[at] = text.cast(kind)
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[n] if found[n].dtype == bool else found[n].astype(np.int64)) for n in names)], [*kept, *names])
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)

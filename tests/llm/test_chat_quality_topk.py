@@ -60,7 +60,7 @@ def base(t):
 
 def test_base_counts(spark):
     rows = messy(8, 20) + [(900, "a a a a a"), (901, "x y z\nx y z\n x y z\n\n\nx y z"), (902, "# a *b* $%&|<> é\nA b"), (903, "a b c " * 60)]
-    got = quality.rules(frame(spark, rows)).collect()
+    got = quality.clean(frame(spark, rows)).collect()
     assert len(got) == len(rows) and {r.slot for r in got} == {1}
     texts = {}
     for i, t in rows:
@@ -68,7 +68,7 @@ def test_base_counts(spark):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) in texts[r.doc_id]
         assert not (r.kept and r.base_failed)
-    assert quality.rules(frame(spark, rows).where("false")).count() == 0
+    assert quality.clean(frame(spark, rows).where("false")).count() == 0
 
 
 def words(n, mark=""):
@@ -89,16 +89,51 @@ def words(n, mark=""):
         (words(60) + ".\nAll rights reserved.", True, 1),
         (words(40) + ".\n" + words(30, "&&") + ".", False, 1),
         (words(20) + ".", False, 0),
+        (words(70) + ".\n" + words(30, "x"), True, 1),  # exactly three words in ten are lost
+        (words(69) + ".\n" + words(31, "x"), False, 1),
+        (words(60) + ".\nAlle Rechte vorbehalten.\nPolítica de privacidad.\nTous droits réservés.", True, 3),
         (None, False, 0),
     ],
 )
 def test_line_rules(text, kept, failed):
     import pyarrow as pa
 
-    got = quality.measure(pa.array([text], pa.large_string()))
+    got, _ = quality.measure(pa.array([text], pa.large_string()))
     assert (bool(got["kept"][0]), int(got["n_failed_lines"][0])) == (kept, failed)
 
 
+def failed(line):
+    """The line rules, plainly."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", line)
+    ended = any(x[-1] in ".!?:;\"')]…”’»。！？" for x in w)
+    caps, letters = len(re.findall("[A-Z]", line)), len(re.findall("[A-Za-z]", line))
+    dividers = sum(x in ("|", ">", "»", "•", "·", "-") for x in w)
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line)
+    return bool(w) and (not ended or 10 * len(re.findall(r"[#*$%&|<>]", line)) > len(w) or (len(w) >= 5 and 5 * caps > 3 * letters) or (dividers >= 2 and 10 * dividers >= len(w)) or any(b.decode() in low for b in quality.BOILERPLATE))
+
+
+LINES = st.lists(st.sampled_from(["", " ", "Good line.", "no end", "SHOUT ONE TWO THREE FOUR!", "click here.", "A | b | c.", "é: ü", "\t"]), max_size=6).map("\n".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), LINES), max_size=8))
+def test_failed_lines_go(texts):
+    import pyarrow as pa
+
+    counts, got = quality.measure(pa.array(texts, pa.large_string()))
+    assert got.to_pylist() == [None if t is None else "\n".join(x for x in t.split("\n") if not failed(x)) for t in texts]
+    assert counts["n_failed_lines"].tolist() == [sum(map(failed, (t or "").split("\n"))) for t in texts]
+
+
+def test_cleaned_documents(spark):
+    long = "\n".join([words(40) + "."] * 3000 + ["Home | News. | Contact"])
+    rows = [(1, words(60) + ".\nno end\n\nclick here."), (1, words(60) + ".\nno end\n\nclick here."), (2, None), (3, "no end"), (4, long), (None, words(60) + ".")]
+    got = quality.clean(frame(spark, rows))
+    assert set(frame(spark, rows).columns) <= set(got.columns)
+    text = {(r.doc_id, r.text): (r.kept, r.n_failed_lines) for r in got.collect()}
+    assert text == {(1, words(60) + ".\n"): (True, 2), (2, None): (False, 0), (3, ""): (False, 1), (4, long[: long.rindex("\n")]): (False, 1), (None, words(60) + "."): (True, 0)}
+
+
 def plain_top(values, k, query, without):
     scores = values @ query
     rows = [i for i in np.lexsort((np.arange(len(values)), -scores)) if i != without][:k]
