@@ -107,14 +107,14 @@ LINES = rf"""
 with l as (
   select doc_id, no, line, {_words(_low("line"))} as w from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents)
 ), c as (
-  select array_to_string(w, ' ') as k, any_value(w) as w, min((doc_id, no)) as first from l where len(w) >= 3 group by 1
+  select array_to_string(w, ' ') as k, any_value(w) as w, min((doc_id, no)) as first from l where len(w) >= 1 group by 1
 ), v as (
   select k, first, 0 as pos, hash(k) as h from c where len(w) >= 8
   union all select k, first, i, hash(array_to_string(w[:i - 1] || w[i + 1:], ' ')) from (select k, first, w, unnest(range(1, len(w) + 1)) as i from c where len(w) >= 8)
 ), near as (
   select distinct b.k from v a join v b on a.h = b.h and a.first < b.first and (a.pos = b.pos or a.pos = 0 or b.pos = 0)
 ), x as (
-  select l.*, len(l.w) >= 3 and ((l.doc_id, l.no) > c.first or near.k is not null) as gone from l left join c on len(l.w) >= 3 and c.k = array_to_string(l.w, ' ') left join near on near.k = c.k
+  select l.*, len(l.w) >= 1 and ((l.doc_id, l.no) > c.first or near.k is not null) as gone from l left join c on len(l.w) >= 1 and c.k = array_to_string(l.w, ' ') left join near on near.k = c.k
 ), t as (
   select doc_id, count(*)::int as n_lines, count_if(coalesce(gone, false))::int as n_dropped, coalesce(string_agg(line, chr(10) order by no) filter (where not coalesce(gone, false)), '') as kept from x group by 1
 )

@@ -57,7 +57,7 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     score = dict(zip(ids, model.scores(words, model.token_marginals(words))))
     assert all((score[i] >= 0.3) == bool(y) for i, (_, y) in toxic.items())
     kept = [(i, rows[i]) for i in ids if score[i] < 0.3]
-    cleaned = [(i, t) for (i, before), t in zip(kept, clean_lines(kept)) if t == before or (t or "").strip(" \t\n\r\x0b\x0c")]
+    cleaned = [(i, t) for (i, before), t in zip(kept, clean_lines(kept, 3)) if t == before or (t or "").strip(" \t\n\r\x0b\x0c")]
     groups = components(cleaned, 80)
     last = {i: t for i, t in cleaned if groups[i][1] == i}
     assert got.keys() == last.keys() and len(last) < len(cleaned) < len(kept) < len(ids)

@@ -1,28 +1,47 @@
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quire.llm import line_dedup, mixing
 
 from .common import frame, lower, messy, words
 
 
-def near(x, y):
-    if len(x) > len(y):
-        x, y = y, x
-    if len(y) - len(x) > 1:
+def distance(x, y, most):
+    """Edit distance, or more than ``most``: only cells that near the diagonal are filled."""
+    row = {j: j for j in range(min(len(y), most) + 1)}
+    for i, a in enumerate(x, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(y), i + most) + 1):
+            cells = [row.get(j, most) + 1, new.get(j - 1, most) + 1]
+            if j:
+                cells.append(row.get(j - 1, most + 1) + (a != y[j - 1]))
+            new[j] = min(cells)
+        row = new
+    return row.get(len(y), most + 1)
+
+
+def near(x, y, bound=1, per_words=8):
+    allowed = min(bound, min(len(x), len(y)) // per_words)
+    if abs(len(x) - len(y)) > allowed or len(set(x) - set(y)) > allowed:
         return False
-    for p in range(len(x)):
-        if x[p] != y[p]:
-            return x[p + 1 :] == y[p + 1 :] if len(x) == len(y) else x[p:] == y[p + 1 :]
-    return True
+    return x == y if not allowed else distance(x, y, allowed) <= allowed
+
+
+def place(i, t):
+    """Documents in order; different texts of one doc_id are documents of their own."""
+    return (i is None, i or 0, xxhash.xxh64((t or "").encode(), seed=42).intdigest() - 2**63 & 2**64 - 1)
 
 
-def brute(rows, min_words=3, near_words=8):
-    """Cleaned text per row; rows of one doc_id are one document."""
-    lines = sorted({((i is None, i or 0), k, tuple(words(x))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))})
+def brute(rows, min_words=1, bound=1):
+    """Cleaned text per row."""
+    lines = sorted({(place(i, t), k, tuple(words(x))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))})
     out = []
     for i, t in rows:
         if t is None:
@@ -30,17 +49,15 @@ def brute(rows, min_words=3, near_words=8):
             continue
         kept = []
         for k, x in enumerate(t.split("\n")):
-            w, at = tuple(words(x)), ((i is None, i or 0), k)
-            first = min((o[:2] for o in lines if o[2] == w), default=at)
-            gone = len(w) >= min_words and (first < at or (len(w) >= near_words and any(len(o) >= near_words and (d, n) < first and near(w, o) for d, n, o in lines)))
-            if not gone:
+            w, at = tuple(words(x)), (place(i, t), k)
+            if len(w) < min_words or not any(o[:2] < at and near(w, o[2], bound) for o in lines):
                 kept.append(x)
         out.append("\n".join(kept))
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_kept_lines_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "min_words", "bound"), [(0, 1, 1), (1, 3, 1), (2, 1, 2), (3, 1, 0)])
+def test_kept_lines_equal_brute_force(spark, seed, min_words, bound):
     rng = random.Random(seed)
     stem = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rows = messy(seed, 12)
@@ -49,17 +66,39 @@ def test_kept_lines_equal_brute_force(spark, seed):
         for _ in range(rng.choice([0, 1, 1, 2])):
             k = rng.randrange(len(w))
             rng.choice([lambda: w.pop(k), lambda: w.insert(k, rng.choice("xyz")), lambda: w.__setitem__(k, rng.choice("xyz")), lambda: w.insert(k, w[k])])()
-        rows.append((1000 + i, "\n".join([" ".join(w), "Same short", rng.choice(["ALPHA beta", "a b c", "", "x"]), " ".join(w[::-1])])))
+        long = [f"w{k}" for k in range(rng.choice([15, 16, 17, 18]))]
+        for _ in range(rng.choice([0, 1, 2, 2, 3])):
+            k = rng.randrange(len(long))
+            rng.choice([lambda: long.pop(k), lambda: long.insert(k, rng.choice("xyz")), lambda: long.__setitem__(k, rng.choice("xyz"))])()  # noqa: B023
+        rows.append((1000 + i, "\n".join([" ".join(w), "Same short", rng.choice(["ALPHA beta", "a b c", "", "x"]), " ".join(w[::-1]), " ".join(long)])))
+    said = ["a line that two documents hold", "b line that two documents hold"]
+    rows += [(2001, said[0]), (2001, said[1]), (2002, said[0] + "\nown words"), (2003, said[1] + "\nother words"), (None, said[0]), (None, "new " + said[1]), (None, "new " + said[1] + "\nagain")]
+    if bound == 2:  # a line of n words has n * n / 2 variants
+        rows = [r for r in rows if len(words(r[1])) < 1000]
     docs = frame(spark, rows)
-    got = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs)).collect()
+    got = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, min_words, bound), min_words).collect()
     key = lambda i, t: (i is None, i or 0, t is None, t or "")
-    assert sorted(key(r.doc_id, r.text) for r in got) == sorted(key(i, t) for (i, _), t in zip(rows, brute(rows)))
+    assert sorted(key(r.doc_id, r.text) for r in got) == sorted(key(i, t) for (i, _), t in zip(rows, brute(rows, min_words, bound)))
     for r in got:
         assert r.n_chars == (None if r.text is None else len(r.text)) and r.slot == 1
-    texts = {i: t for i, t in rows}
     for r in got:
-        assert r.emptied == (r.n_dropped > 0 and not words(r.text))
-        assert r.n_lines == (0 if r.doc_id is not None and texts[r.doc_id] is None else r.n_lines)
+        assert r.emptied == (r.n_dropped > 0 and not words(r.text)) and (r.n_lines > 0) == (r.text is not None)
+
+
+def test_names_of_other_columns(spark):
+    text = "one line of words\nanother line"
+    docs = spark.createDataFrame([(i, text, "a", "b", "c", i, "d") for i in range(3)], "doc_id long, text string, row string, gone string, t string, d int, of string")
+    got = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs))
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped", "emptied"]
+    assert sorted(tuple(r)[:7] for r in got.collect()) == [(i, text if not i else "", "a", "b", "c", i, "d") for i in range(3)]
+    with pytest.raises(ValueError, match="bound"):
+        line_dedup.duplicate_lines(docs, bound=3)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12), st.integers(0, 2))
+def test_distances(x, y, bound):
+    assert line_dedup.within(np.array(x), np.array(y), bound) == (distance(x, y, bound) <= bound)
 
 
 def test_no_rows_and_line_splitting(spark):
@@ -176,7 +215,7 @@ def without_copied_runs(rows):
     texts = {i: t.split("\n") for i, t in rows}
     size = {(i, k): len(words(x)) for i, t in texts.items() for k, x in enumerate(t)}
     same = lambda a, b: words(texts[a[0]][a[1]]) == words(texts[b[0]][b[1]])
-    edited = lambda a, b: min(size[a], size[b]) >= 8 and near(words(texts[a[0]][a[1]]), words(texts[b[0]][b[1]]))
+    edited = lambda a, b: near(words(texts[a[0]][a[1]]), words(texts[b[0]][b[1]]))
     first = {a: min(b for b in size if same(a, b)) for a in size}
     gone = {a for a in size if size[a] >= 3 and (first[a] < a or any(b < first[a] and edited(a, b) for b in size))}
 
@@ -201,11 +240,11 @@ def test_short_lines_of_copied_runs_go(spark):
     rows += [(100, "Head\nunique line of words\nMiddle\nanother unique line here\nTail"), (101, "Head\nunique line of words\nMiddle\nanother unique line here\nTail")]
     rows += [(102, "Head\nunique line of words\nNew one\nanother unique line here\nTail\nsomething not seen before")]
     docs = frame(spark, rows)
-    got = {r.doc_id: r for r in line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, short_runs=True), short_runs=True).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, min_words=3, short_runs=True), min_words=3, short_runs=True).collect()}
     want = dict(zip([i for i, _ in rows], without_copied_runs(rows)))
     assert {i: r.text for i, r in got.items()} == want
     assert got[100].text == rows[60][1] and got[101].emptied and got[102].text == "New one\nTail\nsomething not seen before"
-    assert sum(w != t for w, t in zip(want.values(), brute(rows))) > 5
+    assert sum(w != t for w, t in zip(want.values(), brute(rows, 3))) > 5
 
 
 def test_exact_copies_leave_no_stub_in_the_pipeline(spark):
