@@ -14,33 +14,57 @@ from quire.llm.queries import TOXIC_FROM, vocabulary
 from quire.llm.store import written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source, row): the columns of ``docs`` as one struct beside those that operators read.
+
+    No column an operator adds can then take the place of a column of the table.
+    """
+    return docs.select("doc_id", "text", *["source"] * ("source" in docs.columns), F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]).alias("row"))
+
+
+def _unpacked(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``found``, n_chars by the text it has now."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return found.select(*[own[c] if c in own else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold, with a model fitted to a bounded sample of the labels of ``sf_dir``."""
+    """Documents whose score is below the threshold, with a model fitted to a bounded sample of the labels of ``sf_dir``.
+
+    Null and empty texts have the score of a text without toxic tokens.  Without labels every score is 0 and all documents stay.
+    """
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = toxicity.train(docs, labels)
-    return toxicity.tag(docs, model, spans=False).where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    return _unpacked(toxicity.tag(_packed(docs), model, spans=False).where(F.col("score") < TOXIC_FROM), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated lines, short ones of copied runs included; documents of which nothing is left go, documents that had no words stay."""
-    cleaned = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs, short_runs=True), short_runs=True)
-    return cleaned.where(~F.col("emptied")).select(*docs.columns)
+    """Texts without repeated lines of three words or more, and without shorter ones in copied runs; documents of which nothing is left go.
+
+    Documents that had no words stay.
+    """
+    gone = line_dedup.duplicate_lines(docs, min_words=3, short_runs=True)
+    cleaned = line_dedup.drop_lines(_packed(docs), gone, min_words=3, short_runs=True)
+    return _unpacked(cleaned.where(~F.col("emptied")), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each group of near copies; rows that share a doc_id are one document.
+    """One row, the one with the smallest doc_id, of each group of near copies; different texts of one doc_id are judged each by itself.
 
-    Five-word shingles and a similarity of 0.8, the thresholds that hold where no contract names others.
+    Five-word shingles and a similarity of 0.8, the thresholds that hold where no contract names others.  Rows without words stay.
     """
-    kept = minhash.near_duplicates(docs, width=5, percent=80, components=80, bands=20).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return minhash.representatives(docs, width=5, percent=80, components=80, bands=20)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in mixed order: partitions follow each other by slot, and rows within them by slot and place."""
-    mixed = mixing.mix(docs)
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    """The documents in mixed order: partitions follow each other by slot, and rows within them by slot and place.
+
+    Every document stays, also one without a source, an id or a text.
+    """
+    mixed = mixing.mix(_packed(docs))
+    return _unpacked(mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place"), docs)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
