@@ -1,15 +1,17 @@
 """Flat token files: unsigned little-endian ids, 64-bit document offsets, prefix-sum bases.
 
-A corpus is cut into buckets of neighbouring doc_ids.  Bucket b has ``b.bin`` (the ids of its documents one after
-another), ``b.idx`` (uint64 position of every document's first id in the file, and the end) ``b.doc`` (int64
-doc_ids) and ``b.nul`` (uint64 places of the documents whose doc_id is null).  ``b.bin`` alone is a valid unindexed file.  The position of a document in the whole corpus is its bucket's
-base, the sum of the sizes of the buckets before, plus its offset.
+A corpus is cut into buckets of neighbouring doc_ids, so many that a bucket holds about ``BUCKET_BYTES`` of text.  Bucket b has
+``b.bin`` (the ids of its documents one after another), ``b.idx`` (uint64 position of every document's first id in the file, and
+the end) ``b.doc`` (int64 doc_ids) and ``b.nul`` (uint64 places of the documents whose doc_id is null).  ``b.bin`` alone is a valid
+unindexed file.  The position of a document in the whole corpus is its bucket's base, the sum of the sizes of the buckets before,
+plus its offset.  Rows that share a doc_id, or have none, are cut into buckets by their texts' hashes when they are many.
 
 Files are written beside their place and renamed, with the same bytes at every attempt, so a task that is run
-again after a lost executor does no harm.  They are memory-mapped where the store is a local one.
+again after a lost executor does no harm.  Readers take ranges of a file: mapped memory on a local store, bounded reads elsewhere.
 
 Cases: null text is empty; a row without ids still has an offset; equal doc_ids follow each other in the
-order of their texts' hashes; null doc_ids come last in doc_id order; an empty table gives a manifest without rows.
+order of their texts' hashes; null doc_ids come last in doc_id order; an empty table gives a manifest without rows.  Rows equal in
+doc_id and text stay in one bucket.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .store import slices
 Encoder = Callable[[list], tuple[np.ndarray, np.ndarray]]
 MANIFEST = "bucket int, n_docs long, n_tokens long"
 BATCH_IDS = 1 << 20
+BUCKET_BYTES = 256 << 20
+_LONG = (1 << 63) - 1
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
@@ -52,22 +56,73 @@ class _Out:
         self.store.move(self.tmp, self.path)
 
 
-def map_file(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """The whole file as an array; a mapping, not a copy, on a local store."""
-    if isinstance(store, fs.LocalFileSystem):
-        import os
+class Flat:
+    """Ranges of a flat file; nothing is read before it is asked for."""
+
+    def __init__(self, store: fs.FileSystem, path: str, dtype: str) -> None:
+        self.dtype = np.dtype(dtype)
+        self.size = store.get_file_info(path).size // self.dtype.itemsize
+        self.mapped = self.file = None
+        if isinstance(store, fs.LocalFileSystem):
+            self.mapped = np.memmap(path, dtype=self.dtype, mode="r") if self.size else np.zeros(0, self.dtype)
+        else:
+            self.file = store.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        hi = min(hi, self.size)
+        if self.mapped is not None:
+            return np.asarray(self.mapped[lo:hi])
+        step = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((hi - lo) * step, lo * step), dtype=self.dtype)
 
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    def blocks(self, lo: int, hi: int, size: int = BATCH_IDS) -> Iterator[tuple[int, np.ndarray]]:
+        """(position, ids) of consecutive blocks of a range."""
+        for at in range(lo, hi, size):
+            yield at, self.read(at, min(at + size, hi))
 
 
-def _bounds(docs: DataFrame, buckets: int) -> list[float]:
-    """Inner bounds of buckets with about equal numbers of rows, from the doc_id column alone."""
-    if buckets < 2:
-        return []
-    got = docs.stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)
-    return sorted(set(got))
+def _bounds(docs: DataFrame, buckets: int) -> list[tuple[int | None, int, int]]:
+    """Buckets with about equal numbers of rows, from the doc_id column alone: (smallest doc_id, part, parts) of each, in order.
+
+    A doc_id that fills buckets by itself is cut into ``parts`` by hash; the last ones (None) hold the rows without an id.
+    """
+    total, known = docs.agg(F.count("*"), F.count("doc_id")).first()
+    none = -(-(total - known) * buckets // max(total, 1))
+    ids = max(1, buckets - none)
+    got = docs.stat.approxQuantile("doc_id", [i / ids for i in range(1, ids)], 0.2 / ids) if ids > 1 and known else []
+    starts: list[tuple[int | None, int, int]] = [(-_LONG - 1, 0, 1)]
+    got = [min(int(x), _LONG) for x in got]  # quantiles are doubles
+    for value in sorted(set(got)):
+        parts = got.count(value)
+        if parts > 1:
+            starts += [(value, k, parts) for k in range(parts)] + [(value + 1, 0, 1)] * (value < _LONG)
+        elif starts[-1][0] != value:
+            starts.append((value, 0, 1))
+    return starts + [(None, k, max(1, none)) for k in range(max(1, none))]
+
+
+def _bucket(bounds: list[tuple[int | None, int, int]]):
+    """Column: the bucket of each row."""
+    firsts = [k for k, (value, part, _) in enumerate(bounds) if value is not None and part == 0]
+
+    def parts(k: int):
+        n = bounds[k][2]
+        if n == 1:
+            return F.lit(k)
+        share = F.xxhash64("text").cast("double") / F.lit(float(1 << 64)) + 0.5  # rises with the hash
+        return (F.lit(k) + F.least(F.floor(share * n), F.lit(n - 1))).cast("int")
+
+    def tree(lo: int, hi: int):  # a search tree over the first doc_ids
+        if lo == hi:
+            return parts(firsts[lo])
+        mid = (lo + hi + 1) // 2
+        return F.when(F.col("doc_id") < F.lit(bounds[firsts[mid]][0]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+
+    nulls = next(k for k, b in enumerate(bounds) if b[0] is None)
+    return F.when(F.col("doc_id").isNull(), parts(nulls)).otherwise(tree(0, len(firsts) - 1))
 
 
 def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, folder: str, buckets: int | None = None, ordered: bool = True) -> DataFrame:
@@ -78,21 +133,16 @@ def write(docs: DataFrame, make_encoder: Callable[[], Encoder], dtype: str, fold
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     store, top = _open(folder)
     store.create_dir(top, recursive=True)
 
     if ordered:
+        if not buckets:
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            buckets = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         bounds = _bounds(docs, buckets)
-
-        def tree(lo: int, hi: int):  # a search tree: bounds[i] <= doc_id < bounds[i + 1] is bucket i + 1
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") < F.lit(int(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-        spread = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(tree(0, len(bounds))))
-        spread = spread.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+        spread = docs.withColumn("bucket", _bucket(bounds))
+        spread = spread.repartitionById(len(bounds), F.col("bucket")).sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
     else:
         spread = docs.withColumn("bucket", F.spark_partition_id())
 
@@ -154,6 +204,24 @@ def spread_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return table.repartitionById(len(rows), F.col("task")).drop("task")
 
 
+def null_places(nul: Flat, lo: int, hi: int) -> np.ndarray:
+    """Which of the documents lo..hi-1 of a bucket have no doc_id; ``nul`` rises, so its range is found by bisection."""
+
+    def first(value: int) -> int:
+        a, b = 0, len(nul)
+        while a < b:
+            mid = (a + b) // 2
+            if int(nul.read(mid, mid + 1)[0]) < value:
+                a = mid + 1
+            else:
+                b = mid
+        return a
+
+    out = np.zeros(hi - lo, dtype=bool)
+    out[nul.read(first(lo), first(hi)).astype(np.int64) - lo] = True
+    return out
+
+
 def read_documents(spark: SparkSession, manifest: DataFrame, folder: str, dtype: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone.
 
@@ -167,21 +235,20 @@ def read_documents(spark: SparkSession, manifest: DataFrame, folder: str, dtype:
         store, top = _open(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                flat, offsets, ids = (map_file(store, f"{top}/{r['bucket']}.{k}", t) for k, t in (("bin", dtype), ("idx", "<u8"), ("doc", "<i8")))
-                offsets = np.asarray(offsets).astype(np.int64)
-                n, null = r["n_docs"], np.zeros(r["n_docs"], dtype=bool)
-                null[map_file(store, f"{top}/{r['bucket']}.nul", "<u8").astype(np.int64)] = True
-                for lo in range(0, n, 4096):
-                    hi = min(n, lo + 4096)
-                    crc = [zlib.crc32(flat[offsets[i] : offsets[i + 1]].astype("<u4")) for i in range(lo, hi)]
-                    doc = pa.array(np.asarray(ids[lo:hi]), mask=null[lo:hi])
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(r["base"] + offsets[lo:hi]), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(np.array(crc, dtype=np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                flat, offsets, ids, nul = (Flat(store, f"{top}/{r['bucket']}.{k}", t) for k, t in (("bin", dtype), ("idx", "<u8"), ("doc", "<i8"), ("nul", "<u8")))
+                for lo in range(0, r["n_docs"], 4096):
+                    hi = min(r["n_docs"], lo + 4096)
+                    at = offsets.read(lo, hi + 1).astype(np.int64)
+                    crc, place = [0] * (hi - lo), 0
+                    for begin, block in flat.blocks(int(at[0]), int(at[-1])):  # a document may cross many blocks
+                        while place < hi - lo and at[place] < begin + len(block):
+                            a, b = max(int(at[place]), begin), min(int(at[place + 1]), begin + len(block))
+                            crc[place] = zlib.crc32(block[a - begin : b - begin].astype("<u4"), crc[place])
+                            if at[place + 1] > begin + len(block):
+                                break
+                            place += 1
+                    doc = pa.array(ids.read(lo, hi), mask=null_places(nul, lo, hi))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(r["base"] + at[:-1]), pa.array(np.diff(at)), pa.array(np.array(crc, dtype=np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     table = spread_rows(spark, rows, MANIFEST + ", base long, first_doc long")
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def blocks(flat: np.ndarray, size: int = BATCH_IDS) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, ids) of consecutive blocks of a flat file."""
-    for lo in range(0, len(flat), size):
-        yield lo, flat[lo : lo + size]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .flat_tokens import _open, bases, map_file, spread_rows
+from .flat_tokens import Flat, _open, bases, null_places, spread_rows
 from .store import written
 
 #: Ids of a block; the block table has one row per block.
@@ -40,11 +40,10 @@ def scan(spark: SparkSession, files: list[dict], folder: str, dtype: str, end_id
         store, top = _open(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                flat = map_file(store, f"{top}/{r['of']}.bin", dtype)
+                flat = Flat(store, f"{top}/{r['of']}.bin", dtype)
                 # one row per separator, numbered inside the block; the last row (null) is the open tail
                 last = k = 0
-                for lo in range(r["lo"], r["hi"], STEP):
-                    part = np.asarray(flat[lo : min(lo + STEP, r["hi"])])
+                for lo, part in flat.blocks(r["lo"], r["hi"], STEP):
                     at = np.flatnonzero(part == end_id) + (lo - r["lo"])
                     n = len(at)
                     if n:
@@ -84,11 +83,12 @@ def token_counts(spark: SparkSession, manifest: DataFrame, folder: str, dtype: s
         store, top = _open(folder)
         for batch in batches:
             for r in batch.to_pylist():
-                ids = map_file(store, f"{top}/{r['bucket']}.doc", "<i8")
-                n, null = len(ids), np.zeros(len(ids), dtype=bool)
-                null[map_file(store, f"{top}/{r['bucket']}.nul", "<u8").astype(np.int64)] = True
-                doc = pa.array(np.asarray(ids), mask=null)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["bucket"], np.int32)), pa.array(np.arange(n, dtype=np.int64)), doc], ["bucket", "doc_no", "doc_id"])
+                ids, nul = (Flat(store, f"{top}/{r['bucket']}.{k}", t) for k, t in (("doc", "<i8"), ("nul", "<u8")))
+                for lo in range(0, len(ids), STEP):
+                    part = ids.read(lo, lo + STEP)
+                    n = len(part)
+                    doc = pa.array(part, mask=null_places(nul, lo, lo + n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["bucket"], np.int32)), pa.array(np.arange(lo, lo + n, dtype=np.int64)), doc], ["bucket", "doc_no", "doc_id"])
 
     names = spread_rows(spark, [{"bucket": f["bucket"]} for f in files], "bucket int").mapInArrow(run, "bucket int, doc_no long, doc_id long")
     return names.join(counts, ["bucket", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))

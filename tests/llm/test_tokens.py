@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -103,6 +104,41 @@ def test_files_read_back(spark, tmp_path, buckets):
     assert flat_tokens.read_documents(spark, empty, folder + "2", "<u2").count() == 0
 
 
+def test_hot_ids_are_cut_by_their_texts(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(300)] + [(i, f"own {i}") for i in range(60)] + [(None, f"no id {i}") for i in range(300)] + [(2**63 - 1, "last"), (-(2**63), "first")]
+    folder = f"file://{tmp_path}/hot"
+    manifest = flat_tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), encoder(1), "<u2", folder, 12)
+    assert manifest.count() >= 8 and max(r.n_docs for r in manifest.collect()) < 200
+    got = flat_tokens.read_documents(spark, manifest, folder, "<u2").orderBy("start").collect()
+    at = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() + 2**63) % 2**64
+    want = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, at(r[1]))):
+        x = TOKENIZER.encode(t, add_special_tokens=False).ids + [1]
+        want.append((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == want
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([n for _, n, _ in want])[:-1]]).tolist()
+
+
+def test_ranges_of_files(tmp_path):
+    from pyarrow import fs
+
+    data = np.arange(1000, dtype="<u2")
+    data.tofile(tmp_path / "x.bin")
+    for store, path in ((fs.LocalFileSystem(), f"{tmp_path}/x.bin"), (fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), "x.bin")):
+        flat = flat_tokens.Flat(store, path, "<u2")
+        assert len(flat) == 1000 and flat.read(5, 9).tolist() == [5, 6, 7, 8] and flat.read(998, 2000).tolist() == [998, 999]
+        assert [(at, len(x)) for at, x in flat.blocks(10, 30, 8)] == [(10, 8), (18, 8), (26, 4)]
+
+
+def test_documents_that_cross_blocks(spark, tmp_path):
+    rows = [(0, ""), (1, "word " * (flat_tokens.BATCH_IDS + 5000)), (2, None), (3, "x y z"), (None, "end")]
+    folder = f"file://{tmp_path}/long"
+    manifest = flat_tokens.write(spark.createDataFrame(rows, "doc_id long, text string"), encoder(1), "<u2", folder, 1)
+    for r in flat_tokens.read_documents(spark, manifest, folder, "<u2").collect():
+        x = TOKENIZER.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids + [1]
+        assert (r.n_tokens, r.ids_crc32) == (len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("block", [1, 7, 64, 1 << 20])
 def test_separator_scan(spark, tmp_path, block):
     rng = random.Random(block)
