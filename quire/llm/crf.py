@@ -3,6 +3,8 @@
 Forward and backward messages of all chains run together: chains are cut into segments, the transfer matrices of
 all segments are multiplied side by side, messages cross segment borders chain by chain, and a second
 sweep fills the segments.  The result equals the plain recursions; no chain is shortened.
+
+Cases: chains without tokens have no marginals; a chain of one token has no transitions; no chains give empty arrays.
 """
 
 from __future__ import annotations

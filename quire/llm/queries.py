@@ -25,6 +25,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document; rows that share a doc_id are one document, see ``minhash``."""
     return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
 
 
@@ -33,6 +34,10 @@ TOXIC_FROM = 0.3
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, n_spans, predicted) of every document.
+
+    Null and empty texts have the score of a text without toxic tokens; a null doc_id is scored and its ``held_out`` is null.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.tag(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", F.size("spans").alias("n_spans"))
@@ -40,10 +45,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; a null text is empty and has the end id only."""
     return sentencepiece_np.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, read back from the formatted segments; null text is empty, a null conv_id is a conversation of its own."""
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -51,22 +58,28 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block, release, deadline, slot and place of every document; null sources are a source, null texts have size 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("size"), F.md5("text").alias("text_md5"))
     return mixing.mix(docs).drop("source", "size", "text_md5")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of every document and the hash of its text without the lines that failed (null for a null text)."""
     found = quality.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("clean_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows of every query; vectors that are null or hold null or non-finite components take no part, see ``bitsliced``."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitsliced.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as flat files without an index, each text ended by <|endoftext|>; counts come from the scan of those files."""
+    """(doc_id, n_tokens) of every document: texts as flat files without an index, each ended by <|endoftext|>, and a scan of those files.
+
+    Null texts have 0 tokens.
+    """
     path, folder, end_id = vocabulary("word_bpe_49k.json"), shared_dir(spark), 49407
 
     def encoder():
@@ -79,12 +92,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated lines; the hash of a null text is null, see ``line_dedup``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     cleaned = line_dedup.drop_lines(docs, line_dedup.duplicate_lines(docs))
     return cleaned.select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files; null texts hold the end id only, null doc_ids come last."""
     path, folder, end_id = vocabulary("word_bpe_49k.json"), shared_dir(spark), 1
 
     def encoder():

@@ -3,6 +3,9 @@
 Such a tokenizer never joins characters across ASCII white space, so the ids of a text are those of its words.
 Plain words are encoded many to a call: each of their parts ends in an id that carries the end-of-word mark,
 which tells the words apart again; if the count is not as expected, the words are encoded one by one.
+
+Cases: null and empty texts have no ids but the end id that is asked for; texts of white space likewise; characters outside the
+vocabulary become the ids the library gives them; very long words and texts are encoded whole; no texts give no ids.
 """
 
 from __future__ import annotations
