@@ -9,7 +9,8 @@ pair.  Pieces for which the vocabulary has such a pair are marked, and for them
 a word merges in a round.
 
 Words start where a space follows another character, and line breaks stand alone: the model's pieces
-have spaces at their start only, none with a line break, and no two merges of equal score, which is checked when a model is loaded.
+have spaces at their start only, none with a line break, and no two merges of equal score but runs of spaces, which is checked when a model is loaded.
+For runs of spaces of equal score the tests compare all lengths with the library.
 
 Cases: a null text counts as empty; an empty text has the end id only and decodes to an empty text; characters
 without a piece become byte pieces; U+2581 encodes as a space does; very long texts and very long words work (a word
@@ -81,7 +82,7 @@ class PieceModel:
         normal = [i for i, k in enumerate(kinds) if k == _NORMAL]
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", pieces[i]) for i in normal):
             raise ValueError("the model has pieces that cross a word boundary")
-        joined = [scores[i] for i in normal if len(pieces[i]) > 1]
+        joined = [scores[i] for i in normal if len(pieces[i]) > 1 and pieces[i].strip(SPACE)]
         if len(set(joined)) < len(joined):
             raise ValueError("the model has pieces of equal score, whose merges the library orders by their place")
         self.n_ids = len(pieces)

@@ -170,3 +170,10 @@ def test_token_counts(spark, tmp_path):
     manifest = flat_tokens.write(frame(spark, rows), encoder(49407, True), "<u2", folder, ordered=False)
     got = separator_scan.token_counts(spark, manifest, folder, "<u2", 49407, 50).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+
+
+def test_runs_of_spaces_equal_the_library():
+    texts = [before + " " * n + after for n in range(70) for before in ("", "a", "x\n") for after in ("", "b", "\n", ".")]
+    flat, counts = MODEL.encode(texts)
+    ends = np.cumsum(counts)
+    assert [flat[e - c : e].tolist() for e, c in zip(ends, counts)] == [LIBRARY.encode(t, add_eos=True) for t in texts]
