@@ -2,11 +2,15 @@
 
 Grammar for Markdown: ATX headings, ``---`` rules, ``-`` bullets, fenced code, ``*`` emphasis, ``**`` strong, ``~~`` strike, pipe
 tables, ``[x]`` task items.  Script, style and head content is dropped.
+
+Elements nest up to ``MAX_DEPTH``; what lies deeper becomes content of the last element that was opened, as browsers do it, so no text
+is lost and no input can exhaust the stack.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -16,6 +20,7 @@ HIDDEN = frozenset("head script style template noscript title".split())
 #: Open elements that a start tag closes, up to the elements that stop the search.
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 WS = re.compile("[ \t\n\r\f\v]+")
+MAX_DEPTH = 200
 
 # Tags and attributes that safe HTML may have.
 ALLOWED_TAGS = frozenset("a article blockquote br code del em figcaption figure h1 h2 h3 h4 h5 h6 hr img li main mark nav ol p pre section strong sub sup table tbody td th thead tr ul".split())
@@ -23,10 +28,12 @@ ALLOWED_ATTRIBUTES = {"a": ("href", "title", "rel"), "img": ("src", "alt", "titl
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "has_block")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        #: A block element lies somewhere below.
+        self.has_block = False
 
     def text(self) -> str:
         return "".join(c if isinstance(c, str) else c.text() for c in self.children)
@@ -35,10 +42,12 @@ class Node:
         return [c for c in self.children if not isinstance(c, str) and c.tag in tags]
 
     def walk(self):
-        yield self
-        for c in self.children:
-            if not isinstance(c, str):
-                yield from c.walk()
+        """This node and all below it, parents first."""
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
 class _Builder(HTMLParser):
@@ -46,6 +55,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.flat = Counter()  # elements too deep to be opened, by tag
 
     def _close_to(self, i: int) -> None:
         del self.open[i:]
@@ -69,15 +79,30 @@ class _Builder(HTMLParser):
                     break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
+        if tag in BLOCKS:
+            for parent in reversed(self.open):
+                if parent.has_block:
+                    break
+                parent.has_block = True
         if tag not in VOID:
-            self.open.append(node)
+            if len(self.open) <= MAX_DEPTH:
+                self.open.append(node)
+            else:
+                self.flat[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag:
+        if tag in VOID:
+            return
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+        elif self.open[-1].tag == tag:
             self.open.pop()
 
     def handle_endtag(self, tag):
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 self._close_to(i)
@@ -90,6 +115,11 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    # a comment that nothing closes reaches to the end, as the standard has it; found here, it is searched for once
+    last = html.rfind("-->")
+    open_comment = html.find("<!--", last + 3 if last >= 0 else 0)
+    if open_comment >= 0:
+        html = html[:open_comment]
     b = _Builder()
     b.feed(html)
     b.close()
@@ -184,7 +214,7 @@ def _blocks(node: Node) -> list[str]:
             run.children = []
 
     for c in node.children:
-        if isinstance(c, str) or (c.tag not in BLOCKS and c.tag not in HIDDEN and not any(x.tag in BLOCKS for x in c.walk())):
+        if isinstance(c, str) or (c.tag not in BLOCKS and c.tag not in HIDDEN and not c.has_block):
             run.children.append(c)
             continue
         flush()

@@ -91,8 +91,16 @@ class Pdf:
         return out or [b for b in self.objects.values() if re.search(rb"/Type\s*/Page\b", b)]
 
     def _resources(self, page: bytes) -> bytes:
-        m = re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", page)
-        return self.objects.get(int(m[1]), b"") if m else page
+        """The page's own resources, else those of the nearest node above it in the page tree."""
+        node, seen = page, set()
+        while b"/Resources" not in node:
+            up = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", node)
+            if not up or int(up[1]) in seen:
+                return page
+            seen.add(int(up[1]))
+            node = self.objects.get(int(up[1]), b"")
+        m = re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", node)
+        return self.objects.get(int(m[1]), b"") if m else node
 
     def _named(self, resources: bytes, kind: bytes) -> dict[bytes, int]:
         m = re.search(rb"/" + kind + rb"\s*(?:<<(.*?)>>|(\d+)\s+\d+\s+R)", resources, re.S)

@@ -91,13 +91,19 @@ def first_seen_ids(references: DataFrame, document: str, resource: str, order: s
 
 
 def suffixed_names(rows: DataFrame, document: str, stem: str, extension: str, order: str) -> DataFrame:
-    """``name``, ``name-2``, ``name-3`` for equal stems of a document.
-
-    A name made this way may equal another row's own stem; ``collisions`` finds those.
-    """
+    """``name``, ``name-2``, ``name-3`` for equal stems of a document; numbers that another row's own stem has are left out, so names differ."""
     w = W.partitionBy(document, stem, extension).orderBy(order)
-    n = F.row_number().over(w)
-    return rows.withColumn("file_name", F.concat(F.col(stem), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.col(extension)))
+    numbered = rows.withColumn("__n", F.row_number().over(w))
+    ending = r"^(.*)-([1-9]\d{0,8})$"
+    taken = rows.where(F.col(stem).rlike(ending)).select(document, F.regexp_extract(stem, ending, 1).alias("__stem"), F.col(extension).alias("__ext"), F.regexp_extract(stem, ending, 2).cast("int").alias("__k"))
+    taken = taken.groupBy(document, "__stem", "__ext").agg(F.collect_set("__k").alias("__taken")).withColumnRenamed(document, "__doc")
+    same = F.col(document).eqNullSafe(F.col("__doc")) & (F.col(stem) == F.col("__stem")) & (F.col(extension) == F.col("__ext")) & (F.col("__n") > 1)
+    both = numbered.join(taken, same, "left")
+    # the n-th row takes the (n - 1)-th number from 2 on that is free
+    free = F.array_except(F.sequence(F.lit(2), F.col("__n") + F.size("__taken")), F.col("__taken"))
+    number = F.when(F.col("__taken").isNull(), F.col("__n")).otherwise(F.get(free, F.col("__n") - 2))
+    suffix = F.when(F.col("__n") > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise("")
+    return both.withColumn("file_name", F.concat(F.col(stem), suffix, F.col(extension))).drop("__n", "__doc", "__stem", "__ext", "__taken")
 
 
 def collisions(rows: DataFrame, *keys: str, member: str) -> DataFrame:

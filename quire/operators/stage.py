@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ValidationError
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, removed when the driver ends; a local default is set where it is unset."""
+    """A new path below ``spark.checkpoint.dir``, removed when the driver ends; unset, it gets a default on a local master and is an error on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValidationError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"

@@ -232,10 +232,13 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
     cache = cache.select(*[f.name for f in schemas.schema(schemas.CACHE).fields])
     hits = jobs.join(cache.drop("unit_id", "model", "cost_usd", "duration_ms").withColumnsRenamed({"markdown": "c_md", "translated_title": "c_title", "usage": "c_usage"}), "key", "left")
     est = X.estimate_cost(tokens_in(F.col("markdown"), F.col("title")), F.lit(0), tokens_out(F.col("markdown")), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
+    # the windows see numbers only; texts are joined back by unit
     first = F.row_number().over(W.partitionBy(*of, "key").orderBy("pos")) == 1
-    planned = hits.withColumns({"hit": F.col("c_md").isNotNull(), "__one": F.lit(1)}).withColumn("est", F.when(F.col("hit") | ~first, 0.0).otherwise(est))
-    planned = budget(planned, max_cost, document or "__one", "pos", "est").drop("__one")
-    asked = planned.where(~F.col("hit") & ~F.col("over")).dropDuplicates([*of, "key"])
+    narrow = hits.select(*of, "unit_id", "pos", "key", F.col("c_md").isNotNull().alias("hit"), est.alias("est"), F.lit(1).alias("__one")).withColumn("first", first)
+    narrow = budget(narrow.withColumn("est", F.when(F.col("hit") | ~F.col("first"), 0.0).otherwise(F.col("est"))), max_cost, document or "__one", "pos", "est")
+    planned = hits.join(narrow.select(*of, "unit_id", "hit", "first", "over"), [*of, "unit_id"])
+    # the spending never falls, so a key whose first unit is within the budget is asked with that unit's title
+    asked = planned.where(~F.col("hit") & ~F.col("over") & F.col("first"))
     call(asked, model, to, source, runner, concurrency, document).write.mode("errorifexists").parquet(ledger_path)
     ledger = units.sparkSession.read.parquet(ledger_path)
     rows = planned.join(ledger, [*of, "key"], "left")
@@ -260,16 +263,16 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
     from .markdown import first_heading
 
     billed = F.coalesce(F.col("call_error").isNull() & F.col("text").isNotNull() & ~F.col("hit"), F.lit(False))
-    first_bill = F.row_number().over(W.partitionBy(*of, "key").orderBy("pos")) == 1
     usage = F.struct(*[F.coalesce(F.when(billed, F.col(c)), F.lit(0)).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])
     results = rows.select(
         *of, "unit_id", "pos", F.col("title").alias("unit_title"), F.col("path").alias("unit_path"), status.alias("status"), F.lit(model).alias("model"),
         F.when(billed, F.col("duration_ms")).otherwise(0).cast("long").alias("duration_ms"), F.when(F.col("hit"), F.col("c_usage")).otherwise(usage).alias("usage"),
-        F.when(billed & first_bill, cost).otherwise(0.0).alias("cost_usd"), F.when(F.col("hit"), F.col("c_md")).when(status == "translated", F.col("answer")).alias("markdown"),
+        F.when(billed & F.col("first"), cost).otherwise(0.0).alias("cost_usd"), F.when(F.col("hit"), F.col("c_md")).when(status == "translated", F.col("answer")).alias("markdown"),
         F.when(F.col("hit"), F.coalesce("c_title", "title")).when(status == "translated", F.coalesce(first_heading(F.col("answer")), F.col("title"))).alias("translated_title"),
         problem.alias("error"), F.when(billed & ~cut & F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>")).alias("warnings"), "key",
     )
-    new = results.where("status = 'translated'").dropDuplicates(["key"]).select("key", "unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
+    earliest = F.row_number().over(W.partitionBy("key").orderBy(*of, "pos")) == 1
+    new = results.where("status = 'translated'").withColumn("first", earliest).where("first").select("key", "unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
     filled = units.select(*of, "unit_id", "pos", F.col("title").alias("t0"), F.col("path").alias("p0"), F.col("markdown").alias("m0")).join(results.drop("pos"), [*of, "unit_id"], "left")
     missing = F.col("status").isNull()
     text = F.when(missing, F.col("m0")).when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("markdown", "m0")).otherwise(F.col("markdown"))

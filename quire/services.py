@@ -193,11 +193,9 @@ def delete(spark: SparkSession, project_dir: str, parts: list[int]) -> DeleteRes
     docs = spark.createDataFrame([(m.id, m.title, m.language, m.source.format, m.source.path, m.source.size)], "document_id string, title string, language string, format string, path string, size double")
     with_bytes = spark.createDataFrame([(m.id, p, _read(project_dir, p)) for p in sorted(rows)], "document_id string, path string, bytes binary")
     reports = {n: _read(project_dir, f"reports/{n}").decode() for n in _names(project_dir, "reports")}
-    templates = {n: _read(project_dir, f"templates/{n}") for n in _names(project_dir, "templates")}
+    templates = _templates(project_dir)
     kept = staged(kept)
-    project.write_project(project_dir, m.id, M.create(docs, kept, assets), kept, with_bytes, reports, force=True)
-    for n, data in templates.items():
-        project._put(os.path.join(project_dir, "templates", n), data)
+    project.write_project(project_dir, m.id, M.create(docs, kept, assets), kept, with_bytes, reports, force=True, templates=templates)
     return DeleteResult(project_dir, [m.units[p - 1].title for p in chosen], len(m.units) - len(chosen))
 
 
@@ -211,6 +209,10 @@ def _names(root: str, folder: str) -> list[str]:
     return sorted(n for n in os.listdir(path) if os.path.isfile(os.path.join(path, n))) if os.path.isdir(path) else []
 
 
+def _templates(project_dir: str) -> dict[str, bytes]:
+    return {n: _read(project_dir, f"templates/{n}") for n in _names(project_dir, "templates")}
+
+
 def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path: str | None, output: str | None = None, model: str = models.DEFAULT_MODEL, runner: translate.Runner = translate.echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = translate.DEFAULT_CONCURRENCY, best_effort: bool = False, force: bool = False, dry: bool = False, generated: str = "", report_path: str | None = None) -> dict:
     """A transformed sibling project; returns the run's summary.
 
@@ -250,7 +252,7 @@ def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path
     new_units = new_units.join(units.select("unit_id", F.col("markdown").alias("own")), "unit_id").withColumns({"document_id": F.lit(name), "markdown": F.coalesce("markdown", "own")}).drop("own")
     docs = spark.createDataFrame([(name, first.t, language, m.source.format, m.source.path, m.source.size)], "document_id string, title string, language string, format string, path string, size double")
     assets = spark.createDataFrame([(name, a.id, a.path, a.mimeType, a.altText, a.width, a.height, _read(project_dir, a.path)) for a in m.assets], "document_id string, asset_id string, path string, mime_type string, alt_text string, width double, height double, bytes binary")
-    project.write_project(output, name, M.create(docs, new_units, assets), new_units, assets, {"translation.md": report, "translation.json": data}, force)
+    project.write_project(output, name, M.create(docs, new_units, assets), new_units, assets, {"translation.md": report, "translation.json": data}, force, _templates(project_dir))
     if report_path:
         project._put(os.path.join(output, report_path), report)
     return summary | {"output": output}

@@ -92,10 +92,10 @@ def _put(path: str, data: str | bytes) -> None:
         f.write(data.encode() if isinstance(data, str) else data)
 
 
-def write_project(target: str, document: str, manifest: DataFrame, units: DataFrame, assets: DataFrame, reports: dict[str, str] | None = None, force: bool = False) -> dict:
+def write_project(target: str, document: str, manifest: DataFrame, units: DataFrame, assets: DataFrame, reports: dict[str, str] | None = None, force: bool = False, templates: dict[str, bytes] | None = None) -> dict:
     """One project's files.  Chapters and assets come to the driver row by row, one at a time.
 
-    Returns counts of units and images.
+    ``templates`` take the place of the default ones.  Returns counts of units and images.
     """
     of = lambda df: df.where(F.col("document_id") == document)
 
@@ -115,8 +115,8 @@ def write_project(target: str, document: str, manifest: DataFrame, units: DataFr
                 raise ValidationError(f"Asset path must be under assets/: {a.path}")
             _put(inside(folder, a.path), bytes(a.bytes))
             counts["images"] += 1
-        _put(f"{folder}/templates/base.html", R.BASE)
-        _put(f"{folder}/templates/print.css", R.STYLES)
+        for name, text in ({"base.html": R.BASE, "print.css": R.STYLES} | (templates or {})).items():
+            _put(f"{folder}/templates/{name}", text)
         for name, text in (reports or {}).items():
             _put(f"{folder}/reports/{name}", text)
 
@@ -140,9 +140,19 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cache(cache: DataFrame, path: str) -> None:
-    """Replace the cache table through a table beside it, as the new one may be made from the old."""
-    spark, tmp = cache.sparkSession, f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
-    cache.write.parquet(tmp)
-    spark.read.parquet(tmp).write.mode("overwrite").parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Replace the cache table by one written beside it, by renames: a failure leaves the old table under its name or beside it."""
+    spark, path = cache.sparkSession, path.rstrip("/")
+    tag = uuid.uuid4().hex
+    new, old = f"{path}.tmp-{tag}", f"{path}.old-{tag}"
+    cache.write.parquet(new)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = store.exists(at(path))
+    if had and not store.rename(at(path), at(old)):
+        raise EngineError("write-failed", f"Unable to move the cache table: {path}")
+    if not store.rename(at(new), at(path)):
+        if had:
+            store.rename(at(old), at(path))
+        raise EngineError("write-failed", f"Unable to replace the cache table: {path}")
+    if had:
+        store.delete(at(old), True)

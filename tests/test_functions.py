@@ -204,3 +204,48 @@ def test_budget_and_reports(spark):
     assert got == [False, False, False, True, True]
     assert each(spark, X.seconds, [1234], "long") == ["1.23"] and each(spark, X.usd, [0.00005], "double") == ["0.0001"]
     assert datetime.date.today()
+
+
+def test_control_characters_and_odd_marks():
+    from quire.functions.markdown_html import to_html
+
+    assert to_html("a \x02 b") == "<p>a \x02 b</p>\n" and to_html("\x027\x03 `c`  ") == "<p>\x027\x03 <code>c</code>  </p>\n"
+    assert to_html("# a b ##\n\n#\n\n## c#") == "<h1>a b</h1>\n<h1></h1>\n<h2>c#</h2>\n"
+    assert to_html("[a *b*](/x \"t\") ![i](y)") == '<p><a href="/x" title="t">a <em>b</em></a> <img src="y" alt="i" /></p>\n'
+
+
+def test_no_text_takes_long_or_ends_the_stack():
+    import time
+
+    from quire.functions.markdown_html import to_html
+
+    texts = ["[" * 50_000, "]" * 50_000, "[a](" * 20_000, "![" * 20_000 + "](x)" * 20_000, ">" * 5000 + " x", "- " * 3000 + "x", "`a" * 30_000, "<!--" * 20_000, "# a" + " " * 50_000 + "b", "**a " * 20_000, "~~a " * 20_000, "a\\" * 20_000, "\x02" * 50_000]
+    for t in texts:
+        begun = time.time()
+        H.skeleton(to_html(t))
+        assert time.time() - begun < 5, t[:10]
+    for tag in ("div", "b", "blockquote", "ul><li"):
+        html = f"<{tag}>" * 5000 + "deep" + "".join(f"</{x}>" for x in reversed(tag.split("><"))) * 5000 + "<p>after</p>"
+        assert "deep" in H.to_markdown(html) and H.to_markdown(html).endswith("after")
+        assert "deep" in H.sanitize(html) and H.parse(html).text() == "deepafter"
+
+
+def test_a_text_that_fails_is_null(spark):
+    rows = spark.createDataFrame([(1, '[{"kind": "heading", "level": 1, "children": []}]'), (2, "no json"), (3, '[{"kind": "other"}]'), (4, None)], "i int, b string")
+    assert {r.i: r.m for r in rows.select("i", G.blocks_markdown("b").alias("m")).collect()} == {1: "# ", 2: None, 3: None, 4: None}
+    deep = block = {"kind": "blockquote", "blocks": []}
+    for _ in range(3000):
+        block["blocks"].append({"kind": "blockquote", "blocks": []})
+        block = block["blocks"][0]
+    block["blocks"].append({"kind": "thematic-break"})
+    assert G.serialize_blocks([deep]) == "> " * 3001 + "---"
+
+
+def test_names_that_look_like_suffixed_ones(spark):
+    from quire.operators import links as L
+
+    stems = ["a", "a", "a-2", "a", "a-2", "b", "a-4", "b", None]
+    rows = spark.createDataFrame([("d", s, ".png", k) for k, s in enumerate(stems) if s], "doc string, stem string, ext string, k int").repartition(2)
+    got = {r.k: r.file_name for r in L.suffixed_names(rows, "doc", "stem", "ext", "k").collect()}
+    assert got == {0: "a.png", 1: "a-3.png", 2: "a-2.png", 3: "a-5.png", 4: "a-2-2.png", 5: "b.png", 6: "a-4.png", 7: "b-2.png"}
+    assert len(set(got.values())) == len(got)
