@@ -16,6 +16,7 @@ from ..operators import compare, links, models, translate
 from ..operators import render as R
 from ..operators import units as U
 from ..operators.stage import shared_path, staged
+from . import made
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -36,11 +37,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | made.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | made.oracle_sql()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -257,10 +258,11 @@ def safe_href_audit(spark, sf_dir):
     return found.select("page_id", "href", X.is_safe_href(F.col("href")).alias("safe"), X.is_safe_image_source(F.col("href")).alias("safe_image"))
 
 
-@_query(f"""select slug, count(*) as n, string_agg(host, ', ' order by host) as members from (select distinct {_SQL_HOST} as host, {_sql_slug(_SQL_HOST)} as slug from pages) group by 1 having count(*) > 1""")
+@_query(f"""select slug, count(*) as n, string_agg(url, ', ' order by url) as members from (select distinct url, {_sql_slug('url')} as slug from pages) group by 1 having count(*) > 1""")
 def collision_groups(spark, sf_dir):
-    hosts = table(spark, sf_dir, "pages").select(_host(F.col("url")).alias("host")).distinct().withColumn("slug", X.slug(F.col("host")))
-    return links.collisions(hosts, "slug", member="host")
+    """Pages whose addresses give the same name."""
+    rows = table(spark, sf_dir, "pages").select("url").distinct().withColumn("slug", X.slug(F.col("url")))
+    return links.collisions(rows, "slug", member="url")
 
 
 def _assets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
