@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from html import escape
+from itertools import chain
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([^`\n]*)$")
 _HEADING = re.compile(r" {0,3}(#{1,6})([ \t].*)?$")
@@ -205,7 +206,7 @@ def _link(text: str, i: int, closing: dict[int, int]) -> tuple[str, str, str | N
 def _marks(text: str) -> tuple[str, str]:
     """Two characters that the text does not have; they stand around the numbers of finished pieces."""
     used = set(text)
-    free = (c for c in map(chr, (*range(0xE000, 0xF900), *range(0xF0000, 0x110000))) if c not in used)
+    free = (c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x110000))) if c not in used)
     return next(free), next(free)
 
 

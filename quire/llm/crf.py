@@ -106,13 +106,20 @@ PART = 1 << 16
 
 
 def fit(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, size: int, steps: int = 40, rate: float = 0.25, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights ``(size,)`` of hashed features ``(n_features, n_tokens)`` and transitions, by Adam on the conditional likelihood."""
+    """Weights ``(size,)`` of hashed features ``(n_features, n_tokens)`` and transitions, by Adam on the conditional likelihood.
+
+    ``features`` are numbered anew in place, since a copy of them would be most of the memory.
+    """
     n = features.shape[1]
     w, trans = np.zeros(size), np.array([[0.0, -2.0], [0.0, -2.0]])
-    used = np.unique(features)
-    local = np.empty(features.shape, dtype=np.int32)  # row by row: wide copies of all features would be most of the memory
-    for to, row in zip(local, features):
-        to[:] = np.searchsorted(used, row)
+    present = np.zeros(size, dtype=bool)
+    for row in features:
+        present[row] = True
+    used = np.flatnonzero(present)
+    number = (np.cumsum(present) - 1).astype(features.dtype)
+    for row in features:
+        row[:] = number[row]
+    local = features
     moment = [np.zeros(len(used)), np.zeros(len(used)), np.zeros((2, 2)), np.zeros((2, 2))]
     theta = np.zeros(len(used))
     prev = np.concatenate([[0], labels[:-1]])
@@ -138,6 +145,7 @@ def fit(features: np.ndarray, starts: np.ndarray, labels: np.ndarray, size: int,
             pair /= pair.sum(axis=(1, 2), keepdims=True)
             pairs += pair.sum(axis=0)
         off = p - labels
+        del alpha, beta, x, p, unary
         grad = np.zeros(len(used))
         for row in local:
             grad += np.bincount(row, weights=off, minlength=len(used))

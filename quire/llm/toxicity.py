@@ -52,11 +52,11 @@ def tokens(column: pa.Array) -> Words:
 
 def features(words: Words) -> np.ndarray:
     """``(n_features, n_tokens)`` cells of the weight table."""
-    h = words.prefix_hashes(PREFIXES)
-    whole, n = h[0], h.shape[1]
+    whole, n = words.prefix_hashes((None,))[0], len(words.start)
     out = np.empty((len(PREFIXES) + 2, n), dtype=np.int32)
-    for k in range(len(PREFIXES)):
-        out[k] = mix64(h[k] + np.uint64(k)) & np.uint64(TABLE - 1)
+    for k, size in enumerate(PREFIXES):  # one at a time: 64-bit hashes of all would be most of the memory
+        h = whole if size is None else words.prefix_hashes((size,))[0]
+        out[k] = mix64(h + np.uint64(k)) & np.uint64(TABLE - 1)
     first = words.first
     for k, shift in ((len(PREFIXES), 1), (len(PREFIXES) + 1, -1)):
         other = np.roll(whole, shift)
@@ -159,6 +159,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float) -> Model:
     labels = labels.astype(np.int64)
     del coded, row
     weights, trans = crf.fit(cells, words.first, labels, TABLE)
+    del cells, labels
     model = Model(weights.astype(np.float32), trans, np.zeros(5))
     p = model.token_marginals(words)
     share = min(max(share, 0.01), 0.99)
@@ -197,7 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
             room[r.toxic] -= r.n
     place = {i: k for k, i in enumerate(ids)}
     sample = sorted(found.where(F.col("doc_id").isin(ids)).collect(), key=lambda r: (r.toxic, place[r.doc_id])) if ids else []
-    return fit([r.text for r in sample], np.array([r.toxic for r in sample]), counts.get(1, 0) / total)
+    texts, toxic = [r.text for r in sample], np.array([r.toxic for r in sample])
+    del sample, sizes
+    model = fit(texts, toxic, counts.get(1, 0) / total)
+    del texts
+    trim()
+    return model
 
 
 SPANS = "array<struct<begin:int,end:int,p:float>>"
