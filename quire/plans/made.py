@@ -11,6 +11,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions import text as X
@@ -46,7 +47,7 @@ _SQL_TURNS = "t as (select printf('conv-%d', conv_id) as document_id, conv_id, t
 _CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _archive(bodies: pd.Series) -> pd.Series:
     """An archive with a chapter per body, and a spine that also names an item whose file is missing."""
 
@@ -94,7 +95,7 @@ def source_failures(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pages(lines: pd.Series) -> pd.Series:
     """A PDF file with a page per list of lines; the pages inherit their font from the page tree."""
 
