@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, chat, flat_tokens, line_dedup, mixing, oracles, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
+from . import bitsliced, chat, collocations, flat_tokens, line_dedup, mixing, oracles, pii, quality, sentencepiece_np, separator_scan, toxicity, word_tokens
 from .minhash import near_duplicates
 from .store import shared_dir
 
@@ -111,9 +111,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_tokens.read_documents(spark, manifest, folder, dtype)
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document, see ``pii``; null texts are empty, a null doc_id is judged like any other."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.train(docs)))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every lang with at least 100 occurrences; null texts are empty, a null lang is ``und``, see ``collocations``."""
+    return collocations.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op5_mixing, op6_quality_rules, op7_topk, op8_token_counts, op9_line_dedup, op10_token_files)}
+    found = (op1_minhash, op2_toxicity, op3_sentencepiece, op4_chat, op5_mixing, op6_quality_rules, op7_topk, op8_token_counts, op9_line_dedup, op10_token_files, op11_pii, op12_collocations)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": oracles.MINHASH, "op4_chat": oracles.CHAT, "op5_mixing": mixing.oracle_sql(), "op6_quality_rules": oracles.QUALITY, "op7_topk": oracles.TOPK, "op9_line_dedup": oracles.LINES}
+    return {"op1_minhash": oracles.MINHASH, "op4_chat": oracles.CHAT, "op5_mixing": mixing.oracle_sql(), "op6_quality_rules": oracles.QUALITY, "op7_topk": oracles.TOPK, "op9_line_dedup": oracles.LINES, "op12_collocations": collocations.ORACLE_SQL}
