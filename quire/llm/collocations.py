@@ -13,7 +13,7 @@ least ``covered`` percent of its occurrences is dropped.
 
 Cases: null texts are empty; a null lang is ``und``; rows count as often as they come, also repeated rows and null doc_ids (ids are not
 read); other columns are not read either.  Words of any length and texts of any length take part whole.  Ties of cuts go to the
-first cut, ties of phrases to UTF-8 byte order.  Empty tables and langs without a phrase give no rows.  Within a slice of 4 MB words
+first cut, ties of phrases to UTF-8 byte order.  Empty tables and langs without a phrase give no rows.  Within a slice of 2 MB words
 and phrases are told apart by 64-bit hashes (two differ with a chance under 1e-8 a slice), between slices by their text.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ MIN_BUCKETS, MAX_BUCKETS, BYTES_A_BUCKET = 1 << 22, 1 << 26, 128
 _CHUNK = 1 << 16
 #: Tasks whose bucket counts are added up in one step.
 _FAN_IN = 256
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 _BREAK = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _SEPARATOR = _BREAK | np.isin(np.arange(256), [32, 9])
@@ -52,7 +52,7 @@ class Phrases:
         raw, offsets = flat_text(text)
         self.words = words = Words(raw, offsets, _SEPARATOR)
         self.hash = words.hashes()
-        breaks = np.cumsum(_BREAK[raw], dtype=np.int64)[words.start]
+        breaks = np.cumsum(_BREAK[raw], dtype=np.int32)[words.start]
         new = np.zeros(len(self.hash), dtype=bool)
         new[1:] = (np.diff(breaks) > 0) | (np.diff(words.doc) > 0)
         self.piece = np.cumsum(new)
@@ -120,19 +120,19 @@ class _Buckets:
             yield [c for c, _ in chunks], [part] * len(chunks), [x for _, x in chunks]
 
 
-_PASS = "lang string, phrase string, n long, chunk int, part int, counts binary"
+_PASS = "lang string, phrase string, n long, hash long, chunk int, part int, counts binary"
 _NAMES = [c.split()[0] for c in _PASS.split(", ")]
 
 
 def _counted(found: Phrases, at: np.ndarray, hashes: np.ndarray, k: int) -> pa.RecordBatch:
-    _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    own, first, n = np.unique(hashes, return_index=True, return_counts=True)
     first = at[first]
     langs = pa.DictionaryArray.from_arrays(pa.array(found.lang[first], pa.int32()), pa.array(found.langs, pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays([langs, found.texts(first, k).cast(pa.string()), pa.array(n), *_no_buckets(len(n))], _NAMES)
+    return pa.RecordBatch.from_arrays([langs, found.texts(first, k).cast(pa.string()), pa.array(n), pa.array(own.view(np.int64)), *_no_buckets(len(n))], _NAMES)
 
 
 def _no_phrases(n: int) -> list[pa.Array]:
-    return [pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.int64())]
+    return [pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
 
 
 def _no_buckets(n: int) -> list[pa.Array]:
@@ -157,7 +157,7 @@ def _pass(docs: DataFrame, k: int, buckets: int, dtype: str, frequent, open_buck
                 if k == 1:
                     here[at] = True
                     totals = np.bincount(found.lang, minlength=len(found.langs))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.astype(np.int64)), *_no_buckets(len(totals))], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.astype(np.int64)), pa.nulls(len(totals), pa.int64()), *_no_buckets(len(totals))], _NAMES)
                 else:
                     known = np.zeros(len(found.hash) + 1, dtype=bool)
                     inner = found.inside(k - 1)
@@ -180,8 +180,8 @@ def _pass(docs: DataFrame, k: int, buckets: int, dtype: str, frequent, open_buck
     return docs.mapInArrow(run, _PASS)
 
 
-def _bitmap(blobs: DataFrame, buckets: int, dtype: str, at_least: int) -> Bits:
-    """The buckets that reach ``at_least``, from (chunk, part, counts); counts are added up in two steps, streaming, and saturate."""
+def _bitmap(blobs: DataFrame, parts: int, buckets: int, dtype: str, at_least: int) -> Bits:
+    """The buckets that reach ``at_least``, from the (chunk, part, counts) of ``parts`` tasks; counts are added up as they stream by, and saturate."""
     most = np.iinfo(dtype).max
 
     def add(keyed: DataFrame, last: bool) -> DataFrame:
@@ -198,28 +198,25 @@ def _bitmap(blobs: DataFrame, buckets: int, dtype: str, at_least: int) -> Bits:
 
         return keyed.mapInArrow(run, "chunk int, part int, counts binary")
 
-    near = blobs.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).repartition("chunk", "part")
-    far = add(near, last=False).withColumn("part", F.lit(0)).repartition("chunk")
-    packed = np.zeros(buckets // 8, dtype=np.uint8)
-    for row in add(far, last=True).select("chunk", "counts").toLocalIterator():  # one bit for each bucket, of which there are at most MAX_BUCKETS
-        packed[row.chunk * _CHUNK // 8 : (row.chunk + 1) * _CHUNK // 8] = np.frombuffer(row.counts, dtype=np.uint8)
-    return Bits(packed)
+    if parts > _FAN_IN:
+        blobs = add(blobs.withColumn("part", F.floor(F.col("part") / _FAN_IN).cast("int")).repartition("chunk", "part"), last=False)
+    return _packed(add(blobs.withColumn("part", F.lit(0)).repartition("chunk"), last=True).select("chunk", "counts"), buckets, _CHUNK)
 
 
-def _frequent_bits(phrases: DataFrame, k: int, buckets: int) -> Bits:
-    """A bitmap of the hashes of frequent phrases; it is made in tasks and has the same number of bits as the buckets."""
+def _packed(rows: DataFrame, buckets: int, chunk: int) -> Bits:
+    """A bitmap from rows (number, bits) of its chunks; one bit for each bucket, of which there are at most MAX_BUCKETS."""
+    packed = np.zeros(buckets // 8, dtype=np.uint8)
+    for number, bits in rows.collect():
+        packed[number * chunk // 8 : (number + 1) * chunk // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return Bits(packed)
 
-    def run(batches):
-        seen = _Buckets(buckets, "uint8")
-        for batch in batches:
-            for lo, hi in slices(batch.column(1), _SLICE):
-                part = batch.slice(lo, hi - lo)
-                found = Phrases(part.column(1), part.column(0))
-                seen.add(found.hashes(found.inside(k), k))
-        for chunk, of, counts in seen.batches(TaskContext.get().partitionId()):
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(of, pa.int32()), pa.array(counts, pa.binary())], ["chunk", "part", "counts"])
 
-    return _bitmap(phrases.select("lang", "phrase").mapInArrow(run, "chunk int, part int, counts binary"), buckets, "uint8", 1)
+def _frequent_bits(phrases: DataFrame, buckets: int) -> Bits:
+    """A bitmap of the hashes of frequent phrases, of as many bits as there are buckets."""
+    wide = 8 * 4096  # bits of Spark's bitmaps
+    at = F.col("hash").bitwiseAND(F.lit(buckets - 1))
+    chunks = phrases.select(F.shiftright(at, wide.bit_length() - 1).alias("number"), (at % wide).alias("at")).groupBy("number").agg(F.bitmap_construct_agg("at").alias("bits"))
+    return _packed(chunks, buckets, wide)
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -234,8 +231,9 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
     dtype = next(t for t in ("uint8", "uint16", "uint32") if support <= np.iinfo(t).max)
     frequent = open_buckets = every = totals = None
     for k in range(1, longest + 1):
-        raw = written(_pass(docs, k, buckets, dtype, frequent, open_buckets))
-        counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        seen = Observation()
+        raw = written(_pass(docs, k, buckets, dtype, frequent, open_buckets).observe(seen, F.max("part").alias("part")))
+        counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash"))
         if k == 1:
             counts = written(counts.where(f"phrase is null or f >= {support}"))
             totals = counts.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
@@ -249,8 +247,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
         for old in (frequent, open_buckets):
             if old is not None:
                 old.unpersist()
-        open_buckets = spark.sparkContext.broadcast(_bitmap(raw.where("chunk is not null").select("chunk", "part", "counts"), buckets, dtype, support))
-        frequent = spark.sparkContext.broadcast(_frequent_bits(counts, k, buckets))
+        open_buckets = spark.sparkContext.broadcast(_bitmap(raw.where("chunk is not null").select("chunk", "part", "counts"), (seen.get["part"] or 0) + 1, buckets, dtype, support))
+        frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
     return every, totals
 
 

@@ -73,13 +73,16 @@ def test_buckets_prune(spark):
     once = " ".join(rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(20_000))
     docs = spark.createDataFrame([("en", once + " . " + "left hand . " * 300)], "lang string, text string")
     raw = C.written(C._pass(docs.select("lang", "text"), 1, C.MIN_BUCKETS, "uint8", None, None))
-    bits = C._bitmap(raw.where("chunk is not null").select("chunk", "part", "counts"), C.MIN_BUCKETS, "uint8", 100)
+    bits = C._bitmap(raw.where("chunk is not null").select("chunk", "part", "counts"), 8, C.MIN_BUCKETS, "uint8", 100)
     assert np.unpackbits(bits.packed).sum() == 1
     counts = raw.where("chunk is null and phrase is not null").groupBy("lang", "phrase").agg(C.F.sum("n").alias("f")).where("f >= 100")
     assert {r.phrase for r in counts.collect()} >= {"left", "hand"}
 
 
-def test_many_tasks_add_up(spark):
+@pytest.mark.parametrize("fan_in", [4, 256])
+def test_many_tasks_add_up(spark, monkeypatch, fan_in):
+    """Bucket counts of 37 tasks, added up in two steps and in one."""
+    monkeypatch.setattr(C, "_FAN_IN", fan_in)
     rows = texts(3, 40) * 8
     assert run(spark.createDataFrame(rows, "lang string, text string").repartition(37), support=200) == brute(rows, support=200)
 
