@@ -34,6 +34,7 @@ LONGEST = 5
 #: Buckets of a pass: one for each ``BYTES_A_BUCKET`` bytes of text, within these bounds (powers of two).
 MIN_BUCKETS, MAX_BUCKETS, BYTES_A_BUCKET = 1 << 22, 1 << 26, 128
 _CHUNK = 1 << 16
+SALTS = 32
 #: Tasks whose bucket counts are added up in one step.
 _FAN_IN = 256
 _SLICE = 2 << 20
@@ -274,8 +275,10 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = LONGEST, co
     spans = spans.select("lang", "w", "f", "size", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("size") + 1)).alias("at"))
     longer = spans.groupBy("lang", part(F.col("at"), F.col("size")).alias("phrase")).agg(F.max("f").alias("within"))
     kept = worst.join(longer, ["lang", "phrase"], "left").where(F.col("within").isNull() | (F.lit(100) * F.col("within") < F.lit(covered) * F.col("a")))
-    best = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")  # the planner keeps ``top`` rows of each task before the shuffle
-    return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # a lang's rows are cut to ``top`` for each salt first, so its one task reads at most SALTS * top rows
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 _WORDS = r"regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09]+')"
