@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .scan import scan
 
 
 def html_targets(pages: DataFrame, html: str = "html", attribute: str = "href") -> DataFrame:
@@ -86,8 +87,7 @@ def rewrite_internal_links(units: DataFrame, unit_of_path: DataFrame, document:
 def first_seen_ids(references: DataFrame, document: str, resource: str, order: str, prefix: str = "asset") -> DataFrame:
     """``asset-NNN`` in the order in which resources are first referred to."""
     first = references.groupBy(document, resource).agg(F.min(order).alias("first_at"))
-    w = W.partitionBy(document).orderBy("first_at", resource)
-    return first.withColumn("n", F.row_number().over(w)).withColumn("asset_id", F.format_string(prefix + "-%03d", F.col("n"))).drop("n")
+    return scan(first, document, "first_at", resource, before={"n": F.lit(1)}).withColumn("asset_id", F.format_string(prefix + "-%03d", F.col("n") + 1)).drop("n")
 
 
 def suffixed_names(rows: DataFrame, document: str, stem: str, extension: str, order: str) -> DataFrame:

@@ -44,10 +44,21 @@ def unit_link(unit_id: Column, title: Column, site: bool = False) -> Column:
     return F.concat(F.lit('<li><a href="'), X.escape_html(unit_href(unit_id, site)), F.lit('">'), X.escape_html(title), F.lit("</a></li>"))
 
 
-def index_content(units: DataFrame, document: str, title: Column, site: bool = False) -> DataFrame:
-    """(document, n_units, content): the contents page of each document."""
+#: Units of a piece of a contents page.
+PIECE = 1000
+
+
+def index_pieces(units: DataFrame, document: str, site: bool = False) -> DataFrame:
+    """(document, piece, n_units, list): the entries of each contents page, ``PIECE`` units at a time; no group is larger."""
     rows = F.array_sort(F.collect_list(F.struct("pos", unit_link(F.col("unit_id"), F.col("title"), site).alias("li"))))
-    out = units.groupBy(document).agg(F.count("*").alias("n_units"), F.array_join(F.transform(rows, lambda x: x["li"]), "").alias("list"))
+    piece = F.floor((F.col("pos") - 1) / PIECE).cast("int").alias("piece")
+    return units.groupBy(document, piece).agg(F.count("*").alias("n_units"), F.array_join(F.transform(rows, lambda x: x["li"]), "").alias("list"))
+
+
+def index_content(units: DataFrame, document: str, title: Column, site: bool = False) -> DataFrame:
+    """(document, n_units, content): the contents page of each document, put together from its ``index_pieces``."""
+    rows = F.array_sort(F.collect_list(F.struct("piece", "list")))
+    out = index_pieces(units, document, site).groupBy(document).agg(F.sum("n_units").alias("n_units"), F.array_join(F.transform(rows, lambda x: x["list"]), "").alias("list"))
     n = F.col("n_units").cast("string")
     head = F.concat(F.lit('<nav aria-labelledby="document-title"><h1 id="document-title">'), X.escape_html(title), F.lit("</h1><p>"), n, F.lit(" unit"), F.when(F.col("n_units") == 1, "").otherwise("s"), F.lit("</p><ol>"))
     return out.select(document, "n_units", F.concat(head, F.col("list"), F.lit("</ol></nav>")).alias("content"))
@@ -88,7 +99,7 @@ def unit_pages(units: DataFrame, document: str, document_title: Column, language
     from .markdown import markdown_to_html
 
     home, styles = ("../index.html", "../print.css") if site else ("/", "/styles.css")
-    rows = U.navigation(units, document).withColumn("__body", strip_duplicate_title(F.col("markdown"), F.col("title")))
+    rows = (units if "next_id" in units.columns else U.navigation(units, document, wide=("markdown",))).withColumn("__body", strip_duplicate_title(F.col("markdown"), F.col("title")))
     rows = rows.withColumn("__body", markdown_to_html(F.col("__body")))
     body = rewrite_read_links(F.col("__body")) if site else F.col("__body")
     content = F.concat(F.lit('<article aria-labelledby="unit-title"><h1 id="unit-title">'), X.escape_html(F.col("title")), F.lit("</h1>"), body, navigation(F.col("prev_id"), F.col("next_id"), home, site), F.lit("</article>"))

@@ -13,8 +13,8 @@ from ..errors import ValidationError
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, removed when the driver ends; unset, it gets a default on a local master and is an error on a cluster."""
+def shared_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below ``spark.checkpoint.dir``, removed when the driver ends unless it is to ``keep``; unset, it gets a default on a local master and is an error on a cluster."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -22,7 +22,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
         top = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    if not keep:
+        _made.append((spark, path))
     return path
 
 

@@ -19,6 +19,7 @@ from .. import schemas
 from ..errors import ValidationError
 from ..functions import text as X
 from . import models
+from .scan import scan
 
 MIN_CONCURRENCY, DEFAULT_CONCURRENCY, MAX_CONCURRENCY = 1, 4, 16
 CHARS_PER_TOKEN = 4
@@ -105,9 +106,12 @@ def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def budget(jobs: DataFrame, limit: float | None, document: str, order: str, cost: str) -> DataFrame:
-    """``spent`` before each job and ``over``: the money spent by then is the limit or more. Hits should cost 0."""
-    w = W.partitionBy(document).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    out = jobs.withColumn("spent", F.coalesce(F.sum(cost).over(w), F.lit(0.0)))
+    """``spent`` before each job and ``over``: the money spent by then is the limit or more. Hits should cost 0.
+
+    Costs have six places; they are added as decimals, so the sums do not depend on how rows are parted.
+    """
+    exact = F.col(cost).cast("decimal(20,6)") if jobs.schema[cost].dataType.typeName() in ("double", "float") else F.col(cost)
+    out = scan(jobs, document, order, before={"spent": exact}).withColumn("spent", F.col("spent").cast("double"))
     return out.withColumn("over", F.lit(False) if limit is None else F.col("spent") >= limit)
 
 

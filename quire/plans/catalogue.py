@@ -56,10 +56,15 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(*columns)
 
 
-def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as numbered units: (source, pos, unit_id, title, markdown, doc_id)."""
+def _units(spark: SparkSession, sf_dir: str, text: bool = True, neighbours: bool = False) -> DataFrame:
+    """Documents as numbered units: (source, doc_id, markdown, title, pos, unit_id), without ``markdown`` if no text is wanted."""
     rows = _documents(spark, sf_dir, "source", "doc_id", F.col("text").alias("markdown")).withColumn("title", X.derive_title(F.col("markdown")))
-    return U.numbered(rows, "source", "doc_id")
+    return U.numbered(rows, "source", "doc_id", wide=("markdown",), neighbours=neighbours) if text else U.numbered(rows.drop("markdown"), "source", "doc_id", neighbours=neighbours)
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents with their titles; sums over them need no numbers."""
+    return _documents(spark, sf_dir, F.col("text").alias("markdown")).withColumn("title", X.derive_title(F.col("markdown")))
 
 
 # -- SQL parts --------------------------------------------------------------------------------------------------
@@ -131,7 +136,7 @@ select source, pos, {_sql_unit("pos")} as unit_id, title, printf('chapters/%03d-
   case when pos > 1 then {_sql_unit("pos - 1")} end as prev_id,
   case when lead(pos) over (partition by source order by pos) is not null then {_sql_unit("pos + 1")} end as next_id from u""")
 def units_navigation(spark, sf_dir):
-    rows = U.navigation(_units(spark, sf_dir), "source")
+    rows = _units(spark, sf_dir, text=False, neighbours=True)
     return rows.select("source", "pos", "unit_id", "title", X.unit_path(F.col("pos"), F.col("title")).alias("path"), "prev_id", "next_id")
 
 
@@ -157,8 +162,8 @@ u as (select doc_id, section, max(case when hd then line end) as heading, min(li
 select doc_id, row_number() over (partition by doc_id order by section)::int as pos, coalesce(heading, 'Document') as title, page::int as page,
   case when bool_or(heading is not null) over (partition by doc_id) then 0.8::double else 0.5::double end as confidence, n_lines, md5(markdown) as markdown_md5 from u""")
 def section_split(spark, sf_dir):
-    lines = U.page_lines(_documents(spark, sf_dir, "doc_id", "text")).withColumn("page", F.col("line_no") + 1)
-    return U.sections(lines, "doc_id", "line_no").select("doc_id", "pos", "title", "page", "confidence", "n_lines", F.md5("markdown").alias("markdown_md5"))
+    pages = _documents(spark, sf_dir, "doc_id", "text", F.lit(1).alias("page"))
+    return U.sections(pages, "doc_id", "page").select("doc_id", "pos", "title", (F.col("line_no") + 1).alias("page"), "confidence", "n_lines", F.md5("markdown").alias("markdown_md5"))
 
 
 @_query("""with r as (select *, role <> 'system' as body from conversations),
@@ -351,13 +356,13 @@ _SYSTEM = len(models.system_prompt("fr", "en"))
 @_query(f"""with u as ({_SQL_UNITS}), s as (select count(*) as units, ceil((sum({_SQL_IN}) + {_SYSTEM}) / 4.0)::bigint as input_tokens, sum(ceil({_sql_utf16("markdown")} / 4.0))::bigint as output_tokens from u)
 select *, {_sql_cost("input_tokens", "output_tokens", "0.1::double", "0.5::double")} as cost_usd from s""")
 def dry_run_estimate(spark, sf_dir):
-    return translate.dry_run(_units(spark, sf_dir).select("markdown", "title"), models.DEFAULT_MODEL, "fr", "en")
+    return translate.dry_run(_titled(spark, sf_dir), models.DEFAULT_MODEL, "fr", "en")
 
 
 @_query(f"""with u as ({_SQL_UNITS}), s as (select count(*) as units, sum(ceil({_SQL_IN} / 4.0))::bigint as input_tokens, sum(ceil({_sql_utf16("markdown")} / 4.0))::bigint as output_tokens from u)
 select model, units, input_tokens, output_tokens, {_sql_cost("input_tokens", "output_tokens", "price_in", "price_out")} as cost_usd from s cross join {_MODELS_SQL}""")
 def benchmark_plan(spark, sf_dir):
-    return translate.benchmark_plan(_units(spark, sf_dir).select("markdown", "title"), models.table(spark))
+    return translate.benchmark_plan(_titled(spark, sf_dir), models.table(spark))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,7 +464,7 @@ def document_concat(spark, sf_dir):
 @_query(f"""with u as ({_SQL_UNITS}), i as (select *, '<li><a href="/read/' || {_sql_unit("pos")} || '">' || replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</a></li>' as li from u)
 select source, count(*) as n_units, md5('<nav aria-labelledby="document-title"><h1 id="document-title">' || source || '</h1><p>' || count(*) || ' unit' || case when count(*) = 1 then '' else 's' end || '</p><ol>' || string_agg(li, '' order by pos) || '</ol></nav>') as content_md5 from i group by source""")
 def index_page(spark, sf_dir):
-    pages = R.index_content(_units(spark, sf_dir), "source", F.col("source"))
+    pages = R.index_content(_units(spark, sf_dir, text=False), "source", F.col("source"))
     return pages.select("source", "n_units", F.md5("content").alias("content_md5"))
 
 
@@ -513,7 +518,7 @@ def structure_validation(spark, sf_dir):
 
 @_query()
 def render_unit_page(spark, sf_dir):
-    return R.unit_pages(_units(spark, sf_dir), "source", F.col("source"), F.lit("en"))
+    return R.unit_pages(_units(spark, sf_dir, neighbours=True), "source", F.col("source"), F.lit("en"))
 
 
 @_query()

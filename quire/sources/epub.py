@@ -202,7 +202,7 @@ def extract(sources: DataFrame) -> Extracted:
     # titles, merge, ids, links
     chapters = chapters.withColumn("title", X.derive_title(F.col("markdown")))
     merged = U.merge_title_pages(chapters, "document_id", "spine_index", ~X.is_title_only(F.col("markdown")), X.is_empty_chapter(F.col("markdown")))
-    units = U.numbered(merged, "document_id", "spine_index")
+    units = U.numbered(merged, "document_id", "spine_index", wide=("markdown",))
     of_path = units.select("document_id", F.explode("paths").alias("target"), F.col("unit_id").alias("new"))
     units, more = L.rewrite_internal_links(units, of_path)
     warnings = warnings.unionByName(_warning(more, "unresolved-resource", F.col("message")))

@@ -49,8 +49,7 @@ def extract(sources: DataFrame) -> Extracted:
     failures = rows.where("code is not null").select("document_id", "code", "message")
     good = rows.where("code is null")
     documents = good.groupBy("document_id").agg(F.first("title", ignorenulls=True).alias("title")).select("document_id", F.coalesce("title", "document_id").alias("title"), F.lit("und").alias("language"))
-    lines = U.page_lines(good.select("document_id", "page", "text"))
-    units = staged(U.sections(lines, "document_id", "page", "line_no"))
+    units = staged(U.sections(good.select("document_id", "page", "text"), "document_id", "page"))
     numbered = F.lit("").cast("string")
     images = good.select("document_id", "page", F.posexplode("images").alias("n", "image")).select("document_id", "page", "n", F.col("image.name").alias("name"), F.col("image.bytes").alias("bytes"))
     images = images.withColumns({"fmt": X.image_format(F.col("bytes")), "size": measured("bytes"), "stem": _slug(X.image_stem(F.col("name")))})
