@@ -132,7 +132,9 @@ def parse(html: str) -> Node:
 def to_markdown(html: str | None) -> str:
     if not html:
         return ""
-    return re.sub(r"\n{3,}", "\n\n", "\n\n".join(x for x in _blocks(parse(html)) if x)).strip("\n")
+    top = _Place([])
+    _blocks(parse(html), top)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(top.lines)).strip("\n")
 
 
 def _escape(text: str) -> str:
@@ -178,18 +180,53 @@ def _tidy(text: str) -> str:
     return "\n".join(re.sub(" +", " ", x).strip() for x in text.split("\n")).strip()
 
 
-def _list(node: Node, ordered: bool) -> str:
-    rows, n = [], int(node.attrs.get("start", "1")) if node.attrs.get("start", "1").isdigit() else 1
+class _Place:
+    """Where blocks go: the document, a list item or a quotation.  Lines are written once, with the whole prefix of their place."""
+
+    __slots__ = ("lines", "parent", "mark", "rest", "item", "listed", "quoted", "filled")
+
+    def __init__(self, lines: list[str], parent: "_Place | None" = None, mark: str = "", item: bool = False) -> None:
+        self.lines, self.parent, self.mark, self.item = lines, parent, mark, item
+        self.rest = (parent.rest if parent else "") + (" " * len(mark) if item else mark)
+        self.listed = item or bool(parent and parent.listed)
+        self.quoted = bool(parent and (parent.quoted or not item))
+        self.filled = False
+
+    def begin(self, tight: bool) -> str:
+        """Prefix of the first line of a new block; blocks are a blank line apart, but for lists behind another block of an item."""
+        if not self.filled:
+            self.filled = True
+            return (self.parent.begin(self.item) if self.parent else "") + self.mark
+        if not (tight and self.item):
+            self.lines.append(self.rest.rstrip(" "))
+        return self.rest
+
+    def put(self, block: str) -> None:
+        if not block:
+            return
+        prefix = self.begin(bool(re.match(r"(-|\d+\.) ", block)))
+        for line in block.split("\n"):
+            self.lines.append((prefix + line).rstrip() if self.quoted else prefix + line)
+            prefix = self.rest
+
+
+def _list(node: Node, ordered: bool, place: _Place) -> None:
+    start = node.attrs.get("start", "1")
+    n = int(start) if re.fullmatch("[0-9]{1,9}", start) else 1
+    outer = place
     for item in node.named("li"):
-        mark = f"{n}." if ordered else "-"
-        body = [x for x in _blocks(item) if x]
-        text = ""
-        for k, part in enumerate(body):
-            nested = re.match(r"(-|\d+\.) ", part) and k
-            text += ("\n" if nested else "\n\n" if k else "") + part
-        rows.append(f"{mark} " + text.replace("\n", "\n" + " " * (len(mark) + 1)))
+        first = len(place.lines)
+        here = _Place(place.lines, outer, f"{n}. " if ordered else "- ", item=True)
+        _blocks(item, here)
+        if not here.filled:
+            prefix = here.begin(True)
+            place.lines.append(prefix.rstrip() if here.quoted else prefix)
+        if not place.listed:  # blanks at line ends, but for the last line of an outermost item
+            place.lines[first:-1] = [x.rstrip(" \t") for x in place.lines[first:-1]]
+        if outer is place:  # further items follow without a blank line
+            outer = _Place(place.lines, place)
+            outer.item, outer.listed, outer.quoted, outer.filled = True, place.listed, place.quoted, True
         n += 1
-    return "\n".join(re.sub(r"[ \t]+(?=\n)", "", r) for r in rows)
 
 
 def _table(node: Node) -> str:
@@ -204,13 +241,13 @@ def _table(node: Node) -> str:
     return "\n".join(["| " + " | ".join(rows[0]) + " |", "| " + " | ".join(["---"] * width) + " |", *("| " + " | ".join(r) + " |" for r in rows[1:])])
 
 
-def _blocks(node: Node) -> list[str]:
-    out: list[str] = []
+def _blocks(node: Node, place: _Place) -> None:
+    """Write the blocks below ``node`` to their place."""
     run = Node("#run")
 
     def flush() -> None:
         if run.children:
-            out.append(_tidy(_inline(run)))
+            place.put(_tidy(_inline(run)))
             run.children = []
 
     for c in node.children:
@@ -222,26 +259,24 @@ def _blocks(node: Node) -> list[str]:
             continue
         if re.fullmatch("h[1-6]", c.tag):
             text = _tidy(_inline(c)).replace("\n", " ")
-            out.append(f"{'#' * int(c.tag[1])} {text}" if text else "")
+            place.put(f"{'#' * int(c.tag[1])} {text}" if text else "")
         elif c.tag == "hr":
-            out.append("---")
+            place.put("---")
         elif c.tag in ("ul", "ol"):
-            out.append(_list(c, c.tag == "ol"))
+            _list(c, c.tag == "ol", place)
         elif c.tag == "blockquote":
-            inner = "\n\n".join(x for x in _blocks(c) if x)
-            out.append("\n".join(("> " + x).rstrip() for x in inner.split("\n")) if inner else "")
+            _blocks(c, _Place(place.lines, place, "> "))
         elif c.tag == "pre":
             code = next(iter(c.named("code")), c)
             language = re.search(r"language-([\w+-]+)", code.attrs.get("class", "") or c.attrs.get("class", ""))
             text = code.text().strip("\n")
             fence = "```" if "```" not in text else "````"
-            out.append(f"{fence}{language[1] if language else ''}\n{text}\n{fence}")
+            place.put(f"{fence}{language[1] if language else ''}\n{text}\n{fence}")
         elif c.tag == "table":
-            out.append(_table(c))
+            place.put(_table(c))
         else:
-            out.extend(_blocks(c))
+            _blocks(c, place)
     flush()
-    return out
 
 
 # -- Safe HTML --------------------------------------------------------------------------------------------------
