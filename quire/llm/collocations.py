@@ -21,8 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -232,8 +232,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
     dtype = next(t for t in ("uint8", "uint16", "uint32") if support <= np.iinfo(t).max)
     frequent = open_buckets = every = totals = None
     for k in range(1, longest + 1):
-        seen = Observation()
-        raw = written(_pass(docs, k, buckets, dtype, frequent, open_buckets).observe(seen, F.max("part").alias("part")))
+        # read twice, then gone: blocks on the executors' disks, which a lost executor costs one pass over its texts
+        raw = _pass(docs, k, buckets, dtype, frequent, open_buckets).persist(StorageLevel.DISK_ONLY)
         counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash"))
         if k == 1:
             counts = written(counts.where(f"phrase is null or f >= {support}"))
@@ -243,13 +243,18 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
             counts = written(counts.where(f"f >= {support}"))
         found = counts.select("lang", "phrase", F.lit(k).alias("k"), "f")
         every = found if every is None else every.unionByName(found)
-        if k == longest or counts.isEmpty():
-            break
         for old in (frequent, open_buckets):
             if old is not None:
                 old.unpersist()
-        open_buckets = spark.sparkContext.broadcast(_bitmap(raw.where("chunk is not null").select("chunk", "part", "counts"), (seen.get["part"] or 0) + 1, buckets, dtype, support))
-        frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
+        last = k == longest or counts.isEmpty()
+        if not last:
+            blobs = raw.where("chunk is not null").select("chunk", "part", "counts")
+            parts = (blobs.agg(F.max("part")).first()[0] or 0) + 1
+            open_buckets = spark.sparkContext.broadcast(_bitmap(blobs, parts, buckets, dtype, support))
+            frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
+        raw.unpersist()
+        if last:
+            break
     return every, totals
 
 
