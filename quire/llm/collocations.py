@@ -1,8 +1,8 @@
 """Phrase collocations by hashed candidate passes (PCY/DHP).
 
-Pass k counts phrases of k words exactly and, over the same texts, counts the phrases of k + 1 words in hash buckets.  A phrase of
-k words is counted only if its bucket of the pass before reached ``support`` and the two phrases of k - 1 words inside it are
-frequent (Apriori).  Both tests are bitmaps of a fixed number of bits, so what is broadcast has a bound whatever the corpus; a
+Pass k counts phrases of k words exactly and, over the same texts, counts the phrases of k + 1 words in hash buckets; pass 0 does
+so for single words.  A phrase of k words is counted only if its bucket of the pass before reached ``support`` and the two phrases
+of k - 1 words inside it are frequent (Apriori).  Both tests are bitmaps of a fixed number of bits, so what is broadcast has a bound whatever the corpus; a
 bit that is set by chance costs a count that is dropped later, never a phrase.  Beyond ``MAX_BUCKETS`` * ``support`` phrases the
 buckets fill up and only the Apriori test cuts; results stay the same.
 
@@ -143,7 +143,7 @@ def _no_buckets(n: int) -> list[pa.Array]:
 def _pass(docs: DataFrame, k: int, buckets: int, dtype: str, frequent, open_buckets) -> DataFrame:
     """One pass over the texts: rows of exact counts of phrases of k words, then the task's bucket counts of k + 1 words.
 
-    At k = 1 a row without a phrase holds the number of words of a lang in the slice.
+    Pass 0 has bucket counts of words only; in pass 1 a row without a phrase holds the number of words of a lang in the slice.
     """
 
     def run(batches):
@@ -152,23 +152,26 @@ def _pass(docs: DataFrame, k: int, buckets: int, dtype: str, frequent, open_buck
             for lo, hi in slices(batch.column(1), _SLICE):
                 part = batch.slice(lo, hi - lo)
                 found = Phrases(part.column(1), part.column(0))
-                at = found.inside(k)
-                hashes = found.hashes(at, k)
-                here = np.zeros(len(found.hash) + 1, dtype=bool)
+                if k == 0:
+                    ahead.add(found.hashes(found.inside(1), 1))
+                    continue
                 if k == 1:
-                    here[at] = True
                     totals = np.bincount(found.lang, minlength=len(found.langs))
                     yield pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.astype(np.int64)), pa.nulls(len(totals), pa.int64()), *_no_buckets(len(totals))], _NAMES)
-                else:
+                at = found.inside(k)
+                hashes = found.hashes(at, k)
+                keep = open_buckets.value.has(hashes)
+                if k > 1:
                     known = np.zeros(len(found.hash) + 1, dtype=bool)
                     inner = found.inside(k - 1)
                     known[inner] = frequent.value.has(found.hashes(inner, k - 1))
-                    keep = known[at] & known[at + 1] & open_buckets.value.has(hashes)
-                    at, hashes = at[keep], hashes[keep]
-                    here[at] = True
+                    keep &= known[at] & known[at + 1]
+                at, hashes = at[keep], hashes[keep]
                 if len(at):
                     yield _counted(found, at, hashes, k)
                 if ahead is not None:
+                    here = np.zeros(len(found.hash) + 1, dtype=bool)
+                    here[at] = True
                     longer = found.inside(k + 1)
                     longer = longer[here[longer] & here[longer + 1]]
                     ahead.add(found.hashes(longer, k + 1))
@@ -231,27 +234,28 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
         buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (size // BYTES_A_BUCKET).bit_length()))
     dtype = next(t for t in ("uint8", "uint16", "uint32") if support <= np.iinfo(t).max)
     frequent = open_buckets = every = totals = None
-    for k in range(1, longest + 1):
+    for k in range(longest + 1):
         # read twice, then gone: blocks on the executors' disks, which a lost executor costs one pass over its texts
         raw = _pass(docs, k, buckets, dtype, frequent, open_buckets).persist(StorageLevel.DISK_ONLY)
-        counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash"))
-        if k == 1:
-            counts = written(counts.where(f"phrase is null or f >= {support}"))
-            totals = counts.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
-            counts = counts.where("phrase is not null")
-        else:
-            counts = written(counts.where(f"f >= {support}"))
-        found = counts.select("lang", "phrase", F.lit(k).alias("k"), "f")
-        every = found if every is None else every.unionByName(found)
+        last = k == longest
+        if k > 0:
+            counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash"))
+            counts = written(counts.where(f"f >= {support}" if k > 1 else f"phrase is null or f >= {support}"))
+            if k == 1:
+                totals = counts.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
+                counts = counts.where("phrase is not null")
+            found = counts.select("lang", "phrase", F.lit(k).alias("k"), "f")
+            every = found if every is None else every.unionByName(found)
+            last = last or counts.isEmpty()
         for old in (frequent, open_buckets):
             if old is not None:
                 old.unpersist()
-        last = k == longest or counts.isEmpty()
         if not last:
             blobs = raw.where("chunk is not null").select("chunk", "part", "counts")
             parts = (blobs.agg(F.max("part")).first()[0] or 0) + 1
             open_buckets = spark.sparkContext.broadcast(_bitmap(blobs, parts, buckets, dtype, support))
-            frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
+            if k > 0:
+                frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
         raw.unpersist()
         if last:
             break
