@@ -114,18 +114,39 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str) -> Node:
-    # a comment that nothing closes reaches to the end, as the standard has it; found here, it is searched for once
+def _closed(html: str) -> str:
+    """``html`` without a comment that nothing closes: it reaches to the end, as the standard has it; found here, it is searched for once."""
     last = html.rfind("-->")
     open_comment = html.find("<!--", last + 3 if last >= 0 else 0)
-    if open_comment >= 0:
-        html = html[:open_comment]
+    return html if open_comment < 0 else html[:open_comment]
+
+
+def parse(html: str) -> Node:
     b = _Builder()
-    b.feed(html)
+    b.feed(_closed(html))
     b.close()
     return b.root
 
 
+class _Attributes(HTMLParser):
+    def __init__(self, name: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.name, self.found = name, []
+
+    def handle_starttag(self, tag, attrs):
+        value = next((v for k, v in attrs if k == self.name), None)
+        if value is not None:
+            self.found.append(value)
+
+
+def attribute_values(html: str | None, name: str) -> list[str]:
+    """Values of an attribute of start tags, in order, however they are quoted; comments and scripts have none."""
+    p = _Attributes(name)
+    p.feed(_closed(html or ""))
+    p.close()
+    return p.found
+
+
 # -- Markdown ---------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +213,12 @@ class _Place:
         self.quoted = bool(parent and (parent.quoted or not item))
         self.filled = False
 
+    def behind(self) -> "_Place":
+        """The same place for list items behind the first, which no blank line sets apart."""
+        other = _Place(self.lines, self)
+        other.item, other.listed, other.quoted, other.filled = True, self.listed, self.quoted, True
+        return other
+
     def begin(self, tight: bool) -> str:
         """Prefix of the first line of a new block; blocks are a blank line apart, but for lists behind another block of an item."""
         if not self.filled:
@@ -224,8 +251,7 @@ def _list(node: Node, ordered: bool, place: _Place) -> None:
         if not place.listed:  # blanks at line ends, but for the last line of an outermost item
             place.lines[first:-1] = [x.rstrip(" \t") for x in place.lines[first:-1]]
         if outer is place:  # further items follow without a blank line
-            outer = _Place(place.lines, place)
-            outer.item, outer.listed, outer.quoted, outer.filled = True, place.listed, place.quoted, True
+            outer = place.behind()
         n += 1
 
 

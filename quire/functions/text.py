@@ -260,7 +260,9 @@ def format_location(location: Column) -> Column:
 
 
 def describe_block(block: Column) -> Column:
-    return F.coalesce(F.to_json(block), F.lit("nothing (end of document)"))
+    """A block of a skeleton as JSON; only code says that it has no language."""
+    plain_code = F.when((block["kind"] == "code") & block["language"].isNull(), '{"kind":"code","language":null}')
+    return F.coalesce(plain_code, F.to_json(block), F.lit("nothing (end of document)"))
 
 
 def strip_outer_fence(c: Column) -> Column:

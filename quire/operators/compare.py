@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -22,20 +21,29 @@ def positional_diff(left: DataFrame, right: DataFrame, keys: list[str], value: s
     return both.where(~F.col("expected").eqNullSafe(F.col("actual"))).withColumn("pos", F.col("pos") + 1)
 
 
-def block_issues(diff: DataFrame, keys: list[str]) -> DataFrame:
-    """The first five block differences of each key and a closing row if there are five or more."""
-    w = W.partitionBy(*keys).orderBy("pos")
-    top = diff.withColumn("n", F.row_number().over(w)).where(F.col("n") <= LISTED)
-    message = F.concat(F.lit("Block "), F.col("pos").cast("string"), F.lit(" changed. Expected "), X.describe_block(F.col("expected")), F.lit(" but found "), X.describe_block(F.col("actual")), F.lit("."))
-    listed = top.select(*keys, F.lit(1).alias("class_order"), F.col("n"), F.lit("structure").alias("kind"), message.alias("message"))
-    more = top.where(F.col("n") == LISTED).select(*keys, F.lit(1).alias("class_order"), (F.col("n") + 1).alias("n"), F.lit("structure").alias("kind"), F.lit("More structural differences were omitted.").alias("message"))
-    return listed.unionByName(more)
+def array_diff(expected: Column, actual: Column) -> Column:
+    """``(pos, expected, actual)`` of the places where two arrays of a row differ, in order; a missing end counts as null."""
+    both = F.zip_with(expected, actual, lambda a, b: F.struct(a.alias("expected"), b.alias("actual")))
+    placed = F.transform(both, lambda x, i: F.struct((i + 1).alias("pos"), x["expected"].alias("expected"), x["actual"].alias("actual")))
+    return F.filter(placed, lambda x: ~x["expected"].eqNullSafe(x["actual"]))
 
 
-def target_issues(diff: DataFrame, keys: list[str], kind: str, label: str, order: int) -> DataFrame:
-    either = lambda c: F.coalesce(F.col(c), F.lit("nothing"))
-    message = F.concat(F.lit(f"{label} "), F.col("pos").cast("string"), F.lit(' changed. Expected "'), either("expected"), F.lit('" but found "'), either("actual"), F.lit('".'))
-    return diff.select(*keys, F.lit(order).alias("class_order"), F.col("pos").alias("n"), F.lit(kind).alias("kind"), message.alias("message"))
+def _issue(kind: str, message: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), message.alias("message"))
+
+
+def block_issues(diff: Column) -> Column:
+    """The first five block differences and a closing one if there are five or more."""
+    said = lambda x: F.concat(F.lit("Block "), x["pos"].cast("string"), F.lit(" changed. Expected "), X.describe_block(x["expected"]), F.lit(" but found "), X.describe_block(x["actual"]), F.lit("."))
+    listed = F.transform(F.slice(diff, 1, LISTED), lambda x: _issue("structure", said(x)))
+    more = F.array(_issue("structure", F.lit("More structural differences were omitted.")))
+    return F.when(F.size(diff) >= LISTED, F.concat(listed, more)).otherwise(listed)
+
+
+def target_issues(diff: Column, kind: str, label: str) -> Column:
+    either = lambda c: F.coalesce(c, F.lit("nothing"))
+    said = lambda x: F.concat(F.lit(f"{label} "), x["pos"].cast("string"), F.lit(' changed. Expected "'), either(x["expected"]), F.lit('" but found "'), either(x["actual"]), F.lit('".'))
+    return F.transform(diff, lambda x: _issue(kind, said(x)))
 
 
 def internal_link_issues(links: DataFrame, unit_ids: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,7 +52,7 @@ def internal_link_issues(links: DataFrame, unit_ids: DataFrame, keys: list[str])
     by = [c for c in unit_ids.columns]
     bad = named.join(unit_ids, by, "left_anti")
     message = F.concat(F.lit('Internal link "'), F.col("href"), F.lit('" points to unknown unit "'), F.col("unit"), F.lit('".'))
-    return bad.select(*keys, F.lit(4).alias("class_order"), "n", F.lit("internal-link").alias("kind"), message.alias("message"))
+    return bad.select(*keys, "n", _issue("internal-link", message).alias("issue"))
 
 
 def length_ratio(source: Column, translated: Column) -> Column:
@@ -61,17 +69,17 @@ def length_warning(source: Column, translated: Column, band: tuple[float, float]
 def validate(pairs: DataFrame, unit_ids: DataFrame, keys: list[str]) -> DataFrame:
     """``pairs(keys, source, translated, source_skeleton, translated_skeleton)`` -> (keys, ok, issues, warning).
 
-    Issues keep the order blocks, links, images, internal links.  The pairs are written once: their skeletons come from a
-    parser and are read by every comparison.
+    Issues keep the order blocks, links, images, internal links.  Pairs with equal skeletons leave by one comparison; the others
+    are compared inside their row.  Only links to units meet another table.  The pairs are written once, for their skeletons come
+    from a parser and are read twice.
     """
     pairs = staged(pairs)
-    left = pairs.select(*keys, *[F.col(f"source_skeleton.{c}").alias(c) for c in ("blocks", "links", "images")])
-    right = pairs.select(*keys, *[F.col(f"translated_skeleton.{c}").alias(c) for c in ("blocks", "links", "images")])
-    issues = block_issues(positional_diff(left, right, keys, "blocks"), keys)
-    issues = issues.unionByName(target_issues(positional_diff(left, right, keys, "links"), keys, "link", "Link target", 2))
-    issues = issues.unionByName(target_issues(positional_diff(left, right, keys, "images"), keys, "image", "Image source", 3))
-    links = right.select(*keys, F.posexplode("links").alias("n", "href"))
-    issues = issues.unionByName(internal_link_issues(links, unit_ids, keys))
-    listed = issues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("class_order", "n", "kind", "message"))).alias("issues"))
-    out = pairs.select(*keys, length_warning(F.col("source"), F.col("translated")).alias("warning")).join(listed, keys, "left")
-    return out.withColumn("ok", F.col("issues").isNull()).withColumn("issues", F.coalesce(F.transform("issues", lambda x: F.struct(x["kind"].alias("kind"), x["message"].alias("message"))), F.array().cast("array<struct<kind:string,message:string>>")))
+    part = lambda side, c: F.coalesce(F.col(f"{side}_skeleton.{c}"), F.array().cast(pairs.schema["source_skeleton"].dataType[c].dataType))
+    diff = lambda c: array_diff(part("source", c), part("translated", c))
+    found = F.concat(block_issues(diff("blocks")), target_issues(diff("links"), "link", "Link target"), target_issues(diff("images"), "image", "Image source"))
+    none = F.array().cast("array<struct<kind:string,message:string>>")
+    out = pairs.select(*keys, length_warning(F.col("source"), F.col("translated")).alias("warning"), F.when(F.col("source_skeleton").eqNullSafe(F.col("translated_skeleton")), none).otherwise(found).alias("issues"))
+    links = pairs.where(F.exists(part("translated", "links"), lambda x: F.contains(x, F.lit("/read/unit-")))).select(*keys, F.posexplode("translated_skeleton.links").alias("n", "href"))
+    lost = internal_link_issues(links, unit_ids, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "issue"))), lambda x: x["issue"]).alias("lost"))
+    out = out.join(lost, keys, "left").withColumn("issues", F.concat("issues", F.coalesce("lost", none)))
+    return out.select(*keys, "warning", "issues", (F.size("issues") == 0).alias("ok"))

@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .markdown import attribute_values
 from .scan import scan
 
 
 def html_targets(pages: DataFrame, html: str = "html", attribute: str = "href") -> DataFrame:
-    """One row per attribute value, in order: ``link_no`` from 1 and ``href``."""
-    found = F.regexp_extract_all(F.col(html), F.lit(f'{attribute}="([^"]*)"'), F.lit(1))
+    """One row per attribute value of a tag, in order: ``link_no`` from 1 and ``href``."""
+    found = attribute_values(F.col(html), attribute)
     return pages.select(*[c for c in pages.columns if c != html], F.posexplode(found).alias("__n", "href")).withColumn("link_no", F.col("__n") + 1).drop("__n")
 
 

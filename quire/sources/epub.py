@@ -195,8 +195,10 @@ def extract(sources: DataFrame) -> Extracted:
     spine = spine.join(every.select("document_id", F.col("entry_path").alias("path"), "bytes"), ["document_id", "path"], "left")
     lost = spine.where(F.col("bytes").isNull())
     warnings = warnings.unionByName(_warning(lost, "unresolved-resource", F.concat(F.lit("Spine item was not found: "), F.col("id"))))
-    chapters = spine.where(F.col("bytes").isNotNull()).select("document_id", "spine_index", "path", html_to_markdown(X.decode_text(F.col("bytes"))).alias("markdown"))
-    chapters, assets, more = _images(staged(chapters), every)
+    chapters = staged(spine.where(F.col("bytes").isNotNull()).select("document_id", "spine_index", "path", html_to_markdown(X.decode_text(F.col("bytes"))).alias("markdown")))
+    unread = chapters.where(F.col("markdown").isNull())
+    warnings = warnings.unionByName(_warning(unread, "dropped-content", F.concat(F.lit("Chapter could not be read: "), F.col("path"))))
+    chapters, assets, more = _images(chapters.where(F.col("markdown").isNotNull()), every)
     chapters, assets = staged(chapters), staged(assets)
     warnings = warnings.unionByName(more)
     # titles, merge, ids, links

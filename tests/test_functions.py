@@ -249,3 +249,28 @@ def test_names_that_look_like_suffixed_ones(spark):
     got = {r.k: r.file_name for r in L.suffixed_names(rows, "doc", "stem", "ext", "k").collect()}
     assert got == {0: "a.png", 1: "a-3.png", 2: "a-2.png", 3: "a-5.png", 4: "a-2-2.png", 5: "b.png", 6: "a-4.png", 7: "b-2.png"}
     assert len(set(got.values())) == len(got)
+
+
+def test_nested_lists_take_time_in_proportion():
+    import time
+
+    for html in ("<ol><li>" * 20_000, "<ul><li>x" * 20_000, "<ol><li>" * 20_000 + "</li></ol>" * 20_000, "<blockquote><ul><li>a" * 8000, "<ul><li>a" * 150 + "<li>b" * 20_000):
+        begun = time.time()
+        H.to_markdown(html)
+        assert time.time() - begun < 5, html[:20]
+
+
+def test_blocks_in_lists_and_quotations():
+    assert H.to_markdown("<ol start=9><li>a<p>b</p><ul><li>c<li>d</ul><li><ul><li>e</ul><pre>x\n\ny </pre></ol>") == "9. a\n\n   b\n   - c\n   - d\n10. - e\n\n    ```\n    x\n\n    y\n    ```"
+    assert H.to_markdown("<blockquote><p>a</p><ul><li>b<li></ul><blockquote></blockquote><h2>c</h2></blockquote><p>d") == "> a\n>\n> - b\n> -\n>\n> ## c\n\nd"
+    assert H.to_markdown("<ul><li></li><li> </li></ul>") == "- \n- " and H.to_markdown("<ul></ul><blockquote> </blockquote><p>x") == "x"
+
+
+def test_attribute_values_however_quoted():
+    html = """<a href="1"><A HREF='2'><a href=3 ><a href=""><a href><!-- <a href="no"> --><script>"<a href='no'>"</script><a href="4&amp;5" href="6"><!-- <a href="no">"""
+    assert H.attribute_values(html, "href") == ["1", "2", "3", "", "4&5"] and H.attribute_values(None, "href") == []
+
+
+def test_what_a_grammar_cannot_read_is_a_failure_row(spark):
+    rows = spark.createDataFrame([(1, "x", "y"), (2, "x", None), (3, None, None)], "k int, html string, markdown string")
+    assert [tuple(r) for r in G.failures(rows, ["k"], "html", "markdown", "page").collect()] == [(2, "malformed-source", "Unable to read the page.")]
