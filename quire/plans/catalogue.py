@@ -387,6 +387,22 @@ def benchmark_merge(spark, sf_dir):
     return translate.benchmark_summary(translate.benchmark_merge(rows, new), models.table(spark))
 
 
+@_query(f"""with {_SQL_RUNS}, a as (select r.*, d.source, case when model in ('gpt-6-luna', 'glm-5.3') then d.lang || ' again' else d.text end as answer from r join documents d using (doc_id))
+select model, {_sql_unit("doc_id")} as unit_id, source as unit_title, 'out/' || model || '/' || doc_id || '.md' as path, length(answer)::bigint as chars, md5(answer) as answer_md5, ok, case when model in ('gpt-6-luna', 'glm-5.3') then 2 else 1 end * duration_ms as duration_ms
+from a where model not in ('gpt-6-luna', 'glm-5.3') or ok""")
+def benchmark_answers(spark, sf_dir):
+    """The stored answers after a run of all models and a second one of two models, which replaces theirs; the second has no failed units."""
+    from ..operators import answers
+
+    rows = _runs(spark, sf_dir).join(_documents(spark, sf_dir, "doc_id", "source", "lang", "text"), "doc_id")
+    units = rows.select(X.unit_id(F.col("doc_id")).alias("unit_id"), F.col("source").alias("unit_title"), F.concat(F.lit("chapters/"), F.col("doc_id"), F.lit(".md")).alias("unit_path"), "model", F.when(F.col("ok"), "translated").otherwise("failed").alias("status"), "duration_ms", "cost_usd", F.lit(None).cast("string").alias("error"), F.col("text").alias("markdown"), "lang")
+    path = shared_path(spark, "answers")
+    answers.store(answers.of_results(units, "out"), path)
+    again = units.where(F.col("model").isin("gpt-6-luna", "glm-5.3") & (F.col("status") == "translated"))
+    answers.store(answers.of_results(again.withColumns({"markdown": F.concat("lang", F.lit(" again")), "duration_ms": F.col("duration_ms") * 2}), "out"), path)
+    return answers.load(spark, path).select("model", "unit_id", "unit_title", "path", "chars", F.md5("markdown").alias("answer_md5"), "ok", "duration_ms")
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result row per document: status by its labels, usage by its length."""
     rows = _documents(spark, sf_dir, "doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")

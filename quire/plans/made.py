@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..errors import ValidationError
 from ..functions import text as X
 from ..operators import compare, links, manifest
 from ..operators import markdown as G
 from ..operators import units as U
-from ..sources import epub, pdf
+from ..operators.stage import shared_path, staged
+from ..sources import discovery, epub, pdf, project_sink
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -220,6 +222,67 @@ def read_links_remapped(spark, sf_dir):
     return links.remap_read_links(kept, ids).select("document_id", "unit_id", F.md5("markdown").alias("markdown_md5"))
 
 
+# Links of a made page in the ways that HTML can write them, and the target that must come out (none for text that is no link).
+_LINKS = (
+    ('<a href="/q/{}">x</a>', "/q/{}"), ("<a href='/s/{}'>x</a>", "/s/{}"), ("<A\n HREF=/u/{} >x</A>", "/u/{}"), ('<!-- <a href="/no/{}"> -->', None), ("<script>'<a href=\"/no/{}\">'</script>", None),
+    ('<a title="href=1" href = "/e/{}?a=1&amp;b=2">x</a>', "/e/{}?a=1&b=2"), ("<a data-href='/no/{}' href=''>x</a>", ""), ('<p title="<a href=">href="/no/{}"</p>', None), ('<a href="/1/{}" href="/2/{}">x</a>', "/1/{}"),
+)
+
+
+@_query(f"""select page_id, row_number() over (partition by page_id order by n)::int as link_no, href from (
+  {" union all ".join(f"select page_id, {i} as n, replace('{out}', '{{}}', page_id::varchar) as href from pages" for i, (_, out) in enumerate(_LINKS) if out is not None)})""")
+def made_link_targets(spark, sf_dir):
+    """Links of pages that quote their targets in every way, with look-alikes in comments, scripts and attributes."""
+    html = F.replace(F.lit("<body>" + " ".join(made for made, _ in _LINKS) + "</body>"), F.lit("{}"), F.col("page_id").cast("string"))
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet").select("page_id", html.alias("html"))
+    return links.html_targets(rows).select("page_id", "link_no", "href")
+
+
+@_query(f"""with {_SQL_TURNS}, f as (
+  select document_id, printf('chapters/%03d-%s.md', pos, case when role = '' then 'document' else role end) as path, md5(role || chr(10) || plain) as content_md5 from t
+  union all select distinct document_id, unnest(['manifest.json', 'templates/base.html', 'templates/print.css', 'reports/note.txt']), null from t
+) select * from f""")
+def project_folders(spark, sf_dir):
+    """Conversations as project folders, written by tasks, written again over themselves, and read back from the files."""
+    library = shared_path(spark, "projects")
+    if not library.startswith(("file:", "/")):
+        raise ValidationError("project folders need a file system that driver and tasks share")
+    units = U.numbered(_turns(spark, sf_dir), "document_id", "turn", wide=("text", "plain"))
+    place = F.struct(F.lit("a").alias("source_path"), *[F.lit(None).cast(t).alias(c) for c, t in (("page", "int"), ("spine_index", "int"), ("selector", "string"), ("confidence", "double"))])
+    units = staged(units.select("document_id", "pos", "unit_id", F.col("role").alias("title"), X.unit_path(F.col("pos"), F.col("role")).alias("path"), place.alias("source"), F.concat_ws("\n", "role", "plain").alias("markdown")))
+    ids = units.select("document_id").distinct()
+    documents = ids.select("document_id", F.col("document_id").alias("title"), F.lit("en").alias("language"), F.lit("epub").alias("format"), F.lit("a.epub").alias("path"), F.lit(1).alias("size"))
+    assets = spark.createDataFrame([], "document_id string, asset_id string, path string, bytes binary, mime_type string, alt_text string, width double, height double")
+    files = project_sink.project_files(manifest.create(documents, units, assets), units, assets, ids.select("document_id", F.lit("note.txt").alias("name"), F.lit("x").alias("text")))
+    folder = library.removeprefix("file://")
+    project_sink.write_projects(files, folder)
+    project_sink.write_projects(files, folder, force=True)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(library)
+    part = lambda n: F.regexp_extract("path", f"/{folder.rsplit('/', 1)[-1]}/([^/]+)/(.+)$", n)
+    rows = found.select(part(1).alias("document_id"), part(2).alias("name"), F.md5("content").alias("md5"))
+    return rows.select("document_id", F.col("name").alias("path"), F.when(F.col("name").startswith("chapters/"), F.col("md5")).alias("content_md5"))
+
+
+# Names of files below a conversation's folder, and what a listing makes of each; {} is the turn.
+_TREE = (("{}/A b.EPUB", "epub", "a-b"), ("{}/_under.pdf", "pdf", "under"), ("{}/.hidden/x.epub", "epub", "x"), ("{}/notes.txt", None, None), ("{}/no suffix", None, None), ("{}/_SUCCESS", None, None), ("{}/deep/er/é%20.Pdf", "pdf", "e-20"))
+
+
+@_query(f"""with {_SQL_TURNS} select document_id || '/' || replace(name, '{{}}', turn::varchar) as relative_path, format, slug as document_name, length(plain)::bigint as size
+from t cross join (values {", ".join(f"('{n}', {'null' if f is None else repr(f)}, {'null' if s is None else repr(s)})" for n, f, s in _TREE)}) as v(name, format, slug)""")
+def discovered_sources(spark, sf_dir):
+    """Sources and skipped files of a tree of folders with hidden names, written by tasks and listed level by level."""
+    library = shared_path(spark, "sources")
+    if not library.startswith(("file:", "/")):
+        raise ValidationError("folders of files need a file system that driver and tasks share")
+    names = F.explode(F.array(*[F.lit(n) for n, _, _ in _TREE]))
+    files = _turns(spark, sf_dir).select("document_id", "turn", "plain", names.alias("name"))
+    project_sink.write_projects(files.select("document_id", F.replace("name", F.lit("{}"), F.col("turn").cast("string")).alias("path"), F.col("plain").cast("binary").alias("content")), library.removeprefix("file://"), force=True)
+    sources, skipped = discovery.discover(spark, library)
+    rows = sources.select("relative_path", "format", "document_name").unionByName(skipped, allowMissingColumns=True)
+    sizes = files.select(F.concat_ws("/", "document_id", F.replace("name", F.lit("{}"), F.col("turn").cast("string"))).alias("relative_path"), F.length("plain").cast("long").alias("size"))
+    return rows.join(sizes, "relative_path", "left")
+
+
 # -- scalars ----------------------------------------------------------------------------------------------------
 
 

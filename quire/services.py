@@ -21,11 +21,11 @@ from .functions import text as X
 from .functions.pdf_write import Writer, lay_out
 from .operators import links as L
 from .operators import manifest as M
-from .operators import models, translate
+from .operators import answers, models, translate
 from .operators import render as R
 from .operators import units as U
 from .operators.stage import shared_path, staged
-from .sources import discovery, epub, pdf, project
+from .sources import discovery, epub, pdf, project, project_sink
 
 
 @dataclass
@@ -43,7 +43,7 @@ def extract(spark: SparkSession, root: str, strict: bool = False) -> ExtractResu
     """All sources below ``root``.  Failures are rows; with ``strict`` they raise after everything has run."""
     sources, skipped = discovery.discover(spark, root)
     discovery.check_collisions(sources)
-    rows = discovery.checked(sources.join(discovery.contents(spark, root), "path").withColumnRenamed("document_name", "document_id"))
+    rows = discovery.checked(discovery.contents(spark, root, sources).withColumnRenamed("document_name", "document_id"))
     bad = rows.where("error is not null").select("document_id", F.col("error.code").alias("code"), F.col("error.message").alias("message"))
     good = rows.where("error is null")
     parts = [reader.extract(good.where(F.col("format") == fmt).select("document_id", "content")) for fmt, reader in (("epub", epub), ("pdf", pdf))]
@@ -99,11 +99,19 @@ def extraction_reports(result: ExtractResult) -> DataFrame:
     return R.extraction_report(docs, result.warnings)
 
 
+def save_projects(result: ExtractResult, library: str, force: bool = False) -> DataFrame:
+    """Write every extracted project below ``library`` from tasks, each table read once; -> (document_id, units, images)."""
+    named = lambda df, name: df.select("document_id", F.lit(name).alias("name"), F.col("report").alias("text"))
+    told = extraction_json(result).withColumn("report", F.concat("report", F.lit("\n")))
+    reports = named(extraction_reports(result), "extraction.md").unionByName(named(told, "extraction.json"))
+    project_sink.write_projects(project_sink.project_files(result.manifests, result.units, result.assets, reports), library, force)
+    counts = result.units.groupBy("document_id").agg(F.count("*").alias("units")).join(result.assets.groupBy("document_id").agg(F.count("*").alias("images")), "document_id", "left")
+    return counts.join(result.manifests.select("document_id"), "document_id", "left_semi").select("document_id", "units", F.coalesce("images", F.lit(0)).alias("images"))
+
+
 def save(result: ExtractResult, library: str, force: bool = False) -> dict[str, dict]:
-    """Write every extracted project below ``library``; counts by document."""
-    reports = {r.document_id: r.report for r in extraction_reports(result).toLocalIterator()}
-    data = {r.document_id: r.report for r in extraction_json(result).toLocalIterator()}
-    return {d: project.write_project(os.path.join(library, d), d, result.manifests, result.units, result.assets, {"extraction.md": reports[d], "extraction.json": data[d] + "\n"}, force) for d in [r.document_id for r in result.manifests.select("document_id").toLocalIterator()]}
+    """``save_projects`` with its counts by document on the driver: for the command line."""
+    return {r.document_id: {"units": r.units, "images": r.images} for r in save_projects(result, library, force).collect()}
 
 
 @dataclass
@@ -263,7 +271,7 @@ def benchmark(spark: SparkSession, units: DataFrame, chosen: list[str], to: str,
     out, empty = None, spark.createDataFrame([], schemas.CACHE)
     for model in chosen:
         run = translate.translate(units, empty, shared_path(spark, "ledger"), model, to, source, runner, concurrency=1)
-        rows = run.results.select(F.lit(model).alias("model"), "unit_id", "unit_title", F.length("markdown").alias("chars"), "duration_ms", "cost_usd", (F.col("status") == "translated").alias("ok"), "error")
+        rows = answers.of_results(run.results)
         out = rows if out is None else out.unionByName(rows)
     out = staged(out)
     if previous is not None:
@@ -273,17 +281,23 @@ def benchmark(spark: SparkSession, units: DataFrame, chosen: list[str], to: str,
 
 
 def save_benchmark(rows: DataFrame, summary: DataFrame, folder: str, generated: str = "") -> None:
-    """Rows as Parquet by model, and the report for a reader's judgement."""
-    rows.write.mode("overwrite").partitionBy("model").parquet(os.path.join(folder, "rows"))
-    project._put(os.path.join(folder, "benchmark.md"), R.benchmark_report(summary, rows, generated))
+    """Answers as a table and as files by model, and the report for a reader's judgement; models that are not in ``rows`` stay as they are."""
+    rows = staged(rows)  # they may come from the table that is replaced
+    answers.store(rows, os.path.join(folder, "rows"))
+    said = rows.where("markdown is not null").select(F.col("model").alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("path"), F.col("markdown").cast("binary").alias("content"))
+    project_sink.write_projects(said, os.path.join(folder, answers.FOLDER), force=True)
+    listed = {r.model: r.listed for r in answers.reviewed(rows).collect()}  # one row for each model
+    project._put(os.path.join(folder, "benchmark.md"), R.benchmark_report(summary, rows.drop("markdown"), generated) + "".join(f"\n## Answers of {m}\n\n{listed[m]}\n" for m in sorted(listed)))
 
 
 def load_benchmark(spark: SparkSession, folder: str) -> DataFrame | None:
-    """Rows of an earlier benchmark, or None when there are none that can be read."""
+    """Rows of earlier benchmarks with their answers, or None when there are none that can be read."""
+    path = os.path.join(folder, "rows")
     try:
-        return spark.read.parquet(os.path.join(folder, "rows")).drop("model_order")
+        spark.read.parquet(path)
     except Exception:
         return None
+    return answers.load(spark, path)
 
 
 def unit_by_id(units: DataFrame, unit_id: str) -> DataFrame:

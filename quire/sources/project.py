@@ -62,26 +62,31 @@ def inside(root: str, path: str) -> str:
     return full
 
 
+def swap(staged: str, target: str) -> None:
+    """Rename the folder ``staged`` to ``target``; what was there goes, or comes back if that fails."""
+    backup = f"{target}.old-{uuid.uuid4().hex}"
+    moved = os.path.exists(target)
+    if moved:
+        os.rename(target, backup)
+    try:
+        os.rename(staged, target)
+    except OSError:
+        if moved:
+            os.rename(backup, target)
+        raise
+    shutil.rmtree(backup, ignore_errors=True)
+
+
 def swap_in(target: str, force: bool, fill: Callable[[str], None]) -> None:
     """Fill a folder beside ``target`` and rename it into place; what was there comes back if that fails."""
     if os.path.isdir(target) and os.listdir(target) and not force:
         raise ValidationError(f"Output {target} already has content. Use force to replace it.")
     os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-    tag = uuid.uuid4().hex
-    staged, backup = f"{target}.tmp-{tag}", f"{target}.old-{tag}"
+    staged = f"{target}.tmp-{uuid.uuid4().hex}"
     try:
         os.makedirs(staged)
         fill(staged)
-        moved = os.path.exists(target)
-        if moved:
-            os.rename(target, backup)
-        try:
-            os.rename(staged, target)
-        except OSError:
-            if moved:
-                os.rename(backup, target)
-            raise
-        shutil.rmtree(backup, ignore_errors=True)
+        swap(staged, target)
     finally:
         shutil.rmtree(staged, ignore_errors=True)
 

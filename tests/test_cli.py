@@ -42,8 +42,14 @@ def test_benchmark(spark, tmp_path):
     services.save_benchmark(rows, summary, str(tmp_path))
     assert (tmp_path / "benchmark.md").read_text().count("`glm-5.3`") == 3
     old = services.load_benchmark(spark, str(tmp_path))
+    assert {(r.model, r.unit_id, r.markdown, r.path) for r in old.collect()} == {(m, f"unit-00{k}", t, f"benchmark-output/{m}/{f}") for m in ("glm-5.3", "gpt-6-luna") for k, t, f in ((1, "# A\n\nx", "001-a.md"), (2, "y", "002-b.md"))}
+    assert all((tmp_path / r.path).read_text() == r.markdown for r in old.collect()) and "- [A](benchmark-output/glm-5.3/001-a.md)" in (tmp_path / "benchmark.md").read_text()
     again, _ = services.benchmark(spark, units.where("pos = 1"), ["glm-5.3"], "fr", previous=old.select(*[c for c in rows.columns if c != "model_order"]))
     assert sorted((r.model, r.unit_id) for r in again.collect()) == [("glm-5.3", "unit-001"), ("gpt-6-luna", "unit-001"), ("gpt-6-luna", "unit-002")]
+    # a run of one model leaves the other's answers
+    services.save_benchmark(again.where("model = 'glm-5.3'"), summary, str(tmp_path))
+    assert sorted((r.model, r.unit_id) for r in services.load_benchmark(spark, str(tmp_path)).collect()) == [("glm-5.3", "unit-001"), ("gpt-6-luna", "unit-001"), ("gpt-6-luna", "unit-002")]
+    assert not (tmp_path / "benchmark-output/glm-5.3/002-b.md").exists() and (tmp_path / "benchmark-output/gpt-6-luna/002-b.md").exists()
     assert services.load_benchmark(spark, str(tmp_path / "none")) is None and services.asset_type("a.PNG") == "image/png" and services.asset_type("a.svg") is None
 
 
