@@ -121,19 +121,19 @@ class _Buckets:
             yield [c for c, _ in chunks], [part] * len(chunks), [x for _, x in chunks]
 
 
-_PASS = "lang string, phrase string, n long, hash long, chunk int, part int, counts binary"
+_PASS = "lang string, phrase string, n int, chunk int, part int, counts binary"
 _NAMES = [c.split()[0] for c in _PASS.split(", ")]
 
 
 def _counted(found: Phrases, at: np.ndarray, hashes: np.ndarray, k: int) -> pa.RecordBatch:
-    own, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    _, first, n = np.unique(hashes, return_index=True, return_counts=True)
     first = at[first]
     langs = pa.DictionaryArray.from_arrays(pa.array(found.lang[first], pa.int32()), pa.array(found.langs, pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays([langs, found.texts(first, k).cast(pa.string()), pa.array(n), pa.array(own.view(np.int64)), *_no_buckets(len(n))], _NAMES)
+    return pa.RecordBatch.from_arrays([langs, found.texts(first, k).cast(pa.string()), pa.array(n.astype(np.int32)), *_no_buckets(len(n))], _NAMES)
 
 
 def _no_phrases(n: int) -> list[pa.Array]:
-    return [pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+    return [pa.nulls(n, t) for t in (pa.string(), pa.string(), pa.int32())]
 
 
 def _no_buckets(n: int) -> list[pa.Array]:
@@ -158,7 +158,7 @@ def _pass(docs: DataFrame, k: int, buckets: int, dtype: str, frequent, open_buck
                 if k == 1:
                     here[at] = True
                     totals = np.bincount(found.lang, minlength=len(found.langs))
-                    yield pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.astype(np.int64)), pa.nulls(len(totals), pa.int64()), *_no_buckets(len(totals))], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.langs, pa.string()), pa.nulls(len(totals), pa.string()), pa.array(totals.astype(np.int32)), *_no_buckets(len(totals))], _NAMES)
                 else:
                     known = np.zeros(len(found.hash) + 1, dtype=bool)
                     inner = found.inside(k - 1)
@@ -212,11 +212,19 @@ def _packed(rows: DataFrame, buckets: int, chunk: int) -> Bits:
     return Bits(packed)
 
 
-def _frequent_bits(phrases: DataFrame, buckets: int) -> Bits:
-    """A bitmap of the hashes of frequent phrases, of as many bits as there are buckets."""
+def _frequent_bits(phrases: DataFrame, k: int, buckets: int) -> Bits:
+    """A bitmap of the hashes of frequent phrases of k words, of as many bits as there are buckets."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi in slices(batch.column(1), _SLICE):
+                part = batch.slice(lo, hi - lo)
+                found = Phrases(part.column(1), part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes(found.inside(k), k).view(np.int64))], ["hash"])
+
     wide = 8 * 4096  # bits of Spark's bitmaps
     at = F.col("hash").bitwiseAND(F.lit(buckets - 1))
-    chunks = phrases.select(F.shiftright(at, wide.bit_length() - 1).alias("number"), (at % wide).alias("at")).groupBy("number").agg(F.bitmap_construct_agg("at").alias("bits"))
+    chunks = phrases.select("lang", "phrase").mapInArrow(run, "hash long").select(F.shiftright(at, wide.bit_length() - 1).alias("number"), (at % wide).alias("at")).groupBy("number").agg(F.bitmap_construct_agg("at").alias("bits"))
     return _packed(chunks, buckets, wide)
 
 
@@ -234,7 +242,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
     for k in range(1, longest + 1):
         # read twice, then gone: blocks on the executors' disks, which a lost executor costs one pass over its texts
         raw = _pass(docs, k, buckets, dtype, frequent, open_buckets).persist(StorageLevel.DISK_ONLY)
-        counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.max("hash").alias("hash"))
+        counts = raw.where("chunk is null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         if k == 1:
             counts = written(counts.where(f"phrase is null or f >= {support}"))
             totals = counts.where("phrase is null and f > 0").select("lang", F.col("f").alias("n"))
@@ -251,7 +259,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100, longest: int = LONGEST
             blobs = raw.where("chunk is not null").select("chunk", "part", "counts")
             parts = (blobs.agg(F.max("part")).first()[0] or 0) + 1
             open_buckets = spark.sparkContext.broadcast(_bitmap(blobs, parts, buckets, dtype, support))
-            frequent = spark.sparkContext.broadcast(_frequent_bits(counts, buckets))
+            frequent = spark.sparkContext.broadcast(_frequent_bits(counts, k, buckets))
         raw.unpersist()
         if last:
             break
