@@ -124,7 +124,7 @@ def translation_report(results: DataFrame, summary: dict, source: tuple[str, str
     The rows of one document's units come to the driver, where the report is written.
     """
     usd, sec = (lambda v: f"{v:.4f}"), (lambda ms: f"{ms / 1000:.2f}")
-    rows = results.orderBy("pos").collect()
+    rows = results.drop("markdown", "translated_title").orderBy("pos").collect()
     out = ["# Translation report", "", f"- Source: `{source[0]}` (`{source[1]}`)", f"- Target: `{target[0]}` (`{target[1]}`)", f"- Model: `{model}`", f"- Prompt version: `{version}`", f"- Generated: {generated}", "", "## Summary", ""]
     table = [("Metric", "Value"), ("---", "---"), ("Units", len(rows)), *[(k.capitalize(), summary[k]) for k in ("translated", "cached", "failed", "skipped")], ("Input tokens", summary["input_tokens"]), ("Output tokens", summary["output_tokens"]), ("Wall clock (s)", sec(summary.get("wall_clock_ms", 0))), ("Unit time (s)", sec(summary["duration_ms"])), ("Cost (USD)", usd(summary["cost_usd"]))]
     out += [f"| {a} | {b} |" for a, b in table]

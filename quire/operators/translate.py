@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -20,6 +19,7 @@ from ..errors import ValidationError
 from ..functions import text as X
 from . import models
 from .scan import scan
+from .stage import staged
 
 MIN_CONCURRENCY, DEFAULT_CONCURRENCY, MAX_CONCURRENCY = 1, 4, 16
 CHARS_PER_TOKEN = 4
@@ -101,8 +101,9 @@ def cache_misses(jobs: DataFrame, cache: DataFrame) -> DataFrame:
 def merged_cache(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both caches, one row per key, the new one where both have it."""
     rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = W.partitionBy("key").orderBy(F.desc("__new"), "unit_id")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")
+    rest = [c for c in old.columns if c not in ("key", "unit_id")]
+    best = rows.groupBy("key").agg(F.min(F.struct((-F.col("__new")).alias("n"), "unit_id", *rest)).alias("x"))
+    return best.select(*[F.col("key") if c == "key" else F.col(f"x.{c}").alias(c) for c in old.columns])
 
 
 def budget(jobs: DataFrame, limit: float | None, document: str, order: str, cost: str) -> DataFrame:
@@ -187,11 +188,12 @@ def translated_manifest(units: DataFrame, results: DataFrame, keys: list[str]) -
 
 @dataclass
 class Run:
-    """What a run returns: all results in order, the cache after it, the ledger of calls."""
+    """What a run returns: all results (``pos`` has their order), the cache after it, the ledger of calls, and what is new in the cache."""
 
     results: DataFrame
     cache: DataFrame
     ledger: DataFrame
+    new: DataFrame
 
 
 def call(misses: DataFrame, model: str, to: str, source: str, runner: Runner, concurrency: int, document: str | None = None) -> DataFrame:
@@ -236,9 +238,11 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
     cache = cache.select(*[f.name for f in schemas.schema(schemas.CACHE).fields])
     hits = jobs.join(cache.drop("unit_id", "model", "cost_usd", "duration_ms").withColumnsRenamed({"markdown": "c_md", "translated_title": "c_title", "usage": "c_usage"}), "key", "left")
     est = X.estimate_cost(tokens_in(F.col("markdown"), F.col("title")), F.lit(0), tokens_out(F.col("markdown")), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
-    # the windows see numbers only; texts are joined back by unit
-    first = F.row_number().over(W.partitionBy(*of, "key").orderBy("pos")) == 1
-    narrow = hits.select(*of, "unit_id", "pos", "key", F.col("c_md").isNotNull().alias("hit"), est.alias("est"), F.lit(1).alias("__one")).withColumn("first", first)
+    # order and budget see numbers only; texts are joined back by unit
+    narrow = staged(hits.select(*of, "unit_id", "pos", "key", F.col("c_md").isNotNull().alias("hit"), est.alias("est"), F.lit(1).alias("__one")))
+    # the first unit of a key is found by an aggregate and joined by unit, since a key may have very many
+    firsts = narrow.groupBy(*of, "key").agg(F.min(F.struct("pos", "unit_id")).alias("x")).select(*of, "x.unit_id", F.lit(True).alias("first"))
+    narrow = narrow.join(firsts, [*of, "unit_id"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
     narrow = budget(narrow.withColumn("est", F.when(F.col("hit") | ~F.col("first"), 0.0).otherwise(F.col("est"))), max_cost, document or "__one", "pos", "est")
     planned = hits.join(narrow.select(*of, "unit_id", "hit", "first", "over"), [*of, "unit_id"])
     # the spending never falls, so a key whose first unit is within the budget is asked with that unit's title
@@ -275,8 +279,8 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
         F.when(F.col("hit"), F.coalesce("c_title", "title")).when(status == "translated", F.coalesce(first_heading(F.col("answer")), F.col("title"))).alias("translated_title"),
         problem.alias("error"), F.when(billed & ~cut & F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>")).alias("warnings"), "key",
     )
-    earliest = F.row_number().over(W.partitionBy("key").orderBy(*of, "pos")) == 1
-    new = results.where("status = 'translated'").withColumn("first", earliest).where("first").select("key", "unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
+    stored = ("unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
+    new = results.where("status = 'translated'").groupBy("key").agg(F.min(F.struct(*of, "pos", *stored)).alias("x")).select("key", *[f"x.{c}" for c in stored])
     filled = units.select(*of, "unit_id", "pos", F.col("title").alias("t0"), F.col("path").alias("p0"), F.col("markdown").alias("m0")).join(results.drop("pos"), [*of, "unit_id"], "left")
     missing = F.col("status").isNull()
     text = F.when(missing, F.col("m0")).when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("markdown", "m0")).otherwise(F.col("markdown"))
@@ -286,4 +290,4 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
         F.when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("translated_title", "t0")).otherwise(F.col("translated_title")).alias("translated_title"), F.when(missing, UNSELECTED_REASON).otherwise(F.col("error")).alias("error"),
         F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
     )
-    return Run(final.orderBy(*of, "pos"), merged_cache(cache, new), ledger)
+    return Run(final, merged_cache(cache, new), ledger, new)

@@ -349,6 +349,29 @@ def cache_misses(spark, sf_dir):
     return translate.cache_misses(*_jobs_and_cache(spark, sf_dir)).select("doc_id", "key")
 
 
+@_query(f"""with j as (select doc_id, {_KEY.replace("text", "line")} as key from (select doc_id, unnest(string_split(text, chr(10))) as line from documents)),
+c as (select key, max(segment) as segment, arg_max(item, (segment, item)) as item from (select key, item_id % 3 as segment, item_id as item from (select item_id, {_KEY.replace("text", "line")} as key from (select item_id, unnest(string_split(text, chr(10))) as line from benchmark))
+  union all select key, 3, item_id from (select item_id, {_KEY.replace("text", "line")} as key from (select item_id, unnest(string_split(text, chr(10))) as line from benchmark where item_id % 2 = 0))) group by 1)
+select doc_id, key, segment::bigint as segment, 'item ' || item || case when segment = 3 then ' again' else '' end as title from j join c using (key)""")
+def cache_segments(spark, sf_dir):
+    """Lines of documents that a cache of four segments knows: three runs stored a third of the benchmark's lines each, a fourth run some of them again."""
+    from ..sources import cache
+
+    lines = lambda df, k: df.select(k, F.explode(F.split("text", "\n")).alias("markdown"))
+    jobs = translate.keyed(lines(_documents(spark, sf_dir, "doc_id", "text"), "doc_id"), models.DEFAULT_MODEL, "fr").select("doc_id", "key")
+    known = translate.keyed(lines(table(spark, sf_dir, "benchmark"), "item_id"), models.DEFAULT_MODEL, "fr")
+    last = known.groupBy("key", (F.col("item_id") % 3).alias("n")).agg(F.max("item_id").alias("item_id"))
+    again = known.where("item_id % 2 = 0").groupBy("key").agg(F.max("item_id").alias("item_id"))
+    usage = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])
+    row = lambda df, suffix: df.select("key", F.lit("unit-001").alias("unit_id"), F.lit("text").alias("markdown"), F.concat(F.lit("item "), F.col("item_id"), F.lit(suffix)).alias("translated_title"), usage.alias("usage"), F.lit(0.0).alias("cost_usd"), F.lit(0).cast("long").alias("duration_ms"), F.lit(models.DEFAULT_MODEL).alias("model"))
+    path = shared_path(spark, "cache")
+    for n in range(3):
+        cache.append(row(last.where(F.col("n") == n), ""), path)
+    cache.append(row(again, " again"), path)
+    found = cache.newest(cache.read(spark, path), jobs)
+    return jobs.join(found.select("key", "segment", F.col("translated_title").alias("title")), "key").select("doc_id", "key", "segment", "title")
+
+
 _SQL_IN = f"({_sql_utf16('markdown')} + {_sql_utf16('title')} + 200)"
 _SYSTEM = len(models.system_prompt("fr", "en"))
 

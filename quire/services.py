@@ -25,7 +25,7 @@ from .operators import answers, models, translate
 from .operators import render as R
 from .operators import units as U
 from .operators.stage import shared_path, staged
-from .sources import discovery, epub, pdf, project, project_sink
+from .sources import cache, discovery, epub, pdf, project, project_sink
 
 
 @dataclass
@@ -43,10 +43,12 @@ def extract(spark: SparkSession, root: str, strict: bool = False) -> ExtractResu
     """All sources below ``root``.  Failures are rows; with ``strict`` they raise after everything has run."""
     sources, skipped = discovery.discover(spark, root)
     discovery.check_collisions(sources)
-    rows = discovery.checked(discovery.contents(spark, root, sources).withColumnRenamed("document_name", "document_id"))
+    sources = sources.withColumnRenamed("document_name", "document_id")
+    # signatures take the first bytes; whole files are read once, each by its own format's reader
+    rows = staged(discovery.checked(discovery.contents(spark, root, sources, head=8)).drop("content"))
     bad = rows.where("error is not null").select("document_id", F.col("error.code").alias("code"), F.col("error.message").alias("message"))
     good = rows.where("error is null")
-    parts = [reader.extract(good.where(F.col("format") == fmt).select("document_id", "content")) for fmt, reader in (("epub", epub), ("pdf", pdf))]
+    parts = [reader.extract(discovery.contents(spark, root, good.where(F.col("format") == fmt).select("path", "document_id")).select("document_id", "content")) for fmt, reader in (("epub", epub), ("pdf", pdf))]
     both = lambda name: getattr(parts[0], name).unionByName(getattr(parts[1], name), allowMissingColumns=True)
     meta = both("documents").join(rows.select("document_id", "format", F.col("relative_path").alias("path"), "size"), "document_id")
     units, assets, warnings = staged(both("units")), staged(both("assets")), staged(both("warnings"))
@@ -241,11 +243,12 @@ def translate_project(spark: SparkSession, project_dir: str, to: str, cache_path
         return translate.dry_run(U.select_units(units, only), model, language, m.language).first().asDict()
     if os.path.isdir(output) and os.listdir(output) and not force:
         raise ValidationError(f"Output project {output} already has content. Use force to replace it.")
-    cache = project.read_cache(spark, cache_path) if cache_path else spark.createDataFrame([], schemas.CACHE)
-    run = translate.translate(units, cache, shared_path(spark, "ledger"), model, language, m.language, runner, only, max_cost, concurrency, best_effort)
+    stored = cache.read(spark, cache_path) if cache_path else spark.createDataFrame([], cache.SEGMENTS)
+    keys = translate.keyed(U.select_units(units, only), model, language)
+    run = translate.translate(units, cache.newest(stored, keys), shared_path(spark, "ledger"), model, language, m.language, runner, only, max_cost, concurrency, best_effort)
     results = staged(run.results)
     if cache_path:
-        project.write_cache(run.cache, cache_path)
+        cache.append(run.new, cache_path)
     summary = translate.run_summary(results).first().asDict()
     report = R.translation_report(results, summary, (m.id, m.language), (name, language), model, models.PROMPT_VERSION, generated)
     data = json.dumps({"promptVersion": models.PROMPT_VERSION, "generatedAt": generated, "model": model, "totals": summary, "units": [r.asDict(True) for r in results.drop("markdown").orderBy("pos").collect()]}, indent=2) + "\n"

@@ -104,10 +104,11 @@ def discover(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return _sorted(sources.select("path", "relative_path", "format", "size", "document_name")), _sorted(found.where("format is null").select("relative_path"))
 
 
-def contents(spark: SparkSession, root: str, sources: DataFrame) -> DataFrame:
-    """``sources`` with ``content``; a file that has gone or cannot be read has none."""
+def contents(spark: SparkSession, root: str, sources: DataFrame, head: int | None = None) -> DataFrame:
+    """``sources`` with ``content``, or its first ``head`` bytes; a file that has gone or cannot be read has none."""
     if _local(root) is None:
-        return sources.join(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content"), "path", "left")
+        content = F.col("content") if head is None else F.substring("content", 1, head).alias("content")
+        return sources.join(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", content), "path", "left")
     names = [*sources.columns, "content"]
 
     def run(frames):
@@ -116,7 +117,7 @@ def contents(spark: SparkSession, root: str, sources: DataFrame) -> DataFrame:
                 one = frame.iloc[[i]].copy()
                 try:
                     with open(one["path"].iloc[0], "rb") as f:
-                        one["content"] = [f.read()]
+                        one["content"] = [f.read(-1 if head is None else head)]
                 except OSError:
                     one["content"] = [None]
                 yield one[names]

@@ -135,29 +135,25 @@ def write_library(path: str, units: DataFrame, assets: DataFrame, warnings: Data
         df.write.mode("errorifexists").partitionBy("document_id").parquet(f"{path.rstrip('/')}/{name}")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A cache table; missing or unreadable ones are empty."""
-    try:
-        found = spark.read.parquet(path)
-        return found.select(*[f.name for f in schemas.schema(schemas.CACHE).fields])
-    except Exception:
-        return spark.createDataFrame([], schemas.CACHE)
+def _store(spark: SparkSession, path):
+    """Spark's file system of a Hadoop path."""
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_cache(cache: DataFrame, path: str) -> None:
-    """Replace the cache table by one written beside it, by renames: a failure leaves the old table under its name or beside it."""
-    spark, path = cache.sparkSession, path.rstrip("/")
+def swap_table(rows: DataFrame, path: str, *partition: str) -> None:
+    """Replace a table by one written beside it, by renames: a failure leaves the old table under its name or beside it."""
+    spark, path = rows.sparkSession, path.rstrip("/")
     tag = uuid.uuid4().hex
     new, old = f"{path}.tmp-{tag}", f"{path}.old-{tag}"
-    cache.write.parquet(new)
+    rows.write.partitionBy(*partition).parquet(new)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    store = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store = _store(spark, at(path))
     had = store.exists(at(path))
     if had and not store.rename(at(path), at(old)):
-        raise EngineError("write-failed", f"Unable to move the cache table: {path}")
+        raise EngineError("write-failed", f"Unable to move the table: {path}")
     if not store.rename(at(new), at(path)):
         if had:
             store.rename(at(old), at(path))
-        raise EngineError("write-failed", f"Unable to replace the cache table: {path}")
+        raise EngineError("write-failed", f"Unable to replace the table: {path}")
     if had:
         store.delete(at(old), True)

@@ -92,3 +92,31 @@ def test_watched_folder(spark, tmp_path):
     stream = watch.sources(spark, str(tmp_path / "in"))
     watch.extract_into(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r.title for r in spark.read.parquet(str(tmp_path / "out/units")).collect()] == ["Chapter 1"]
+
+
+def test_names_of_earlier_batches(spark, tmp_path):
+    """A name belongs to the file that had it first, also across micro-batches; assets and warnings are written too."""
+    def put(name, data):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+
+    def run():
+        watch.extract_into(watch.sources(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        read = lambda name: spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out" / name))
+        return sorted((r.batch, r.document_id) for r in read("units").select("batch", "document_id").distinct().collect()), sorted((r.batch, r.document_id, r.code) for r in read("failures").collect())
+
+    put("a.pdf", pdf(["Chapter 1", "Hello."]))
+    put("book.epub", epub(BODY, {"images/a.png": png(30, 30)}))
+    put("x/b.pdf", pdf(["one"]))
+    put("y/b.pdf", pdf(["two"]))
+    units, failures = run()
+    assert units == [(0, "a"), (0, "book")] and failures == [(0, "b", "name-collision")] * 2
+    put("z/a.pdf", pdf(["other"]))
+    put("c.pdf", pdf(["new"]))
+    put("z/b.pdf", pdf(["first of its name, the others had none"]))
+    units, failures = run()
+    assert units == [(0, "a"), (0, "book"), (1, "b"), (1, "c")] and failures == [(0, "b", "name-collision")] * 2 + [(1, "a", "name-collision")]
+    (message,) = [r.message for r in spark.read.parquet(str(tmp_path / "out/failures")).where("document_id = 'a'").collect()]
+    assert message.count(".pdf") == 2
+    assert spark.read.parquet(str(tmp_path / "out/assets")).select("path", "batch").collect() == [("assets/images/a.png", 0)]
+    assert {r.code for r in spark.read.parquet(str(tmp_path / "out/warnings")).where("batch = 1").collect()} == {"ambiguous-structure"}
