@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def trim_js(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Runs of white space become one space; the ends are trimmed."""
-    return F.trim(_sub(c, f"[{WS}]+", " "))
+    # a single space is no match, so plain prose is only looked at
+    return F.trim(_sub(c, f"[{WS}](?:[{WS}]+|(?<! ))", " "))
 
 
 def escape_html(c: Column) -> Column:
@@ -90,11 +92,30 @@ def unit_path(n: Column, title: Column) -> Column:
     return F.format_string("chapters/%03d-%s.md", n, slug(title))
 
 
+def _where(c: Column, holds: Callable[[Column], Column], pattern: str, by: str) -> Column:
+    """``c`` with ``pattern`` replaced if ``holds``, which is cheap and true wherever the pattern occurs; ``c`` is worked out once."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(holds(x), _sub(x, pattern, by)).otherwise(x)), F.lit(0))
+
+
+def _has(*parts: str) -> Callable[[Column], Column]:
+    return lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in parts])
+
+
+# What is no readable text of Markdown, in this order: code blocks, code, images, link targets, quotation marks, bullets, numbers of items, other marks.
+_UNREADABLE = (
+    (_has("```"), r"(?s)```.*?```", " "), (_has("`"), "`[^`]*`", " "), (_has("!["), r"!\[[^\]]*\]\([^)]*\)", " "), (_has("]("), r"\[([^\]]*)\]\([^)]*\)", "$1"), (_has(">"), r"(?m)^[ \t]*>[ \t]?", ""),
+    (_has(*[m + b for m in "-*+" for b in " \t"]), r"(?m)^[ \t]*[-*+][ \t]+", ""), (lambda x: x.rlike(r"\d[.)][ \t]"), r"(?m)^[ \t]*\d+[.)][ \t]+", ""), (lambda x: x.rlike("[*_~#>|]"), "[*_~#>|]", " "),
+)
+
+
+def _readable(c: Column) -> Column:
+    """Readable text with its white space as it is.  A text is changed only by the replacements it has a mark for."""
+    return reduce(lambda x, rule: _where(x, *rule), _UNREADABLE, c)
+
+
 def readable_text(c: Column) -> Column:
     """Words of a Markdown text without code, images, targets and marks."""
-    for pattern, by in ((r"(?s)```.*?```", " "), ("`[^`]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*\d+[.)][ \t]+", ""), ("[*_~#>|]", " ")):
-        c = _sub(c, pattern, by)
-    return normalize_text(c)
+    return normalize_text(_readable(c))
 
 
 def plain_title(c: Column) -> Column:
@@ -113,7 +134,7 @@ def derive_title(markdown: Column) -> Column:
     """The first heading of level 1 or 2, else the first ten readable words, else ``Untitled``."""
     heading = plain_title(F.regexp_extract(markdown, r"(?m)^#{1,2}[ \t]+(.+?)[ \t]*#*[ \t]*$", 1))
     # each candidate appears once in the expression, so each is worked out once
-    return F.get(F.filter(F.array(heading, first_words(readable_text(markdown)), F.lit("Untitled")), lambda x: x != ""), F.lit(0))
+    return F.get(F.filter(F.array(heading, first_words(_readable(markdown)), F.lit("Untitled")), lambda x: x != ""), F.lit(0))
 
 
 def heading_lines(markdown: Column) -> Column:

@@ -274,3 +274,25 @@ def test_attribute_values_however_quoted():
 def test_what_a_grammar_cannot_read_is_a_failure_row(spark):
     rows = spark.createDataFrame([(1, "x", "y"), (2, "x", None), (3, None, None)], "k int, html string, markdown string")
     assert [tuple(r) for r in G.failures(rows, ["k"], "html", "markdown", "page").collect()] == [(2, "malformed-source", "Unable to read the page.")]
+
+
+def test_readable_text_equals_plain_replacements(spark):
+    """Texts of every mark, against the replacements made one after another."""
+    import random
+    import re
+
+    ws = "[\\s\\x0b\\xa0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+    rules = ((r"(?s)```.*?```", " "), ("`[^`]*`", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^[ \t]*>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"(?m)^[ \t]*[0-9]+[.)][ \t]+", ""), ("[*_~#>|]", " "))
+    rng = random.Random(8)
+    parts = ["word", "Wort ", "x  y", "```", "`", "![a](b)", "[t](u)", "](", "> ", ">", "- ", "*", "+\t", "1. ", "2) ", "3.", "\n", "\n\n", " \t", " ", "　", "é", "~~", "#", "|", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.readable_text(X.F.col("t")).alias("readable"), X.normalize_text(X.F.col("t")).alias("normal"), X.derive_title(X.F.col("t")).alias("title")).collect()
+    for r in rows:
+        want = texts[r.i]
+        assert r.normal == re.sub(ws + "+", " ", want).strip(" "), repr(want)
+        for pattern, by in rules:
+            want = re.sub(pattern, by, want)
+        want = re.sub(ws + "+", " ", want).strip(" ")
+        assert r.readable == want, repr(texts[r.i])
+        if not re.search(r"(?m)^#{1,2}[ \t]+", texts[r.i]):
+            assert r.title == (" ".join(want.split(" ")[:10]) or "Untitled"), repr(texts[r.i])

@@ -65,7 +65,10 @@ def test_extract_build_delete_translate(spark, library):
     soft = S.translate_project(spark, book, "es", cache, runner=broken, best_effort=True, force=True)
     assert soft["failed"] == 3 and soft["output"]
 
+    with open(f"{book}/templates/print.css", "w") as f:
+        f.write("own styles")
     gone = S.delete(spark, book, [2])
+    assert open(f"{book}/templates/print.css").read() == "own styles" and open(f"{book}/reports/extraction.md").read()
     assert gone.removed_titles == ["Two"] and gone.remaining == 2
     m = json.load(open(f"{book}/manifest.json"))
     assert [u["path"] for u in m["units"]] == ["chapters/001-one.md", "chapters/002-three.md"]
