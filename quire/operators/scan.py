@@ -36,11 +36,10 @@ def scan(
     kinds = {"before": before or {}, "last": last or {}, "first": first or {}, "lag": lag or {}, "lead": lead or {}}
     exprs = {f"__{kind}_{name}": e for kind, named in kinds.items() for name, e in named.items()}
     own = [c for c in rows.columns if c not in wide]
-    keyed = rows.withColumns(exprs).withColumn("__row", F.monotonically_increasing_id())
-    if wide:
-        keyed = staged(keyed)
-        behind = keyed.select("__row", *wide)
-        keyed = keyed.drop(*wide)
+    # written before the ranges, whose bounds are sampled by a pass of its own: what made the rows is not worked out again
+    keyed = staged(rows.withColumns(exprs).withColumn("__row", F.monotonically_increasing_id()))
+    behind = keyed.select("__row", *wide)
+    keyed = keyed.drop(*wide)
     placed = staged(keyed.repartitionByRange(document, *order, "__row").withColumn("__chunk", F.spark_partition_id()))
     placed = placed.withColumn("__part", F.struct(F.col(document).alias("d"), F.col("__chunk").alias("c")))
 
