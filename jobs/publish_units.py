@@ -6,7 +6,8 @@ file names and neighbours; each project gets a manifest row with its title, main
     python -m jobs.publish_units --config jobs/publish_units.json --documents DIR --output DIR
 
 Output: ``units`` (Parquet) and ``manifests`` (JSON), both partitioned by source with dynamic overwrite: a run replaces the projects it
-has read and no others, so it can be run again, or for a few ``sources`` only.  Projects that have left the input stay.
+has read and no others, so it can be run again, or for a few ``sources`` only.  Projects that have left the input stay.  On a
+cluster the config's ``spark`` settings name a shared folder as ``spark.checkpoint.dir``; the units are kept there while they are written.
 
 Cases: a null or empty source is the project ``unsorted``; null texts are units without text, titled ``Untitled``; units are in
 the order of doc_id (null ids first, ties in any order); a null or empty lang is ``und``; an empty table publishes nothing.
