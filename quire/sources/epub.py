@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,28 +32,54 @@ from ..operators.stage import staged
 #: Images up to this width and height that a chapter refers to twice or more are decoration.
 DECORATIVE_SIZE, DECORATIVE_REFERENCES = 16, 2
 _LOCATION = "source_path string, page int, spine_index int, selector string, confidence double"
+#: Entries that a task holds before it hands them on; a larger entry goes alone.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 1024
+_ENTRY_TYPES = (pa.string(), pa.string(), pa.binary(), pa.string())
 
 
 def entries(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``sources(document_id, content)`` -> entries (document_id, entry_path, bytes) and failures (document_id, code, message)."""
 
-    def run(frames: Iterator[pd.DataFrame]):
-        for frame in frames:
-            for document, content in zip(frame["document_id"], frame["content"]):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ENTRY_TYPES)], ["document_id", "entry_path", "bytes", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for found in batches:
+            rows, held = [], 0
+            for document, content in zip(found.column(0), found.column(1)):  # one archive, and one entry of it, at a time
+                document, content = document.as_py(), content.as_py()
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        names = [n for n in z.namelist() if not n.endswith("/")]
-                        if "mimetype" not in names:
-                            raise ValueError("mimetype is missing")
-                        for name in names:  # one entry at a time: an archive need not fit in a batch
-                            yield pd.DataFrame({"document_id": [document], "entry_path": [name], "bytes": [z.read(name)], "error": [None]})
+                        names = _readable(z)
+                        for name in names:
+                            rows.append((document, name, z.read(name), None))
+                            held += len(rows[-1][2])
+                            if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                                yield batch(rows)
+                                rows, held = [], 0
                 except Exception as error:
-                    yield pd.DataFrame({"document_id": [document], "entry_path": [None], "bytes": [None], "error": [f"Unable to read the archive: {error}"]})
-
-    rows = sources.select("document_id", "content").mapInPandas(run, "document_id string, entry_path string, bytes binary, error string")
+                    rows.append((document, None, None, f"Unable to read the archive: {error}"))
+                    if len(rows) >= BATCH_ROWS:
+                        yield batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    rows = staged(sources.select("document_id", "content").mapInArrow(run, "document_id string, entry_path string, bytes binary, error string"))
     bad = rows.where("error is not null").select("document_id", F.lit("malformed-source").alias("code"), F.col("error").alias("message"))
-    rows = staged(rows)
-    return rows.where("error is null").drop("error").join(bad.select("document_id"), "document_id", "left_anti"), bad
+    return rows.where("error is null").drop("error"), bad
+
+
+def _readable(z: zipfile.ZipFile) -> list[str]:
+    """Names of an archive's files, all read once in pieces: an archive that breaks in its middle gives an error and no entries."""
+    names = [n for n in z.namelist() if not n.endswith("/")]
+    if "mimetype" not in names:
+        raise ValueError("mimetype is missing")
+    for name in names:
+        with z.open(name) as f:
+            while f.read(1 << 20):
+                pass
+    return names
 
 
 def _local(tag: str) -> str:

@@ -74,3 +74,14 @@ def test_encryption(extracted):
 def test_bad_spine_items_and_archives_do_not_stop_others(extracted):
     assert codes(extracted, "badref") == ["unresolved-resource"] and len(units(extracted, "badref")) == 1
     assert extracted["f"] == {"locked": "encrypted-source", "broken": "malformed-source"}
+
+
+def test_archives_are_parsed_once(spark):
+    """Failures and entries come from the written rows of one pass; an archive that breaks in its middle gives a failure and no entries."""
+    good = epub([BODY])
+    at = good.index(b"chapter-1.xhtml") + 40
+    cut = good[:at] + bytes(x ^ 1 for x in good[at : at + 8]) + good[at + 8 :]
+    every, bad = E.entries(spark.createDataFrame([("good", good), ("cut", cut), ("none", None)], "document_id string, content binary"))
+    for rows in (every, bad):
+        assert "MapIn" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.document_id for r in bad.collect()) == ["cut", "none"] and {r.document_id for r in every.collect()} == {"good"}
