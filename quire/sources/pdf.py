@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,33 +14,42 @@ from ..functions.pdf_text import Pdf
 from ..operators import links as L
 from ..operators import units as U
 from ..operators.stage import staged
-from .epub import Extracted, _slug, measured
+from .epub import BATCH_BYTES, BATCH_ROWS, Extracted, _slug, measured
 
 _PAGES = "document_id string, title string, page int, text string, images array<struct<name:string,bytes:binary>>, code string, message string"
+_PAGE_TYPES = {"document_id": pa.string(), "title": pa.string(), "page": pa.int32(), "text": pa.string(), "images": pa.list_(pa.struct([("name", pa.string()), ("bytes", pa.binary())])), "code": pa.string(), "message": pa.string()}
 
 
 def pages(sources: DataFrame) -> DataFrame:
     """``sources(document_id, content)`` -> one row per page with its text and images, or one error row."""
 
-    def run(frames: Iterator[pd.DataFrame]):
-        names = [c.strip().split()[0] for c in ("document_id", "title", "page", "text", "images", "code", "message")]
-        for frame in frames:
-            for document, content in zip(frame["document_id"], frame["content"]):
-                rows = []
-                try:
-                    pdf = Pdf(content)
-                    title = pdf.title()
-                    for n, page in enumerate(pdf.pages()):
-                        rows.append((document, title, n + 1, pdf.page_text(page), [{"name": a, "bytes": b} for a, b in pdf.page_images(page)], None, None))
-                    if not rows or not any(r[3].strip() for r in rows):
-                        rows = [(document, None, None, None, [], "missing-text", "The PDF has no text layer.")]
-                except PermissionError as error:
-                    rows = [(document, None, None, None, [], "encrypted-source", str(error))]
-                except Exception as error:
-                    rows = [(document, None, None, None, [], "malformed-source", f"Unable to read the PDF: {error}")]
-                yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _PAGE_TYPES.values())], list(_PAGE_TYPES))
 
-    return sources.select("document_id", "content").mapInPandas(run, _PAGES)
+    def read(document: str, content: bytes) -> list[tuple]:
+        try:
+            pdf = Pdf(content)
+            title = pdf.title()
+            rows = [(document, title, n + 1, pdf.page_text(page), [{"name": a, "bytes": b} for a, b in pdf.page_images(page)], None, None) for n, page in enumerate(pdf.pages())]
+            return rows if any(r[3].strip() for r in rows) else [(document, None, None, None, [], "missing-text", "The PDF has no text layer.")]
+        except PermissionError as error:
+            return [(document, None, None, None, [], "encrypted-source", str(error))]
+        except Exception as error:
+            return [(document, None, None, None, [], "malformed-source", f"Unable to read the PDF: {error}")]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for found in batches:
+            rows, held = [], 0
+            for document, content in zip(found.column(0), found.column(1)):  # one file at a time
+                rows += read(document.as_py(), content := content.as_py())
+                held += len(content or b"")
+                if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return sources.select("document_id", "content").mapInArrow(run, _PAGES)
 
 
 def extract(sources: DataFrame) -> Extracted:

@@ -29,3 +29,10 @@ def test_written_files_can_be_read():
     text = "\n".join(p.page_text(x) for x in p.pages())
     assert len(p.pages()) == 2 and p.title() == "Doc" and text.startswith("Title\nword") and text.count("word") == 900
     assert "x | y" in text and "code (1)" in text and "\u2022 a" in text
+
+
+def test_failures_are_handed_on_in_batches(spark):
+    """Not one table a file: the rows of many small files go together."""
+    rows = P.pages(spark.range(0, 3000, 1, 1).selectExpr("string(id) as document_id", "binary('x') as content"))
+    assert "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString() and "MapInPandas" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.where("code = 'malformed-source'").count() == 3000
