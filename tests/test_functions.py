@@ -296,3 +296,18 @@ def test_readable_text_equals_plain_replacements(spark):
         assert r.readable == want, repr(texts[r.i])
         if not re.search(r"(?m)^#{1,2}[ \t]+", texts[r.i]):
             assert r.title == (" ".join(want.split(" ")[:10]) or "Untitled"), repr(texts[r.i])
+
+
+def test_grammars_work_on_slices_of_a_batch(spark):
+    """A batch is parsed and handed on so many texts at a time, and equal texts of a slice once."""
+    import pyarrow as pa
+
+    seen = []
+    run = G._text(lambda x: seen.append(x) or x).func
+    out = list(run(iter([pa.array([str(i // 2) for i in range(600)])])))
+    assert max(map(len, out)) <= G.SLICE and sum(map(len, out)) == 600 and len(seen) < 310
+    batches = list(G.skeleton.func(iter([pa.array(["# a", None] * 200)])))
+    assert max(map(len, batches)) <= G.SLICE and batches[0][0].as_py()["blocks"][0]["kind"] == "heading"
+    model = G.unit_markdown(F.lit(None).cast("string"), F.col("b"), F.expr("map('k', 'assets/images/k.png')"))
+    rows = spark.createDataFrame([(None,), ('[{"kind": "paragraph", "children": [{"kind": "image", "asset_id": "k"}]}]',), ("no json",)], "b string")
+    assert [r[0] for r in rows.select(model).collect()] == [None, "![](../assets/images/k.png)", None]
