@@ -86,7 +86,9 @@ def strip_duplicate_title(markdown: Column, title: Column) -> Column:
     keep = F.slice(kind, (at + 1).cast("int"), F.size(lines))
     skip = F.aggregate(keep, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, k: F.struct((a["n"] + F.when(a["go"] & (k == 0), 1).otherwise(0)).alias("n"), (a["go"] & (k == 0)).alias("go")))["n"]
     cut = F.concat(F.slice(lines, F.lit(1), F.greatest((at - 1).cast("int"), F.lit(0))), F.slice(rest, skip + 1, F.size(lines)))
-    return F.when((at > 0) & (at < stop), F.array_join(cut, "\n")).otherwise(markdown)
+    # only a text whose first line with words may be a heading has its lines looked at
+    led = markdown.rlike(rf"^[{X.WS}]*#")
+    return F.when(led, F.when((at > 0) & (at < stop), F.array_join(cut, "\n")).otherwise(markdown)).otherwise(markdown)
 
 
 def rewrite_read_links(html: Column, prefix: str = "", suffix: str = ".html") -> Column:

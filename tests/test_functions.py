@@ -311,3 +311,12 @@ def test_grammars_work_on_slices_of_a_batch(spark):
     model = G.unit_markdown(F.lit(None).cast("string"), F.col("b"), F.expr("map('k', 'assets/images/k.png')"))
     rows = spark.createDataFrame([(None,), ('[{"kind": "paragraph", "children": [{"kind": "image", "asset_id": "k"}]}]',), ("no json",)], "b string")
     assert [r[0] for r in rows.select(model).collect()] == [None, "![](../assets/images/k.png)", None]
+
+
+def test_titles_are_looked_for_only_behind_a_leading_mark(spark):
+    """Lines are only split where the first of them may be a heading; JavaScript's white space may stand before it."""
+    values = ["\n\u3000# T\n\nx", "\ufeff## T\nx", "x\n# T", "#T\n# T\nx", "# A\n\n# T\n\n\ny", None, ""]
+    strip = lambda c: R.strip_duplicate_title(c, F.lit("T"))
+    assert each(spark, strip, values) == ["\nx", "x", "x\n# T", "#T\n# T\nx", "# A\n\ny", None, ""]
+    plan = spark.createDataFrame([("x",)], "v string").select(strip(F.col("v")))._jdf.queryExecution().analyzed().toString()
+    assert "]*#" in plan.split("transform(", 1)[0]
