@@ -143,3 +143,16 @@ def test_redaction_and_empty_table(spark, model):
     assert rows[1].source is None or rows[1].size == "x"
     empty = docs.where("doc_id > 99")
     assert pii.digests(pii.find(empty, pii.train(empty))).count() == 0
+
+
+def test_every_whole_document_is_an_example(spark):
+    """More documents than a sample would take, long ones with a candidate at the very end only, one without an id."""
+    rows = [(i if i else None, "word " * 700 + f"555-01{i:02d} is {i}") for i in range(40)] + [(100 + i, f"see 192.168.{i % 250}.7 there") for i in range(900)] + [(7, None)]
+    docs = frame(spark, rows)
+    got = pii.examples(docs).groupBy("kind", "label").count().collect()
+    filler = pii.examples(docs.where("doc_id < 0")).groupBy("kind", "label").count().collect()
+    count = lambda rows, kind, label: sum(r["count"] for r in rows if (r.kind, r.label) == (pii.KINDS.index(kind), label))
+    assert count(got, "ip", True) - count(filler, "ip", True) >= 900  # base spans of all documents; planting only adds
+    assert count(got, "phone", False) - count(filler, "phone", False) >= 36  # a look-alike may land next to a few
+    model = pii.train(docs)
+    assert model.trees.probability(pii.features("at 10.0.0.7 now", [("ip", 3, 11)]))[0] > 0.5 and set(model.threshold) == set(pii.KINDS)
