@@ -62,9 +62,9 @@ def inside(root: str, path: str) -> str:
     return full
 
 
-def swap(staged: str, target: str) -> None:
-    """Rename the folder ``staged`` to ``target``; what was there goes, or comes back if that fails."""
-    backup = f"{target}.old-{uuid.uuid4().hex}"
+def swap(staged: str, target: str, backup: str | None = None) -> None:
+    """Rename the folder ``staged`` to ``target``; what was there goes (by way of ``backup``), or comes back if that fails."""
+    backup = backup or f"{target}.old-{uuid.uuid4().hex}"
     moved = os.path.exists(target)
     if moved:
         os.rename(target, backup)
@@ -74,7 +74,8 @@ def swap(staged: str, target: str) -> None:
         if moved:
             os.rename(backup, target)
         raise
-    shutil.rmtree(backup, ignore_errors=True)
+    if moved:
+        shutil.rmtree(backup, ignore_errors=True)
 
 
 def swap_in(target: str, force: bool, fill: Callable[[str], None]) -> None:

@@ -1,19 +1,20 @@
 """Project folders written by tasks: a sink for rows (document_id, path, content).
 
 Every task writes its files into a staging folder of the library, under a name of its own and renamed when whole, so a task that is
-lost or runs twice does no harm.  When all tasks are done, the commit renames each project's folder into its place, the old one out of
-the way first; a project is at any time whole, the old or the new.  If a task fails for good, the abort deletes the staging folder
-and no project is touched.  The library is a folder that driver and tasks share.
+lost or runs twice does no harm.  Projects lie there in ``BUCKETS`` folders by a hash of their names.  When all are written, tasks take
+the buckets and rename each project's folder into its place, the old one out of the way first; a project is at any time whole, the old
+or the new, and a bucket that is taken again goes on where it was left.  If a write fails for good, the abort deletes the staging
+folder and no project is touched.  The library is a folder that driver and tasks share.
 """
 
 from __future__ import annotations
 
 import contextlib
-import glob
 import json
 import os
 import shutil
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,54 +27,70 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..errors import ValidationError
 from ..operators import render as R
-from .project import inside, swap
+from .project import swap
 
 NAME = "quire_projects"
 FILES = "document_id string, path string, content binary"
+#: Tasks that put projects into their places.
+_TASKS = 64
+
+
+BUCKETS = tuple(f"{i:02x}" for i in range(256))
+_OLD = "old"
+#: A task remembers so many folders that it has made or found.
+_KNOWN = 1 << 16
 
 
 @dataclass
 class _Written(WriterCommitMessage):
-    documents: list[str]
+    files: int
 
 
 class _Writer(DataSourceWriter):
-    """Made once, on the driver; tasks, commit and abort work on copies of it."""
+    """Made once, on the driver; tasks, commit and abort work on copies of it.  With ``staging`` the commit leaves the projects there."""
 
-    def __init__(self, library: str) -> None:
-        self.library, self.tag = library, uuid.uuid4().hex
-        self.staging = os.path.join(library, f".tmp-{self.tag}")
+    def __init__(self, library: str, staging: str | None = None) -> None:
+        self.library, self.later = library, staging is not None
+        self.staging = staging or os.path.join(library, f".tmp-{uuid.uuid4().hex}")
+        self.tag = os.path.basename(self.staging).removeprefix(".tmp-")
         os.mkdir(self.staging)
 
-    def _folder(self, document: str, path: str) -> str:
+    def _folder(self, document: str, parts: list[str]) -> str:
         """The folder of a file, made if need be; never the staging folder itself, which an abort has taken away."""
         at = self.staging
-        for part in (document, *os.path.normpath(path).split(os.sep)[:-1]):
+        for part in (BUCKETS[zlib.crc32(document.encode()) % len(BUCKETS)], document, *parts):
             at = os.path.join(at, part)
             with contextlib.suppress(FileExistsError):
                 os.mkdir(at)
         return at
 
     def write(self, iterator: Iterator) -> _Written:
-        documents, own = set(), f"{self.tag}-{TaskContext.get().taskAttemptId()}"
+        n, known, own = 0, {}, f"{self.tag}-{TaskContext.get().taskAttemptId()}"
         for document, path, content in iterator:
             if os.path.basename(document) != document or document in ("", ".", ".."):
                 raise ValidationError(f"Invalid document name: {document}")
-            inside(os.path.join(self.staging, document), path)
-            full = os.path.join(self._folder(document, path), os.path.basename(path))
-            with open(f"{full}.{own}", "wb") as f:
-                f.write(content)
-            os.replace(f"{full}.{own}", full)
-            documents.add(document)
-        return _Written(sorted(documents))
+            *parts, name = os.path.normpath(path).split(os.sep)
+            if os.path.isabs(path) or name in (".", "..") or parts[:1] == [".."]:  # the folder is new, so no link leads out of it
+                raise ValidationError(f"Path must stay inside the document directory: {path}")
+            at = (document, *parts)
+            if at not in known:
+                if len(known) >= _KNOWN:
+                    known.clear()
+                known[at] = self._folder(document, parts)
+            full = f"{known[at]}/{name}"
+            with open(f"{full}.{own}", "wb", buffering=0) as f:
+                rest = memoryview(content)
+                while len(rest):
+                    rest = rest[f.write(rest) :]
+            os.rename(f"{full}.{own}", full)
+            n += 1
+        return _Written(n)
 
     def commit(self, messages: list) -> None:
-        for document in sorted({d for m in messages if m is not None for d in m.documents}):
-            folder = os.path.join(self.staging, document)
-            for rest in glob.glob(f"{glob.escape(folder)}/**/*.{self.tag}-*", recursive=True):
-                os.remove(rest)  # of an attempt that was lost
-            swap(folder, os.path.join(self.library, document))
-        shutil.rmtree(self.staging, ignore_errors=True)
+        if not self.later:
+            for bucket in BUCKETS:
+                settle(self.library, self.staging, bucket)
+            shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list) -> None:
         # tasks may still be running: renamed, the folder is gone for them at once
@@ -83,6 +100,49 @@ class _Writer(DataSourceWriter):
         shutil.rmtree(gone, ignore_errors=True)
 
 
+def _clear(folder: str, mark: str) -> None:
+    """Delete the files of attempts that were lost."""
+    with os.scandir(folder) as entries:
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                _clear(e.path, mark)
+            elif mark in e.name:
+                os.remove(e.path)
+
+
+def settle(library: str, staging: str, bucket: str) -> int:
+    """Put the projects of a bucket into their places; -> how many.  Another attempt finds only those that are left."""
+    folder, n = os.path.join(staging, bucket), 0
+    if not os.path.isdir(folder):
+        return n
+    old = os.path.join(staging, _OLD, bucket)
+    os.makedirs(old, exist_ok=True)
+    mark = "." + os.path.basename(staging).removeprefix(".tmp-") + "-"
+    for document in os.listdir(folder):
+        at = os.path.join(folder, document)
+        try:
+            _clear(at, mark)
+            swap(at, os.path.join(library, document), os.path.join(old, f"{document}-{uuid.uuid4().hex}"))
+        except FileNotFoundError:
+            if os.path.exists(at):
+                raise
+            continue  # another attempt has put it there
+        n += 1
+    return n
+
+
+def _undo(library: str, staging: str) -> None:
+    """Projects whose new folder never came are named as before; the staging folder goes."""
+    for top, names, _ in os.walk(os.path.join(staging, _OLD)):
+        if os.path.basename(top) != _OLD:
+            for name in names:
+                target = os.path.join(library, name[:-33])
+                if not os.path.exists(target):
+                    os.rename(os.path.join(top, name), target)
+            names.clear()
+    shutil.rmtree(staging, ignore_errors=True)
+
+
 class ProjectFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -92,7 +152,7 @@ class ProjectFiles(DataSource):
         return FILES
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(os.path.abspath(self.options["path"]))
+        return _Writer(os.path.abspath(self.options["path"]), self.options.get("staging"))
 
 
 @F.pandas_udf(T.StringType())
@@ -134,4 +194,15 @@ def write_projects(files: DataFrame, library: str, force: bool = False) -> None:
             raise ValidationError(f"Output {os.path.join(library, full.document_id)} already has content. Use force to replace it.")
     os.makedirs(library, exist_ok=True)
     spark.dataSource.register(ProjectFiles)
-    files.select("document_id", "path", "content").write.format(NAME).mode("append").save(library)
+    library = os.path.abspath(library)
+    staging = os.path.join(library, f".tmp-{uuid.uuid4().hex}")
+
+    @F.pandas_udf(T.LongType())
+    def settled(buckets: pd.Series) -> pd.Series:
+        return buckets.map(lambda b: settle(library, staging, BUCKETS[b])).astype("int64")
+
+    try:
+        files.select("document_id", "path", "content").write.format(NAME).option("staging", staging).mode("append").save(library)
+        spark.range(0, len(BUCKETS), 1, _TASKS).select(settled("id").alias("n")).agg(F.sum("n")).collect()
+    finally:
+        _undo(library, staging)

@@ -104,3 +104,25 @@ def test_manifest_files_and_asset_paths(spark, tmp_path):
     with pytest.raises(Exception, match="must be under assets"):
         project_sink.write_projects(project_sink.project_files(M.create(documents, units, assets), units, assets.withColumn("path", F.lit("elsewhere"))), str(tmp_path / "x"))
     assert not os.path.exists(tmp_path / "x") or os.listdir(tmp_path / "x") == []
+
+
+def test_tasks_put_projects_in_place_and_go_on_where_one_was_lost(spark, tmp_path, monkeypatch):
+    """The driver swaps no project and hears no names; a bucket taken again, also in the middle of a swap, is finished."""
+    monkeypatch.setattr(project_sink, "swap", None)  # on the driver only
+    lib = tmp_path / "lib"
+    rows = [(f"d{i}", f"chapters/{k}.md", f"{i}/{k}") for i in range(30) for k in range(3)]
+    for again in ("", "x"):
+        project_sink.write_projects(files(spark, [(d, p, c + again) for d, p, c in rows]), str(lib), force=True)
+        assert tree(lib) == {f"{d}/{p}": c + again for d, p, c in rows} and not [n for n in os.listdir(lib) if n.startswith(".")]
+    monkeypatch.undo()
+    staging = lib / ".tmp-t"
+    (staging / "00" / "d1").mkdir(parents=True)
+    (staging / "00" / "d1" / "f.t-3").write_text("half")
+    (staging / "00" / "d1" / "f").write_text("new")
+    (staging / "old" / "00").mkdir(parents=True)
+    os.rename(lib / "d1", staging / "old" / "00" / ("d1-" + "0" * 32))  # lost between the two renames
+    assert project_sink.settle(str(lib), str(staging), "00") == 1 and project_sink.settle(str(lib), str(staging), "00") == 0
+    os.rename(lib / "d2", staging / "old" / "00" / ("d2-" + "0" * 32))  # lost for good
+    project_sink._undo(str(lib), str(staging))
+    found = tree(lib)
+    assert {n for n in found if n.startswith("d1/")} == {"d1/f"} and found["d1/f"] == "new" and found["d2/chapters/0.md"] == "2/0x" and not os.path.exists(staging)
