@@ -70,16 +70,17 @@ def validate(pairs: DataFrame, unit_ids: DataFrame, keys: list[str]) -> DataFram
     """``pairs(keys, source, translated, source_skeleton, translated_skeleton)`` -> (keys, ok, issues, warning).
 
     Issues keep the order blocks, links, images, internal links.  Pairs with equal skeletons leave by one comparison; the others
-    are compared inside their row.  Only links to units meet another table.  The pairs are written once, for their skeletons come
-    from a parser and are read twice.
+    are compared inside their row.  Only links to units meet another table.  What is found is written once, for skeletons come from a
+    parser and the links are read apart; texts and skeletons are not written.
     """
-    pairs = staged(pairs)
     part = lambda side, c: F.coalesce(F.col(f"{side}_skeleton.{c}"), F.array().cast(pairs.schema["source_skeleton"].dataType[c].dataType))
     diff = lambda c: array_diff(part("source", c), part("translated", c))
     found = F.concat(block_issues(diff("blocks")), target_issues(diff("links"), "link", "Link target"), target_issues(diff("images"), "image", "Image source"))
     none = F.array().cast("array<struct<kind:string,message:string>>")
-    out = pairs.select(*keys, length_warning(F.col("source"), F.col("translated")).alias("warning"), F.when(F.col("source_skeleton").eqNullSafe(F.col("translated_skeleton")), none).otherwise(found).alias("issues"))
-    links = pairs.where(F.exists(part("translated", "links"), lambda x: F.contains(x, F.lit("/read/unit-")))).select(*keys, F.posexplode("translated_skeleton.links").alias("n", "href"))
+    named = F.filter(F.transform(part("translated", "links"), lambda x, i: F.struct(i.alias("n"), x.alias("href"))), lambda x: F.contains(x["href"], F.lit("/read/unit-")))
+    issues = F.when(F.col("source_skeleton").eqNullSafe(F.col("translated_skeleton")), none).otherwise(found)
+    judged = staged(pairs.select(*keys, length_warning(F.col("source"), F.col("translated")).alias("warning"), issues.alias("issues"), named.alias("__named")))
+    links = judged.where(F.size("__named") > 0).select(*keys, F.inline("__named"))
     lost = internal_link_issues(links, unit_ids, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "issue"))), lambda x: x["issue"]).alias("lost"))
-    out = out.join(lost, keys, "left").withColumn("issues", F.concat("issues", F.coalesce("lost", none)))
+    out = judged.drop("__named").join(lost, keys, "left").withColumn("issues", F.concat("issues", F.coalesce("lost", none)))
     return out.select(*keys, "warning", "issues", (F.size("issues") == 0).alias("ok"))

@@ -24,6 +24,8 @@ from .stage import staged
 MIN_CONCURRENCY, DEFAULT_CONCURRENCY, MAX_CONCURRENCY = 1, 4, 16
 CHARS_PER_TOKEN = 4
 UNIT_OVERHEAD = 200
+#: Bytes of a row group of the ledger.
+LEDGER_GROUP = 16 << 20
 LIMIT_REASON = "Skipped because the cost limit was reached"
 UNSELECTED_REASON = "Not selected"
 
@@ -197,9 +199,9 @@ class Run:
 
 
 def call(misses: DataFrame, model: str, to: str, source: str, runner: Runner, concurrency: int, document: str | None = None) -> DataFrame:
-    """One call per row of ``misses(key, title, markdown)``: (key, text, no_cache, cache_read, output, finish_reason, duration_ms, call_error).
+    """One call per row of ``misses(key, title, markdown)``: (key, text, no_cache, cache_read, output, finish_reason, duration_ms, call_error, markdown).
 
-    With ``document``, that column of ``misses`` comes first.
+    With ``document``, that column of ``misses`` comes first.  The text that was sent stands beside its answer, so that the two need not meet again.
     """
     entry, system = models.find(model), models.system_prompt(to, source)
     keys = [document, "key"] if document else ["key"]
@@ -213,14 +215,14 @@ def call(misses: DataFrame, model: str, to: str, source: str, runner: Runner, co
                 begun = time.time()
                 try:
                     got = with_retry(lambda: runner(entry, system, models.user_prompt(title, markdown, to, source), markdown))  # noqa: B023
-                    rows.append((*key, got["text"], got["no_cache"], got["cache_read"], got["output"], got["finish_reason"], int((time.time() - begun) * 1000), None))
+                    rows.append((*key, got["text"], got["no_cache"], got["cache_read"], got["output"], got["finish_reason"], int((time.time() - begun) * 1000), None, markdown))
                 except Exception as error:
-                    rows.append((*key, None, 0, 0, 0, None, 0, f"Model call failed: {error}"))
-            yield pd.DataFrame(rows, columns=[*keys, "text", "no_cache", "cache_read", "output", "finish_reason", "duration_ms", "call_error"])
+                    rows.append((*key, None, 0, 0, 0, None, 0, f"Model call failed: {error}", markdown))
+            yield pd.DataFrame(rows, columns=[*keys, "text", "no_cache", "cache_read", "output", "finish_reason", "duration_ms", "call_error", "markdown"])
 
     once = misses.select(*keys, "title", "markdown").repartition(check_concurrency(concurrency))
     kinds = ", ".join(f"`{c}` {once.schema[c].dataType.simpleString()}" for c in keys)
-    return once.mapInPandas(run, f"{kinds}, text string, no_cache long, cache_read long, output long, finish_reason string, duration_ms long, call_error string")
+    return once.mapInPandas(run, f"{kinds}, text string, no_cache long, cache_read long, output long, finish_reason string, duration_ms long, call_error string, markdown string")
 
 
 def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str = models.DEFAULT_MODEL, to: str = "fr", source: str = "en", runner: Runner = echo_runner, only: list[int] | None = None, max_cost: float | None = None, concurrency: int = DEFAULT_CONCURRENCY, best_effort: bool = False, document: str | None = None) -> Run:
@@ -230,64 +232,63 @@ def translate(units: DataFrame, cache: DataFrame, ledger_path: str, model: str =
     ``units`` tells several documents apart: each has its own run and budget from the same cache, as if it ran alone.
     """
     from . import compare
-    from .markdown import skeleton
+    from .markdown import first_heading, skeleton
 
     m, to = models.find(model), language_tag(to)
-    of = [document] if document else []
+    of = ["__document"] if document else []
+    # a document is met as a struct: null ones are a document too, and the column may have any name
+    placed = lambda df: df.withColumn("__document", F.struct(F.col(document).alias("id"))) if document else df
+    units = placed(units.select(*[document for _ in of], "unit_id", "pos", "title", "path", "markdown"))
     jobs = keyed(units if only is None else units.where(F.col("pos").isin(only)), model, to)
     cache = cache.select(*[f.name for f in schemas.schema(schemas.CACHE).fields])
-    hits = jobs.join(cache.drop("unit_id", "model", "cost_usd", "duration_ms").withColumnsRenamed({"markdown": "c_md", "translated_title": "c_title", "usage": "c_usage"}), "key", "left")
     est = X.estimate_cost(tokens_in(F.col("markdown"), F.col("title")), F.lit(0), tokens_out(F.col("markdown")), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
-    # order and budget see numbers only; texts are joined back by unit
-    narrow = staged(hits.select(*of, "unit_id", "pos", "key", F.col("c_md").isNotNull().alias("hit"), est.alias("est"), F.lit(1).alias("__one")))
+    # cache, order and budget see numbers only: one pass over the texts makes them
+    narrow = jobs.select(*of, "unit_id", "pos", "key", est.alias("est"), F.lit(1).alias("__one"))
+    narrow = staged(narrow.join(cache.where("markdown is not null").select("key", F.lit(True).alias("hit")).distinct(), "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False))))
     # the first unit of a key is found by an aggregate and joined by unit, since a key may have very many
     firsts = narrow.groupBy(*of, "key").agg(F.min(F.struct("pos", "unit_id")).alias("x")).select(*of, "x.unit_id", F.lit(True).alias("first"))
     narrow = narrow.join(firsts, [*of, "unit_id"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
-    narrow = budget(narrow.withColumn("est", F.when(F.col("hit") | ~F.col("first"), 0.0).otherwise(F.col("est"))), max_cost, document or "__one", "pos", "est")
-    planned = hits.join(narrow.select(*of, "unit_id", "hit", "first", "over"), [*of, "unit_id"])
-    # the spending never falls, so a key whose first unit is within the budget is asked with that unit's title
-    asked = planned.where(~F.col("hit") & ~F.col("over") & F.col("first"))
-    call(asked, model, to, source, runner, concurrency, document).write.mode("errorifexists").parquet(ledger_path)
+    narrow = budget(narrow.withColumn("est", F.when(F.col("hit") | ~F.col("first"), 0.0).otherwise(F.col("est"))), max_cost, of[0] if of else "__one", "pos", "est")
+    planned = staged(narrow.select(*of, "unit_id", "key", "hit", "first", "over"))
+    # the spending never falls, so a key whose first unit is within the budget is asked with that unit's title; written by
+    # themselves, the few that a budget lets through are known to be few, and the texts stay where they are
+    asked = staged(planned.where(~F.col("hit") & ~F.col("over") & F.col("first")).select(*of, "unit_id", "key"))
+    # few tasks may call, many may read what they wrote: hence small row groups
+    call(units.join(asked, [*of, "unit_id"]), model, to, source, runner, concurrency, document).write.mode("errorifexists").option("parquet.block.size", LEDGER_GROUP).parquet(ledger_path)
     ledger = units.sparkSession.read.parquet(ledger_path)
-    rows = planned.join(ledger, [*of, "key"], "left")
-    answer = rows.where("text is not null").select(*[F.col(c).alias("__document") for c in of], "unit_id", F.col("markdown").alias("source"), X.strip_outer_fence(F.col("text")).alias("translated"))
+    answered = placed(ledger).withColumns({"called": F.col("text").isNotNull(), "answer": X.strip_outer_fence(F.col("text"))})
+    # equal keys have equal texts, so an answer is checked once, beside the text that was sent, and not once a unit
+    pairs = answered.where("called").select(*of, "key", F.col("markdown").alias("source"), F.col("answer").alias("translated"))
     same = F.col("source") == F.col("translated")  # the same text is parsed once
-    both = answer.withColumns({"source_skeleton": skeleton(F.col("source")), "__other": skeleton(F.when(~same, F.col("translated")))})
+    both = pairs.withColumns({"source_skeleton": skeleton(F.col("source")), "__other": skeleton(F.when(~same, F.col("translated")))})
     both = both.withColumn("translated_skeleton", F.when(same, F.col("source_skeleton")).otherwise(F.col("__other"))).drop("__other")
-    # under a name of its own, for the document's column may be called source too
-    known = units.select(*[F.col(c).alias("__document") for c in of], F.col("unit_id").alias("unit")).distinct()
-    checked = compare.validate(both, known, [*["__document" for _ in of], "unit_id"])
-    rows = rows.join(checked.withColumnsRenamed({"__document": document} if document else {}), [*of, "unit_id"], "left").withColumn("answer", X.strip_outer_fence(F.col("text")))
+    checked = compare.validate(both, units.select(*of, F.col("unit_id").alias("unit")), [*of, "key"])
+    answered = answered.select(*of, "key", "called", "answer", first_heading(F.col("answer")).alias("heading"), "no_cache", "cache_read", "output", "finish_reason", "duration_ms", "call_error")
+    stored = cache.select("key", F.col("markdown").alias("c_md"), F.col("translated_title").alias("c_title"), F.col("usage").alias("c_usage"))
+    rows = planned.join(answered.join(checked, [*of, "key"], "left"), [*of, "key"], "left").join(stored, "key", "left")
+    rows = units.join(rows, [*of, "unit_id"], "left")
     cost = X.estimate_cost(F.col("no_cache"), F.col("cache_read"), F.col("output"), F.lit(m["price_in"]), F.lit(m["price_cached"]), F.lit(m["price_out"]))
     cut = F.col("finish_reason") == "length"
+    missing = F.col("key").isNull()
     problem = (
-        F.when(F.col("hit"), F.lit(None))
+        F.when(missing, UNSELECTED_REASON)
+        .when(F.col("hit"), F.lit(None))
         .when(F.col("over"), LIMIT_REASON)
         .when(F.col("call_error").isNotNull(), F.col("call_error"))
         .when(cut, f"Model output was truncated at maxOutputTokens={m['max_output_tokens']}")
         .when(~F.col("ok"), F.concat(F.lit("Structure check failed: "), F.array_join(F.transform("issues", lambda x: x["message"]), " ")))
     )
-    status = F.when(F.col("hit"), "cached").when(F.col("over"), "skipped").when(problem.isNotNull(), "failed").otherwise("translated")
-    from .markdown import first_heading
-
-    billed = F.coalesce(F.col("call_error").isNull() & F.col("text").isNotNull() & ~F.col("hit"), F.lit(False))
+    status = F.when(F.col("hit"), "cached").when(missing | F.col("over"), "skipped").when(problem.isNotNull(), "failed").otherwise("translated")
+    billed = F.coalesce(F.col("call_error").isNull() & F.col("called") & ~F.col("hit"), F.lit(False))
     usage = F.struct(*[F.coalesce(F.when(billed, F.col(c)), F.lit(0)).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])
+    best = (status == "failed") & F.lit(best_effort)
     results = rows.select(
-        *of, "unit_id", "pos", F.col("title").alias("unit_title"), F.col("path").alias("unit_path"), status.alias("status"), F.lit(model).alias("model"),
-        F.when(billed, F.col("duration_ms")).otherwise(0).cast("long").alias("duration_ms"), F.when(F.col("hit"), F.col("c_usage")).otherwise(usage).alias("usage"),
-        F.when(billed & F.col("first"), cost).otherwise(0.0).alias("cost_usd"), F.when(F.col("hit"), F.col("c_md")).when(status == "translated", F.col("answer")).alias("markdown"),
-        F.when(F.col("hit"), F.coalesce("c_title", "title")).when(status == "translated", F.coalesce(first_heading(F.col("answer")), F.col("title"))).alias("translated_title"),
+        *[document for _ in of], "unit_id", "pos", F.col("title").alias("unit_title"), F.col("path").alias("unit_path"), status.alias("status"), F.lit(model).alias("model"),
+        F.when(billed, F.col("duration_ms")).otherwise(0).cast("long").alias("duration_ms"), F.coalesce(F.when(F.col("hit"), F.col("c_usage")), usage).alias("usage"),
+        F.when(billed & F.col("first"), cost).otherwise(0.0).alias("cost_usd"), F.when(missing | best, F.col("markdown")).when(F.col("hit"), F.col("c_md")).when(status == "translated", F.col("answer")).alias("markdown"),
+        F.when(best, F.col("title")).when(F.col("hit"), F.coalesce("c_title", "title")).when(status == "translated", F.coalesce("heading", "title")).alias("translated_title"),
         problem.alias("error"), F.when(billed & ~cut & F.col("warning").isNotNull(), F.array("warning")).otherwise(F.array().cast("array<string>")).alias("warnings"), "key",
     )
-    stored = ("unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
-    new = results.where("status = 'translated'").groupBy("key").agg(F.min(F.struct(*of, "pos", *stored)).alias("x")).select("key", *[f"x.{c}" for c in stored])
-    filled = units.select(*of, "unit_id", "pos", F.col("title").alias("t0"), F.col("path").alias("p0"), F.col("markdown").alias("m0")).join(results.drop("pos"), [*of, "unit_id"], "left")
-    missing = F.col("status").isNull()
-    text = F.when(missing, F.col("m0")).when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("markdown", "m0")).otherwise(F.col("markdown"))
-    final = filled.select(
-        *of, "unit_id", "pos", F.col("t0").alias("unit_title"), F.col("p0").alias("unit_path"), F.coalesce("status", F.lit("skipped")).alias("status"), F.lit(model).alias("model"), F.coalesce("duration_ms", F.lit(0)).alias("duration_ms"),
-        F.coalesce("usage", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("no_cache", "cache_read", "output")])).alias("usage"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"), text.alias("markdown"),
-        F.when((F.col("status") == "failed") & F.lit(best_effort), F.coalesce("translated_title", "t0")).otherwise(F.col("translated_title")).alias("translated_title"), F.when(missing, UNSELECTED_REASON).otherwise(F.col("error")).alias("error"),
-        F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"),
-    )
-    return Run(final, merged_cache(cache, new), ledger, new)
+    kept = ("unit_id", "markdown", "translated_title", "usage", "cost_usd", "duration_ms", "model")
+    new = results.where("status = 'translated'").groupBy("key").agg(F.min(F.struct(*[document for _ in of], "pos", *kept)).alias("x")).select("key", *[f"x.{c}" for c in kept])
+    return Run(results.drop("key"), merged_cache(cache, new), ledger, new)

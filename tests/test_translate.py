@@ -1,8 +1,11 @@
 """Runs over several documents against runs of each document alone."""
 
+import random
+import time
+
 from quire.functions import text as X
 from quire.operators import models, translate
-from quire.operators.stage import shared_path
+from quire.operators.stage import shared_path, staged
 
 
 def test_documents_run_as_if_alone(spark):
@@ -26,3 +29,28 @@ def test_documents_run_as_if_alone(spark):
     assert found["b", 2] == "translated" and found["c", 2] == "failed"
     asked = [(r.source, r.key) for r in run.ledger.collect()]
     assert len(asked) == len(set(asked)) and len({k for _, k in asked}) < len(asked)
+
+
+def test_null_document_is_a_document(spark):
+    rows = [(d, f"unit-{i:03d}", i, f"T{i}", f"chapters/{i}.md", f"text {i} of {d}") for d in ("a", None) for i in (1, 2)]
+    units = spark.createDataFrame(rows, "source string, unit_id string, pos int, title string, path string, markdown string")
+    run = translate.translate(units, spark.createDataFrame([], translate.schemas.CACHE), shared_path(spark, "ledger"), document="source")
+    assert sorted((str(r.source), r.pos, r.status, r.markdown) for r in run.results.collect()) == sorted((str(d), i, "translated", t) for d, _, i, _, _, t in rows)
+
+
+def _moved(spark):
+    """Bytes that tasks have shuffled so far."""
+    time.sleep(1)
+    spark.range(1).count()  # totals are kept as tasks end
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_are_not_shuffled_again_and_again(spark):
+    texts = [random.Random(i).randbytes(30_000).hex() for i in range(60)]
+    rows = [(f"unit-{i:03d}", i, f"T{i}", f"chapters/{i}.md", t) for i, t in enumerate(texts, 1)]
+    units = staged(spark.createDataFrame(rows, "unit_id string, pos int, title string, path string, markdown string"))
+    before = _moved(spark)
+    run = translate.translate(units, spark.createDataFrame([], translate.schemas.CACHE), shared_path(spark, "ledger"))
+    (r,) = translate.run_summary(run.results, "model").collect()
+    moved = (_moved(spark) - before) / sum(map(len, texts))
+    assert r.translated == 60 and moved < 1.5, moved  # once, to the tasks that may call
