@@ -257,10 +257,8 @@ def project_folders(spark, sf_dir):
     folder = library.removeprefix("file://")
     project_sink.write_projects(files, folder)
     project_sink.write_projects(files, folder, force=True)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(library)
-    part = lambda n: F.regexp_extract("path", f"/{folder.rsplit('/', 1)[-1]}/([^/]+)/(.+)$", n)
-    rows = found.select(part(1).alias("document_id"), part(2).alias("name"), F.md5("content").alias("md5"))
-    return rows.select("document_id", F.col("name").alias("path"), F.when(F.col("name").startswith("chapters/"), F.col("md5")).alias("content_md5"))
+    found = project_sink.read_projects(spark, folder)
+    return found.select("document_id", "path", F.when(F.col("path").startswith("chapters/"), F.md5("content")).alias("content_md5"))
 
 
 # Names of files below a conversation's folder, and what a listing makes of each; {} is the turn.

@@ -5,6 +5,8 @@ lost or runs twice does no harm.  Projects lie there in ``BUCKETS`` folders by a
 the buckets and rename each project's folder into its place, the old one out of the way first; a project is at any time whole, the old
 or the new, and a bucket that is taken again goes on where it was left.  If a write fails for good, the abort deletes the staging
 folder and no project is touched.  The library is a folder that driver and tasks share.
+
+``read_projects`` is the way back: tasks list the projects and read their files, and no names pass through the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +14,15 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import re
 import shutil
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +35,12 @@ from .project import swap
 
 NAME = "quire_projects"
 FILES = "document_id string, path string, content binary"
-#: Tasks that put projects into their places.
+#: Tasks that put projects into their places, and that list and read them at least.
 _TASKS = 64
+#: Folders of a library that are the sink's own, and no projects.
+_OWN = re.compile(r"\.(tmp|old)-[0-9a-f]{32}")
+#: Rows and bytes of names or contents that a task reads at once; a file that is larger comes alone.
+_ROWS, _BYTES = 4096, 4 << 20
 
 
 BUCKETS = tuple(f"{i:02x}" for i in range(256))
@@ -206,3 +214,73 @@ def write_projects(files: DataFrame, library: str, force: bool = False) -> None:
         spark.range(0, len(BUCKETS), 1, _TASKS).select(settled("id").alias("n")).agg(F.sum("n")).collect()
     finally:
         _undo(library, staging)
+
+
+def _batches(rows: Iterable[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts, or with bytes in the last column, in batches of bounded size."""
+    kinds = [pa.binary() if name == "content" else pa.string() for name in names]
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held), kinds)], list(names))
+
+    for row in rows:
+        if held and (len(held) >= _ROWS or size + len(row[-1]) > _BYTES):
+            yield batch()
+            held, size = [], 0
+        held.append(row)
+        size += len(row[-1])
+    if held:
+        yield batch()
+
+
+def _projects(library: str) -> Iterator[tuple[str]]:
+    with os.scandir(library) as entries:
+        for e in entries:
+            if e.is_dir(follow_symlinks=False) and not _OWN.fullmatch(e.name):
+                yield (e.name,)
+
+
+def _files(library: str, document: str) -> Iterator[tuple[str, str]]:
+    """(document, path) of all files of a project, hidden ones too; what is neither file nor folder is refused."""
+    rest = [""]
+    while rest:
+        at = rest.pop()
+        with os.scandir(os.path.join(library, document, at)) as entries:
+            for e in entries:
+                path = os.path.join(at, e.name)
+                if e.is_dir(follow_symlinks=False):
+                    rest.append(path)
+                elif e.is_file(follow_symlinks=False):
+                    yield document, path
+                else:
+                    raise ValidationError(f"Only files and folders are supported: {e.path}")
+
+
+def _read(library: str, document: str, path: str) -> tuple[str, str, bytes]:
+    with open(os.path.join(library, document, path), "rb") as f:
+        return document, path, f.read()
+
+
+def read_projects(spark: SparkSession, library: str) -> DataFrame:
+    """Rows (document_id, path, content) of the files of all projects of a library; files beside the projects are no rows.
+
+    A task lists the library, tasks list the projects, and their files are dealt anew to be read, so a project with most of the
+    files is read by all tasks.  Spark's own reader of files would hold every name on the driver, and a task for a few files.
+    """
+    library = os.path.abspath(library)
+    tasks = max(_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def projects(batches):
+        for _ in batches:
+            yield from _batches(_projects(library), ("document_id",))
+
+    def files(batches):
+        yield from _batches((x for b in batches for d in b.column(0).to_pylist() for x in _files(library, d)), ("document_id", "path"))
+
+    def contents(batches):
+        yield from _batches((_read(library, d, p) for b in batches for d, p in zip(*(c.to_pylist() for c in b.columns))), ("document_id", "path", "content"))
+
+    rows = spark.range(0, 1, 1, 1).mapInArrow(projects, "document_id string")
+    rows = rows.repartition(tasks, "document_id").mapInArrow(files, "document_id string, path string")
+    return rows.repartition(tasks, "document_id", "path").mapInArrow(contents, FILES)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.errors import ValidationError
 from quire.operators import manifest as M
+from quire.plans import made
 from quire.sources import project, project_sink
 
 
@@ -126,3 +127,34 @@ def test_tasks_put_projects_in_place_and_go_on_where_one_was_lost(spark, tmp_pat
     project_sink._undo(str(lib), str(staging))
     found = tree(lib)
     assert {n for n in found if n.startswith("d1/")} == {"d1/f"} and found["d1/f"] == "new" and found["d2/chapters/0.md"] == "2/0x" and not os.path.exists(staging)
+
+
+def test_projects_are_read_by_tasks(spark, tmp_path):
+    """Every file of every project comes back, hidden and odd names too; what is beside the projects does not."""
+    lib = tmp_path / "lib"
+    rows = [("big", f"chapters/{k}.md", f"{k} é") for k in range(200)] + [("_a b", "x%20 é/.hidden/_SUCCESS", ""), (".c", "deep/er/1=2.md", "z"), ("old", ".tmp", "t")]
+    project_sink.write_projects(files(spark, rows), str(lib))
+    (lib / "beside.txt").write_text("no")
+    (lib / (".tmp-" + "0" * 32) / "00" / "d").mkdir(parents=True)  # of a run that is not done
+    (lib / (".tmp-" + "0" * 32) / "00" / "d" / "f").write_text("no")
+    (lib / "empty" / "chapters").mkdir(parents=True)
+    read = project_sink.read_projects(spark, str(lib))
+    assert sorted((r.document_id, r.path, bytes(r.content).decode()) for r in read.collect()) == sorted(rows)
+    assert read.where("document_id = 'big'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 100
+    os.symlink(lib / "beside.txt", lib / "big" / "link")
+    with pytest.raises(Exception, match="Only files and folders"):
+        project_sink.read_projects(spark, str(lib)).collect()
+
+
+def test_what_a_task_reads_at_once_is_bounded(monkeypatch):
+    monkeypatch.setattr(project_sink, "_BYTES", 10)
+    monkeypatch.setattr(project_sink, "_ROWS", 3)
+    sizes = [4, 4, 4, 25, 0, 0, 0, 0, 10]
+    found = list(project_sink._batches((("d", "p", b"x" * n) for n in sizes), ("document_id", "path", "content")))
+    assert [[len(x) for x in b.column(2).to_pylist()] for b in found] == [[4, 4], [4], [25], [0, 0, 0], [0, 10]]
+    assert list(project_sink._batches([], ("document_id",))) == []
+
+
+def test_the_driver_holds_no_names_of_project_files(spark, sf_dir):
+    """Spark's own reader of files listed all of them on the driver, about 1 KB each."""
+    assert made.queries()["project_folders"](spark, sf_dir).inputFiles() == []
